@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, langid, mixing, neardup, pii, quality
+from . import ann, decontaminate, langid, mixing, neardup, pii, quality, suffixtree
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,12 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = suffixtree.score(docs, docs.filter(fold(7) != 2))
+    return out.select("doc_id", F.coalesce(fold(7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
@@ -55,6 +61,7 @@ QUERIES = {
     "op3_neardup": op3_neardup,
     "op5_language_id": op5_language_id,
     "op6_pii": op6_pii,
+    "op7_suffix_tree": op7_suffix_tree,
     "op9_ann": op9_ann,
     "op10_quality": op10_quality,
 }
