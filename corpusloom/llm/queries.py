@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, langid, mixing, neardup, pii, quality, suffixtree
+from . import ann, decontaminate, langid, mixing, neardup, pii, quality, repeats, suffixtree
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,16 @@ def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"))
 
 
+def op4_word_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_words(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("n").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op8_byte_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_bytes(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("n").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.learn(docs.filter(fold(5) != 0))
@@ -59,9 +69,11 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
     "op3_neardup": op3_neardup,
+    "op4_word_repeats": op4_word_repeats,
     "op5_language_id": op5_language_id,
     "op6_pii": op6_pii,
     "op7_suffix_tree": op7_suffix_tree,
+    "op8_byte_repeats": op8_byte_repeats,
     "op9_ann": op9_ann,
     "op10_quality": op10_quality,
 }

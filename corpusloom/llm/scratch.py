@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -61,3 +62,9 @@ def _clean() -> None:
             _delete(spark, path)
         except Exception:  # the session may be gone
             return
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps that are over: it does so once the driver's garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
