@@ -1,4 +1,4 @@
-"""The only module with Python UDFs: what Spark has no expression for. All are Arrow-batched."""
+"""The only module with Python UDFs: what Spark has no expression for. All are Arrow-batched, and built when first used: that needs a session."""
 
 from __future__ import annotations
 
@@ -8,19 +8,18 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EMBED_DIM = 512
 
 
-@F.pandas_udf("string")
-def nfkc(s: pd.Series) -> pd.Series:
+def _nfkc(s: pd.Series) -> pd.Series:
     """Unicode compatibility composition."""
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
-@F.pandas_udf("string")
-def decode_text(s: pd.Series) -> pd.Series:
+def _decode_text(s: pd.Series) -> pd.Series:
     """Bytes as UTF-8, else as Windows-1252, else as UTF-8 with replacement characters."""
 
     def one(b: bytes) -> str:
@@ -47,8 +46,7 @@ def _lcs(a: str, b: str) -> int:
     return len(a) - bin(v).count("1")
 
 
-@F.pandas_udf("double")
-def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def _indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """100 * (1 - insertions and deletions / summed length); two empty strings: 100. The score of single tokens in token-set comparison."""
 
     def one(x: str | None, y: str | None) -> float | None:
@@ -60,8 +58,7 @@ def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("array<double>")
-def hash_embedding(tokens: pd.Series) -> pd.Series:
+def _hash_embedding(tokens: pd.Series) -> pd.Series:
     """Unit vector of hashed tokens: slot blake2b-4(token) mod EMBED_DIM gets 1 + ln(count); no tokens: zeros."""
 
     def one(words) -> list[float]:
@@ -72,3 +69,23 @@ def hash_embedding(tokens: pd.Series) -> pd.Series:
         return (v / norm if norm else v).tolist()
 
     return tokens.map(one)
+
+
+def nfkc(c: Column | str) -> Column:
+    """Unicode compatibility composition."""
+    return F.pandas_udf(_nfkc, "string")(c)
+
+
+def decode_text(c: Column | str) -> Column:
+    """Bytes as UTF-8, else as Windows-1252, else as UTF-8 with replacement characters."""
+    return F.pandas_udf(_decode_text, "string")(c)
+
+
+def indel_ratio(a: Column | str, b: Column | str) -> Column:
+    """100 * (1 - insertions and deletions / summed length); two empty strings: 100. The score of single tokens in token-set comparison."""
+    return F.pandas_udf(_indel_ratio, "double")(a, b)
+
+
+def hash_embedding(tokens: Column | str) -> Column:
+    """Unit vector of hashed tokens: slot blake2b-4(token) mod EMBED_DIM gets 1 + ln(count); no tokens: zeros."""
+    return F.pandas_udf(_hash_embedding, "array<double>")(tokens)
