@@ -95,10 +95,18 @@ def highlight(docs: DataFrame, id_col: str, spans: DataFrame, text_col: str = "t
     """id, at, piece, label: the text cut at the spans (id, start, end, label), plain pieces with a null label. Spans that are empty, overlap an earlier
     one or leave the text are skipped."""
     size = F.length(text_col)
-    ok = spans.join(docs.select(id_col, text_col), id_col).filter((F.col("start") >= 0) & (F.col("end") > F.col("start")) & (F.col("end") <= size))
-    w = W.partitionBy(id_col).orderBy("start", "end")
-    ok = ok.withColumn("_before", F.coalesce(F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).filter("start >= _before")
-    cut = lambda a, z: F.substring(F.col(text_col), a + 1, z - a)
+    ok = spans.select(id_col, F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "label").join(docs.select(id_col, text_col), id_col)
+    ok = ok.filter((F.col("start") >= 0) & (F.col("end") > F.col("start")) & (F.col("end") <= size))
+    kept = F.aggregate(  # one text's spans in order; each has the end of the one kept before it
+        F.array_sort(F.collect_list(F.struct("start", "end", "label"))),
+        F.struct(F.lit(0).alias("free"), F.array().cast("array<struct<start:int,end:int,label:string,before:int>>").alias("out")),
+        lambda s, c: F.when(
+            c["start"] >= s["free"],
+            F.struct(c["end"].alias("free"), F.concat(s["out"], F.array(F.struct(c["start"].alias("start"), c["end"].alias("end"), c["label"].alias("label"), s["free"].alias("before")))).alias("out")),
+        ).otherwise(s),
+        lambda s: s["out"],
+    )
+    ok = ok.groupBy(id_col, text_col).agg(kept.alias("k")).select(id_col, text_col, F.inline("k")).withColumnRenamed("before", "_before")
     inside = ok.select(id_col, F.col("start").alias("at"), cut(F.col("start"), F.col("end")).alias("piece"), "label")
     gaps = ok.select(id_col, F.col("_before").alias("at"), cut(F.col("_before"), F.col("start")).alias("piece"), F.lit(None).cast("string").alias("label"))
     last = ok.groupBy(id_col).agg(F.max("end").alias("at")).join(docs.select(id_col, text_col), id_col, "right").withColumn("at", F.coalesce("at", F.lit(0)))

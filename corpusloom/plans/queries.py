@@ -263,7 +263,7 @@ def fuzzy_tokens(spark, sf_dir):
 
 
 WANTED = """w AS (SELECT l_orderkey, p_brand AS name, 1 + ln(count(*)) AS w, min(l_linenumber) AS fst FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2),
-wt AS (SELECT l_orderkey, name, fst, w / max(w) OVER (PARTITION BY l_orderkey) AS weight FROM w), own AS (SELECT DISTINCT l_suppkey, p_brand AS name FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 25),
+wt AS (SELECT l_orderkey, name, fst, w / max(w) OVER (PARTITION BY l_orderkey) AS weight FROM w), own AS (SELECT DISTINCT l_suppkey, p_brand AS name FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 49),
 pr AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_orderkey % 10 = 0),
 cov AS (SELECT pr.l_orderkey, pr.l_suppkey, wt.name, wt.fst, wt.weight, own.name IS NOT NULL AS matched FROM pr JOIN wt USING (l_orderkey) LEFT JOIN own ON own.l_suppkey = pr.l_suppkey AND own.name = wt.name)"""
 
@@ -271,7 +271,7 @@ cov AS (SELECT pr.l_orderkey, pr.l_suppkey, wt.name, wt.fst, wt.weight, own.name
 def _coverage(spark, sf_dir):
     li = t(spark, sf_dir, "lineitem").join(t(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey")).withColumn("name", F.col("p_brand"))
     want = matching.wanted_weights(li, "l_orderkey", "name", "l_linenumber")
-    return matching.coverage(want, "l_orderkey", li.filter("l_quantity > 25"), "l_suppkey", t(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 0").select("l_orderkey", "l_suppkey").distinct())
+    return matching.coverage(want, "l_orderkey", li.filter("l_quantity > 49"), "l_suppkey", t(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 0").select("l_orderkey", "l_suppkey").distinct())
 
 
 @query(f"WITH {WANTED} SELECT l_orderkey, l_suppkey, round(least(greatest(sum(CASE WHEN matched THEN weight ELSE 0 END) / sum(weight), 0), 1), 6) AS skill FROM cov GROUP BY 1, 2")
@@ -534,7 +534,7 @@ def scorecard_rules(spark, sf_dir):
   len(list_filter(b, lambda x: len(regexp_extract_all(x, '\S+')) BETWEEN 10 AND 25)) AS nl, greatest(1, length(text) // 3000) AS pages FROM bl JOIN documents USING (doc_id)),
 e AS (SELECT doc_id, CASE WHEN length(text) < 600 THEN 2.5 ELSE 5 END::DOUBLE AS readable, CASE WHEN n = 0 THEN 0 ELSE 10 * least(nv::DOUBLE / n / 0.7::DOUBLE, 1) END AS action_verbs,
   CASE WHEN pages <= 2 THEN 5 WHEN pages = 3 THEN 2.5 ELSE 0 END::DOUBLE + CASE WHEN n = 0 THEN 0 ELSE 5 * least(nl::DOUBLE / n / 0.6::DOUBLE, 1) END AS length FROM x)
-SELECT doc_id, rule, round(earned, 1) AS earned FROM (UNPIVOT e ON readable, action_verbs, length INTO NAME rule VALUE earned)""")
+SELECT doc_id, rule, round(round_even(earned, 2), 1) AS earned FROM (UNPIVOT e ON readable, action_verbs, length INTO NAME rule VALUE earned)""")
 def scorecard_measured(spark, sf_dir):
     got = scorecard_rules(spark, sf_dir).filter(F.col("rule").isin("readable", "action_verbs", "length"))
     return got.select("doc_id", "rule", F.round("earned", 1).alias("earned"))
