@@ -170,7 +170,7 @@ def classes(docs: DataFrame) -> DataFrame:
     dealing by another hash gives pairs that no pivot joins a second chance. No group meets in one task.
 
     Null, empty or blank texts are classes of their own. Texts of 1 to 4 words have one shingle. Repeated rows (equal
-    doc_id and text) each get a row, of the same class. Null doc_id: no row. Empty table: no rows. Other columns are not read.
+    doc_id and words) are one document. Null doc_id: no row. Empty table: no rows. Other columns are not read.
     """
     docs = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sig = materialise(docs.mapInArrow(_signatures, "doc_id long, same long, bands array<long>"))

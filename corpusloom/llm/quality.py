@@ -148,14 +148,15 @@ def class_prior(pos_score: np.ndarray, unl_score: np.ndarray) -> float:
     """Share of positives among the unlabelled: the least ratio of upper tails, P_u(s >= t) / P_p(s >= t).
 
     Any region holds prior * P_p of the unlabelled mass at least, so every ratio bounds the prior from above, and the
-    bound is tight where the region holds no negatives. A term for the sampling error keeps thin tails from winning.
+    bound is tight where the region holds no negatives. The threshold is chosen with two standard errors on top, so thin tails don't win.
     """
-    best = 1.0
+    best, prior = np.inf, 1.0
     for t in np.quantile(pos_score, np.linspace(0.0, 0.9, 46)):
         p, u = (pos_score >= t).mean(), (unl_score >= t).mean()
         err = np.sqrt(p * (1 - p) / len(pos_score)) + np.sqrt(u * (1 - u) / len(unl_score))
-        best = min(best, (u + 2 * err) / max(p, 1e-9))
-    return float(np.clip(best, 0.01, 0.99))
+        if (u + 2 * err) / max(p, 1e-9) < best:
+            best, prior = (u + 2 * err) / max(p, 1e-9), u / max(p, 1e-9)
+    return float(np.clip(prior, 0.01, 0.99))
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) -> Model | None:
