@@ -575,3 +575,72 @@ def document_facts(spark, sf_dir):
 @query("SELECT conv_id, turn, regexp_replace(trim(regexp_replace(lower(text), '[^a-z0-9+#.]+', ' ', 'g')), '\\s+', ' ', 'g') AS norm FROM conversations")
 def normalised_text(spark, sf_dir):
     return t(spark, sf_dir, "conversations").select("conv_id", "turn", T.normalise("text").alias("norm"))
+
+
+@query(r"SELECT conv_id, turn FROM conversations WHERE length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 40")
+def long_enough(spark, sf_dir):
+    return t(spark, sf_dir, "conversations").filter(F.length(T.strip("text")) >= 40).select("conv_id", "turn")
+
+
+@query("SELECT p_partkey, concat_ws(chr(10), p_name, p_name, p_type, p_brand) AS search_text FROM part")
+def searchable_text(spark, sf_dir):
+    from corpusloom.sources.postings import searchable
+
+    return t(spark, sf_dir, "part").select("p_partkey", searchable("p_name", "p_type", "p_brand").alias("search_text"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, exp(value / 100 - max(value / 100) OVER (PARTITION BY user_id)) AS x FROM events)
+SELECT user_id, round(max(x) / sum(x), 6) AS top_share, count(*) AS n FROM e GROUP BY 1""")
+def softmax_shares(spark, sf_dir):
+    v = t(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.col("value") / 100)).alias("v"))
+    s = roles.softmax(F.col("v"))
+    return v.select("user_id", F.round(F.array_max(s), 6).alias("top_share"), F.size("v").cast("long").alias("n"))
+
+
+@query("SELECT a / 10.0::DOUBLE AS w_a, b / 10.0::DOUBLE AS w_b, (10 - a - b) / 10.0::DOUBLE AS w_c FROM (SELECT unnest(range(0, 11)) AS a), (SELECT unnest(range(0, 11)) AS b) WHERE a + b <= 10")
+def weight_grid(spark, sf_dir):
+    return evaluate.weight_grid(spark, ["a", "b", "c"], 0.1)
+
+
+@query(f"""WITH {WANTED}, s AS (SELECT *, weight / max(weight) OVER (PARTITION BY l_orderkey, l_suppkey) AS r FROM cov), g AS (SELECT l_orderkey, l_suppkey, CASE WHEN r >= 0.75 THEN 'critical' WHEN r >= 0.4 THEN 'important' ELSE 'nice_to_have' END AS severity FROM s WHERE NOT matched)
+SELECT severity, count(*) AS n, CASE severity WHEN 'critical' THEN 1 WHEN 'important' THEN 2 ELSE 3 END AS place FROM g GROUP BY 1""")
+def gaps_by_severity(spark, sf_dir):
+    g = _coverage(spark, sf_dir).filter("not matched").groupBy("severity").agg(F.count("*").alias("n"))
+    return g.withColumn("place", F.when(F.col("severity") == "critical", 1).when(F.col("severity") == "important", 2).otherwise(3))
+
+
+@query("""WITH s AS (SELECT doc_id, text, instr(text, ' ') AS p FROM documents WHERE instr(text, ' ') > 0 AND length(text) >= instr(text, ' ') + 4)
+SELECT doc_id, 0 AS at, substr(text, 1, p) AS piece, NULL AS label FROM s UNION ALL SELECT doc_id, p, substr(text, p + 1, 4), 'mark' FROM s
+UNION ALL SELECT doc_id, p + 4, substr(text, p + 5), NULL FROM s WHERE length(text) > p + 4 UNION ALL SELECT doc_id, 0, text, NULL FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM s) AND text <> ''""")
+def highlight_pieces(spark, sf_dir):
+    d = t(spark, sf_dir, "documents")
+    p = F.instr("text", " ")
+    spans = d.filter(p > 0).select("doc_id", p.alias("start"), (p + 4).alias("end"), F.lit("mark").alias("label"))
+    return lines.highlight(d, "doc_id", spans)
+
+
+def _blocks(spark, sf_dir):
+    """Boxes on pages, made of order lines: a document for each supplier, seven pages each."""
+    li = t(spark, sf_dir, "lineitem")
+    x0, y0 = (F.col("l_partkey") % 40) * 40.0, (F.col("l_orderkey") % 60) * 12.0
+    return li.select(F.col("l_suppkey").alias("doc"), F.col("l_linenumber").alias("page"), x0.alias("x0"), y0.alias("y0"), (x0 + F.col("l_quantity")).alias("x1"), (y0 + 10).alias("y1"), F.col("l_returnflag").alias("text"))
+
+
+@query("""WITH b AS (SELECT l_suppkey AS doc, l_linenumber AS page, (l_partkey % 40) * 40.0::DOUBLE AS x0, (l_partkey % 40) * 40.0::DOUBLE + l_quantity AS x1 FROM lineitem),
+r AS (SELECT *, max(x1) OVER (PARTITION BY doc, page ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM b) SELECT doc, page, (x0 + m) / 2 AS x, x0 - m AS width FROM r WHERE x0 - m >= 15""")
+def page_gutters(spark, sf_dir):
+    from corpusloom.operators import layout
+
+    return layout.gutters(_blocks(spark, sf_dir), ["doc", "page"])
+
+
+@query()
+def layout_columns(spark, sf_dir):
+    from corpusloom.operators import layout
+
+    return layout.columns_per_page(layout.columns(_blocks(spark, sf_dir), "doc"), "doc")
+
+
+@query()
+def date_ranges(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select("doc_id", F.explode(facts.date_ranges(F.col("text"))).alias("r")).select("doc_id", "r.*")
