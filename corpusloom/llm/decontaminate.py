@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import bounded_batches
 from .tokens import Chunk, chunks, prefix, span
 
 Q = 12
@@ -150,6 +151,7 @@ def align(item: np.ndarray, text: np.ndarray, diagonal: int, width: int, most: i
 
 def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
     """The benchmark's items in blocks of about limit bytes, by item_id; at most one block is on the driver at a time."""
+    bounded_batches(benchmark.sparkSession)
     got: list[tuple[int, str]] = []
     size = 0
     rows = benchmark.filter("item_id is not null and text is not null").select("item_id", F.col("text").cast("string").alias("text")).distinct().orderBy("item_id", "text")

@@ -60,7 +60,7 @@ def learn(docs: DataFrame, min_rate: float = 2e-6, least_share: float = 0.05) ->
         held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
             lang = b.column("lang").to_pylist()
-            for c in chunks(pc.utf8_lower(b.column("text")), 4 << 20):
+            for c in chunks(pc.utf8_lower(b.column("text")), 2 << 20):
                 keys, bound = ngrams(c)
                 of = lang[c.lo : c.lo + c.n]
                 for name in sorted(set(of)):

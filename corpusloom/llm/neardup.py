@@ -144,7 +144,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = link(sets) if len(ids) > 1 else []
         return [(ids[a], ids[b]) for a, b in pairs]
 
-    for batch in batches:
+    for batch in (b.slice(lo, 250) for b in batches for lo in range(0, b.num_rows, 250)):
         out = []
         for root, block, rep, sh in zip(*(batch.column(x).to_pylist() for x in ("root", "block", "rep", "sh")), strict=True):
             if (root, block) != key:

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import bounded_batches
 from .tokens import CODES_LOWER, chunks, prefix, span, words
 
 #: Bounds of the samples on which the classifier is fitted (rows of the smallest hash of doc_id).
@@ -181,6 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) -> Mo
 
     Samples hold at most MAX_POSITIVE and MAX_UNLABELLED documents, those of the smallest hash. None without positives.
     """
+    bounded_batches(docs.sparkSession)
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
     rank = F.xxhash64(F.col("doc_id").cast("string"))
     positive = labels.filter("quality = 1 and doc_id is not null").select("doc_id").filter(fold != held).distinct()

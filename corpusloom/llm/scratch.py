@@ -27,6 +27,7 @@ def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
     A lost executor then costs a reread, not a recomputation, and what is written is readable by every executor.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_dir(spark)}/corpusloom-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if partition_by:
@@ -41,6 +42,17 @@ def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
     return out
 
 
+BATCH_ROWS = 2000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS rows at most: rows carry whole texts, and Python workers hold a batch several times over."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes tables of materialise() that no later step reads."""
     for t in tables:

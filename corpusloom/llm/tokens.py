@@ -72,7 +72,7 @@ class Chunk:
         return self.buf[self.offs[i] : self.offs[i + 1]].tobytes()
 
 
-def chunks(column: pa.Array, limit: int = 2 << 20) -> Iterator[Chunk]:
+def chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[Chunk]:
     """Splits a string column into runs of documents of about limit bytes (a longer document stands alone). Null reads as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
