@@ -96,11 +96,11 @@ COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(li
 
 def _vectors(spark, sf_dir):
     e = t(spark, sf_dir, "embeddings")
-    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("q_label"))
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("q_label"))
     return e, q
 
 
-@query(f"""WITH s AS (SELECT b.vec_id AS query_id, a.vec_id, round({COS}, 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+@query(f"""WITH s AS (SELECT b.vec_id AS query_id, a.vec_id, round({COS}, 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM s) SELECT * FROM k WHERE rank <= 10""")
 def vector_cosine_topk(spark, sf_dir):
     e, q = _vectors(spark, sf_dir)
@@ -108,7 +108,7 @@ def vector_cosine_topk(spark, sf_dir):
     return ir.top_k(s, "query_id", 10, F.col("cosine").desc(), "vec_id")
 
 
-@query(f"""WITH s AS (SELECT b.label AS target, b.vec_id AS piece, max({COS}) AS m FROM embeddings a JOIN embeddings b ON b.vec_id % 100 = 0 AND a.vec_id <> b.vec_id GROUP BY 1, 2)
+@query(f"""WITH s AS (SELECT b.label AS target, b.vec_id AS piece, max({COS}) AS m FROM embeddings a JOIN embeddings b ON b.vec_id % 20 = 0 AND a.vec_id <> b.vec_id GROUP BY 1, 2)
 SELECT target, round(least(greatest(avg(m), 0), 1), 6) AS pooled FROM s GROUP BY 1""")
 def max_pool_by_label(spark, sf_dir):
     e, q = _vectors(spark, sf_dir)
@@ -257,21 +257,21 @@ def skills_by_category(spark, sf_dir):
 def fuzzy_tokens(spark, sf_dir):
     docs = t(spark, sf_dir, "benchmark")
     onto = phrases.ontology(docs.select(F.explode(F.array_distinct(F.filter(T.tokens("text"), lambda x: F.length(x) >= 8))).alias("name")).distinct().filter(~F.col("name").rlike(r"\.$|-")).select("name", F.lit("word").alias("category"), F.array().cast("array<string>").alias("aliases")))
-    some = t(spark, sf_dir, "conversations").filter("turn = 0").select(F.col("conv_id").alias("id"), "text")
-    none = some.sparkSession.createDataFrame([], "id long, name string, category string, start long, end long, surface string, method string")
+    some = t(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
+    none = some.sparkSession.createDataFrame([], "id string, name string, category string, start long, end long, surface string, method string")
     return phrases.fuzzy(some, "id", onto, none, some.select("id", F.lit(0).alias("start"), F.length("text").alias("end")))
 
 
 WANTED = """w AS (SELECT l_orderkey, p_brand AS name, 1 + ln(count(*)) AS w, min(l_linenumber) AS fst FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2),
 wt AS (SELECT l_orderkey, name, fst, w / max(w) OVER (PARTITION BY l_orderkey) AS weight FROM w), own AS (SELECT DISTINCT l_suppkey, p_brand AS name FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 49),
-pr AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_orderkey % 10 = 0),
+pr AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem),
 cov AS (SELECT pr.l_orderkey, pr.l_suppkey, wt.name, wt.fst, wt.weight, own.name IS NOT NULL AS matched FROM pr JOIN wt USING (l_orderkey) LEFT JOIN own ON own.l_suppkey = pr.l_suppkey AND own.name = wt.name)"""
 
 
 def _coverage(spark, sf_dir):
     li = t(spark, sf_dir, "lineitem").join(t(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey")).withColumn("name", F.col("p_brand"))
     want = matching.wanted_weights(li, "l_orderkey", "name", "l_linenumber")
-    return matching.coverage(want, "l_orderkey", li.filter("l_quantity > 49"), "l_suppkey", t(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 0").select("l_orderkey", "l_suppkey").distinct())
+    return matching.coverage(want, "l_orderkey", li.filter("l_quantity > 49"), "l_suppkey", t(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").distinct())
 
 
 @query(f"WITH {WANTED} SELECT l_orderkey, l_suppkey, round(least(greatest(sum(CASE WHEN matched THEN weight ELSE 0 END) / sum(weight), 0), 1), 6) AS skill FROM cov GROUP BY 1, 2")
@@ -296,12 +296,12 @@ def set_overlap(spark, sf_dir):
     return n.select("l_orderkey", s(F.array_intersect("x", "y")).alias("shared"), s(F.array_except("x", "y")).alias("missing"), s(F.array_except("y", "x")).alias("extra"))
 
 
-PROF = """b AS (SELECT o_orderpriority AS role, o_orderkey AS item, p_brand AS feature FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderkey % 7 = 0),
+PROF = """b AS (SELECT o_orderpriority AS role, o_orderkey AS item, p_brand AS feature FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey),
 n AS (SELECT role, count(DISTINCT item) AS n FROM b GROUP BY 1), pf AS (SELECT role, feature, count(DISTINCT item)::DOUBLE / max(n) AS weight FROM b JOIN n USING (role) GROUP BY 1, 2)"""
 
 
 def _profiles(spark, sf_dir):
-    o = t(spark, sf_dir, "orders").filter("o_orderkey % 7 = 0").join(t(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(t(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    o = t(spark, sf_dir, "orders").join(t(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(t(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
     b = o.select(F.col("o_orderpriority").alias("role"), F.col("o_orderkey").alias("item"), F.col("p_brand").alias("feature"))
     return b, roles.profiles(b, "role", "item", "feature")
 
@@ -317,12 +317,12 @@ def role_keywords(spark, sf_dir):
     return roles.keywords(_profiles(spark, sf_dir)[1], "role", "feature", 10).select("role", "feature", q6("score"), "rank")
 
 
-@query(f"""WITH {PROF}, h AS (SELECT DISTINCT l_suppkey AS doc, p_brand AS feature FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 1 AND l_quantity > 45), tt AS (SELECT role, sum(weight) AS t FROM pf GROUP BY 1),
+@query(f"""WITH {PROF}, h AS (SELECT DISTINCT l_orderkey AS doc, p_brand AS feature FROM lineitem JOIN part ON p_partkey = l_partkey), tt AS (SELECT role, sum(weight) AS t FROM pf GROUP BY 1),
 s AS (SELECT doc, role, sum(weight) / max(t) AS score FROM h JOIN pf USING (feature) JOIN tt USING (role) GROUP BY 1, 2),
 r AS (SELECT doc, role, score, row_number() OVER (PARTITION BY doc ORDER BY round(score, 9) DESC, role) AS rank FROM s)
 SELECT doc, role, round(score, 6) AS score, rank, round(score - coalesce(lead(score) OVER (PARTITION BY doc ORDER BY rank), 0), 6) AS margin FROM r""")
 def top_role(spark, sf_dir):
-    h = t(spark, sf_dir, "lineitem").filter("l_linenumber = 1 and l_quantity > 45").join(t(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey")).select(F.col("l_suppkey").alias("doc"), F.col("p_brand").alias("feature"))
+    h = t(spark, sf_dir, "lineitem").join(t(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey")).select(F.col("l_orderkey").alias("doc"), F.col("p_brand").alias("feature"))
     return roles.predict(h, "doc", _profiles(spark, sf_dir)[1], "role", "feature").select("doc", "role", q6("score"), "rank", q6("margin"))
 
 
@@ -473,10 +473,10 @@ def class_profile(spark, sf_dir):
     return corpus.class_profile(t(spark, sf_dir, "documents"), "source")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'old' ELSE 'new' END AS origin FROM documents WHERE doc_id % 3 = 0 OR doc_id % 2 = 0")
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'old' ELSE 'new' END AS origin FROM documents")
 def append_existing_wins(spark, sf_dir):
     d = t(spark, sf_dir, "documents").select("doc_id")
-    return corpus.append(d.filter("doc_id % 3 = 0").withColumn("origin", F.lit("old")), d.filter("doc_id % 2 = 0").withColumn("origin", F.lit("new")), "doc_id")
+    return corpus.append(d.filter("doc_id % 3 = 0").withColumn("origin", F.lit("old")), d.withColumn("origin", F.lit("new")), "doc_id")
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN 'not read back' ELSE 'differs: n_chars' END AS problem FROM documents WHERE doc_id % 50 = 0 OR doc_id % 41 = 0")
@@ -558,11 +558,11 @@ def nfkc_clean(spark, sf_dir):
 @query()
 def match_pairs(spark, sf_dir):
     onto = _onto(spark)
-    docs = t(spark, sf_dir, "documents").filter("doc_id < 200").select("doc_id", "text")
+    docs = t(spark, sf_dir, "documents").select("doc_id", "text")
     jds = t(spark, sf_dir, "benchmark").select("item_id", "text")
     ent = facts.entities(docs, "doc_id").select("doc_id", "degree_level", "date_ranges")
     full = docs.join(ent, "doc_id").join(facts.experience_months(ent, "doc_id", "date_ranges", F.lit("2025-01-01").cast("date")), "doc_id")
-    pairs = docs.select("doc_id").join(jds.select("item_id"), F.col("doc_id") % 40 == F.col("item_id") % 40)
+    pairs = bm25_topk(spark, sf_dir).select("doc_id", "item_id")
     wanted = matching.wanted_weights(phrases.find(jds, "item_id", onto), "item_id")
     return matching.match(full, "doc_id", jds, "item_id", pairs, phrases.find(docs, "doc_id", onto).select("doc_id", "name"), wanted, lambda c: P.hash_embedding(T.content_tokens(c)))
 
