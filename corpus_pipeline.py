@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import decontaminate, mixing, neardup, pii, quality
-from corpusloom.llm.scratch import materialise
+from corpusloom.llm.scratch import materialise, shielded
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model, keep=True).filter("_predicted = 1").select(*docs.columns)
+    return shielded(docs, lambda d: quality.score(d, model, keep=True).filter("_predicted = 1").select(*d.columns))
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +35,12 @@ def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with the number of copies."""
-    mixed = mixing.mix(docs).filter("copies > 0").dropDuplicates(["doc_id"])
-    mixed = mixed.select(F.col("doc_id").alias("_id"), "size", "source_size", "target", "copies", "taken")
-    return docs.join(mixed, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    """The documents that the mix takes, with the number of copies. Columns of docs named like one of those added give way to it; rows that share a doc_id are told apart by source and size."""
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in ("size", "source_size", "target", "copies", "taken")))
+    mixed = mixing.mix(docs).filter("copies > 0").dropDuplicates(["doc_id", "source", "size"])  # rows alike in these are ties
+    mixed = mixed.select(F.col("doc_id").alias("_id"), F.col("source").alias("_s"), "size", "source_size", "target", "copies", "taken")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_s")) & (mixing.words("text") == F.col("size"))
+    return shielded(docs, lambda d: d.join(mixed, same).drop("_id", "_s"))
 
 
 STAGES = [

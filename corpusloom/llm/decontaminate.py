@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import bounded_batches
+from .scratch import bounded_batches, shielded
 from .tokens import Chunk, chunks, prefix, span
 
 Q = 12
@@ -201,8 +201,12 @@ def _arrow(kind: str) -> pa.DataType:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that hold a benchmark item, all columns kept.
 
-    The flag is set in the one pass over the texts, so no text is shuffled.
+    The flag is set in the one pass over the texts, so no text is shuffled. Null or empty texts stay; extra columns may have any name.
     """
+    return shielded(docs, lambda d: _clean(d, benchmark))
+
+
+def _clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     from pyspark.sql.types import BooleanType, StructType
 
     for block in blocks(benchmark):

@@ -12,6 +12,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 BINS = 4096
 
 
+def words(text: str) -> Column:
+    """Number of words [^\\x20\\x09-\\x0D]+; null: 0."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, max_copies: float = 2.0) -> DataFrame:
     """Per source: source, source_size, target.
 
@@ -47,12 +52,11 @@ def mix(docs: DataFrame, weight: Column | None = None, weights: tuple[float, ...
     as an empty id. Repeated rows: each is a document; rows alike in every way rank as ties, and any one of them may be
     the one at the cut. Empty table: no rows. Other columns of docs are not read.
     """
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     hexes = F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13)
     base = docs.select(
         "doc_id",
         F.col("source").cast("string").alias("source"),
-        size.alias("size"),
+        words("text").alias("size"),
         (weight if weight is not None else F.lit(1.0)).cast("double").alias("_g"),
         ((F.conv(hexes, 16, 10).cast("double") + 0.5) / float(2**52)).alias("_u"),
     )

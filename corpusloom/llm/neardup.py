@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import materialise
+from .scratch import materialise, shielded
 from .tokens import chunks, mix, shingles, span, prefix, words
 
 SHINGLE = 5
@@ -210,4 +210,4 @@ def _by_hash():
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one document of each near-duplicate class, the one of the least doc_id; all columns. Rows without doc_id stay."""
     gone = materialise(classes(docs).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return shielded(docs, lambda d: d.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti"))

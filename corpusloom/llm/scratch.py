@@ -6,8 +6,10 @@ import atexit
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -42,6 +44,14 @@ def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
     return out
 
 
+def shielded(docs: DataFrame, run: Callable[[DataFrame], DataFrame], own: tuple[str, ...] = ("doc_id", "text", "lang", "source", "n_chars")) -> DataFrame:
+    """run(docs) while docs' columns outside `own` have neutral names, so that none clashes with a name that run uses inside; their names return afterwards."""
+    names = {c: f"extra{i}" for i, c in enumerate(docs.columns) if c not in own}
+    got = run(docs.select(*(F.col(f"`{c}`").alias(names.get(c, c)) for c in docs.columns)))
+    back = {v: k for k, v in names.items()}
+    return got.select(*(F.col(f"`{c}`").alias(back.get(c, c)) for c in got.columns))
+
+
 BATCH_ROWS = 2000
 
 

@@ -39,3 +39,28 @@ def test_pipeline(spark, tmp_path):
         assert "x.y@example.com" not in rows[411].text and "<email>" in rows[411].text
     assert all(r.taken == r.copies * r["size"] and r.copies in (1, 2) for r in rows.values())
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()} == mixed
+
+
+def test_stages_bear_nulls_and_clashing_names(spark, tmp_path):
+    """Extra columns named like those that the stages use inside, nulls in every column, an empty and a long text, repeated rows."""
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choice(["thasta", "therly", "oninion", "ster"]) + str(rng.randrange(30)) for _ in range(n))
+    names = ["size", "Target", "_gone", "_leak", "_pairs", "_row", "_r", "_score", "_predicted", "_id", "extra0", "dotted.name"]
+    rows = [(i, text(60), "en", "ab"[i % 2], 9) for i in range(20)] + [(None, None, None, None, None), (30, "", "en", None, 0), (31, text(5000), None, "a", 1), (1, "again", "en", "b", 5), (1, "again", "en", "b", 5)]
+    docs = spark.createDataFrame([(*r, *(f"{n}-{r[0]}" for n in names)) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, text(30)), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for n, table in enumerate((docs, docs.limit(0))):
+        at = table
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, at, str(tmp_path))
+            if name != "source_mixing":
+                assert out.columns == docs.columns
+                assert all(r["_gone"] == f"_gone-{r.doc_id}" and r["extra0"] == f"extra0-{r.doc_id}" for r in out.collect())
+                out.write.parquet(str(tmp_path / f"{n}-{name}"))
+                at = spark.read.parquet(str(tmp_path / f"{n}-{name}"))
+        assert {"size", "target", "copies", "taken", "_id", "_row"} <= set(out.columns) and "Target" not in out.columns
+        got = out.collect()
+        assert all(r["_id"] == f"_id-{r.doc_id}" for r in got)
+        assert all(r.taken == r.copies * r["size"] for r in got)  # a text without words may be taken, with no words
+        assert all(r["size"] == len((r.text or "").split()) for r in got), [(r.doc_id, r["size"], len((r.text or "").split())) for r in got]
