@@ -19,6 +19,8 @@ BANDS, ROWS = 20, 4
 M = BANDS * ROWS
 #: Documents of a candidate group that are compared within one task, and those of a larger group that all its blocks share.
 BLOCK, PIVOTS = 1024, 64
+#: Slots of the table that counts the shingles of large groups, to put rare ones first.
+SLOTS = 1 << 20
 
 
 def weighted(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,6 +159,116 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (mix(h) % np.uint64(SLOTS)).astype(np.int64)
+
+
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = np.zeros(SLOTS, np.int64)
+    for b in batches:
+        for c in chunks(b.column("text")):
+            _, _, bound, w = words(c)
+            h, doc = shingles(w, bound, SHINGLE)
+            n += np.bincount(_slot(weighted(h, doc)[0]), minlength=SLOTS)
+    at = np.flatnonzero(n)
+    for lo in range(0, len(at), 100_000):
+        yield pa.record_batch([pa.array(x[lo : lo + 100_000]) for x in (at // 4096, at % 4096, n[at])], names=["page", "slot", "n"])
+
+
+def _verify_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges among the listed pairs of each (root, block) of rows that arrive sorted by it; pairs already joined are not compared."""
+    key, rows = None, {}
+
+    def flush():
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        edges = []
+        for a, (cls, sh, partners) in rows.items():
+            for b in partners:
+                x, y = find(cls), find(rows[b][0])
+                if x != y and jaccard(sh, rows[b][1]) >= SIMILARITY:
+                    edges.append((a, b))
+                    parent[max(x, y)] = min(x, y)
+        return edges
+
+    for batch in (b.slice(lo, 250) for b in batches for lo in range(0, b.num_rows, 250)):
+        out = []
+        for root, block, rep, cls, partners, sh in zip(*(batch.column(x).to_pylist() for x in ("root", "block", "rep", "cls", "partners", "sh")), strict=True):
+            if (root, block) != key:
+                out += flush()
+                key, rows = (root, block), {}
+            rows[rep] = (cls, np.frombuffer(sh, np.uint64), partners or ())
+        yield pa.record_batch([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+    out = flush()
+    yield pa.record_batch([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
+def _across(large: DataFrame, text: DataFrame, edges: DataFrame) -> DataFrame | None:
+    """Edges (a, b) that join the classes which `edges` leaves apart in large groups (root, rep, n); None if there are none apart.
+
+    An exact prefix-filter join: shingles are put in one order, rare ones first, and texts of similarity SIMILARITY share one of the first
+    |x| - ceil(SIMILARITY |x|) + 1 at least. Any order is exact; counts by slot only keep common passages out of the prefixes. Lists of one
+    class need no work. Longer lists meet in pairs of blocks, and so do the shingle sets of the pairs found.
+    """
+    own = large.join(components(edges).select(F.col("node").alias("_n"), F.col("root").alias("_c")), F.col("rep") == F.col("_n"), "left").select("root", "rep", "n", F.coalesce("_c", "rep").alias("cls"))
+    apart = own.groupBy(F.col("root").alias("_r")).agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo < hi").select("_r")
+    own = materialise(own.join(apart, F.col("root") == F.col("_r"), "left_semi"))
+    if own.isEmpty():
+        return None
+    text = text.join(own, F.col("doc_id") == F.col("rep")).select("root", "cls", "rep", "text")
+    counts = text.mapInArrow(_slots, "page long, slot long, n long").groupBy("page", "slot").agg(F.sum("n").alias("n"))
+    often = np.zeros(SLOTS, np.int64)
+    for r in counts.groupBy("page").agg(F.collect_list("slot").alias("slot"), F.collect_list("n").alias("n")).toLocalIterator():
+        often[r.page * 4096 + np.array(r.slot)] = r.n
+    sent = text.sparkSession.sparkContext.broadcast(often)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = sent.value
+        for b in batches:
+            root = b.column("root").to_numpy().view(np.uint64)
+            for c in chunks(b.column("text")):
+                _, _, bound, w = words(c)
+                h, doc = shingles(w, bound, SHINGLE)
+                h, doc, _ = weighted(h, doc)
+                order = np.lexsort((h, often[_slot(h)], doc))
+                h = h[order]
+                size = np.bincount(doc, minlength=c.n)
+                at = np.arange(len(h)) - (np.cumsum(size) - size)[doc]
+                first = at <= size[doc] - np.ceil(SIMILARITY * size[doc] - 1e-9)
+                h, doc, at = h[first], doc[first], at[first]
+                token = mix(h ^ mix(root[c.lo + doc]))
+                rest = (size[doc] - at).astype(np.int64)
+                row = pa.array(c.lo + doc)
+                yield pa.record_batch([b.column("root").take(row), b.column("cls").take(row), b.column("rep").take(row), pa.array(token.view(np.int64)), pa.array(size[doc].astype(np.int64)), pa.array(rest)], names=["root", "cls", "rep", "token", "size", "rest"])
+
+    lists = materialise(text.mapInArrow(prefixes, "root long, cls long, rep long, token long, size long, rest long"))
+    mixed = lists.groupBy(F.col("token").alias("_t")).agg(F.count("*").alias("_k"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo < hi")
+    n_blocks = F.ceil(F.col("_k") / F.lit(BLOCK)).cast("int")
+    lists = materialise(lists.join(mixed, F.col("token") == F.col("_t")).select("root", "cls", "rep", "token", "size", "rest", (n_blocks - 1).alias("last"), F.pmod(F.xxhash64("rep", F.lit(3)), n_blocks).cast("int").alias("block")))
+    left = lists.select("root", "token", F.col("block").alias("i"), F.explode(F.sequence("block", "last")).alias("j"), F.col("rep").alias("a"), F.col("cls").alias("cls_a"), F.col("size").alias("size_a"), F.col("rest").alias("rest_a"))
+    right = lists.select("token", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("rep").alias("b"), F.col("cls").alias("cls_b"), F.col("size").alias("size_b"), F.col("rest").alias("rest_b"))
+    s = F.lit(SIMILARITY)
+    alike = (F.least("size_a", "size_b") >= s * F.greatest("size_a", "size_b") - 1e-6) & (F.least("rest_a", "rest_b") * (1 + s) >= s * (F.col("size_a") + F.col("size_b")) - 1e-6)
+    met = left.join(right, ["token", "i", "j"]).filter((F.col("cls_a") != F.col("cls_b")) & ((F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))) & alike)
+    pairs = met.select("root", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # two blocks meet in a task: half the size each
+    parts = own.select("rep", F.pmod(F.xxhash64("rep", F.lit(5)), F.ceil(2 * F.col("n") / F.lit(BLOCK))).cast("long").alias("part"))
+    pairs = pairs.join(parts.select(F.col("rep").alias("a"), F.col("part").alias("p")), "a").join(parts.select(F.col("rep").alias("b"), F.col("part").alias("q")), "b")
+    block = (F.least("p", "q") * F.lit(1 << 31) + F.greatest("p", "q")).alias("block")
+    pairs = materialise(pairs.groupBy("root", block, "a").agg(F.collect_list("b").alias("partners")))
+    rows = pairs.select("root", "block", F.col("a").alias("rep"), "partners").unionByName(pairs.select("root", "block", F.explode("partners").alias("rep"), F.lit(None).cast("array<long>").alias("partners")))
+    rows = rows.groupBy("root", "block", "rep").agg(F.max("partners").alias("partners")).join(own.select("rep", "cls"), "rep")
+    sets = text.select("rep", "text").mapInArrow(_shingle_sets, "rep long, sh binary")
+    ready = rows.join(sets, "rep").select("root", "block", "rep", "cls", "partners", "sh").repartition("root", "block").sortWithinPartitions("root", "block", "rep")
+    return materialise(ready.mapInArrow(_verify_pairs, "a long, b long"))
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, n_class, kept for every document: class_id is the least doc_id of its near-duplicate class.
 
@@ -166,8 +278,8 @@ def classes(docs: DataFrame) -> DataFrame:
 
     Texts of the same words are one document from the start. A bucket links its documents to its least one only; the links' components
     are the candidate groups, within which exact similarities decide, on whole shingle sets. A group of over BLOCK documents
-    is dealt out to blocks that share PIVOTS documents of the least hash, and blocks join through their verified links to those; a second
-    dealing by another hash gives pairs that no pivot joins a second chance. No group meets in one task.
+    is dealt out twice to blocks that share PIVOTS documents of the least hash, which joins most of its copies cheaply; an exact prefix-filter join
+    then finds every other pair of its texts. No group meets in one task.
 
     Null, empty or blank texts are classes of their own. Texts of 1 to 4 words have one shingle. Repeated rows (equal
     doc_id and words) are one document. Null doc_id: no row. Empty table: no rows. Other columns are not read.
@@ -195,6 +307,8 @@ def classes(docs: DataFrame) -> DataFrame:
     sets = text.select(F.col("doc_id").alias("rep"), "text").mapInArrow(_shingle_sets, "rep long, sh binary")
     ready = blocks.join(sets, "rep").select("root", "block", "rep", "sh").repartition("root", "block").sortWithinPartitions("root", "block", "rep")
     edges = materialise(ready.mapInArrow(_verify, "a long, b long"))
+    more = _across(large, text, edges)
+    edges = edges if more is None else edges.unionByName(more)
     final = components(edges).withColumnRenamed("node", "rep")
     out = materialise(member.join(final, "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("class_id")))
     n = out.groupBy("class_id").agg(F.count("*").alias("n_class"))

@@ -184,6 +184,21 @@ def test_neardup_equals_brute_force(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in neardup.classes(make(spark, rows)).collect()} == want
 
 
+def test_neardup_links_every_pair_of_large_groups(spark, monkeypatch):
+    rng = random.Random(31)
+    common = prose(rng, 90).split()  # a boilerplate that chains all texts into a few groups of candidates
+    rows = []
+    for i in range(150):
+        t = common + [f"own{i}x{j}" for j in range(60)]
+        rows.append((2 * i, " ".join(t), "en", "a"))
+        rows.append((2 * i + 1, " ".join([*t[:-3], "other", "words", f"end{i}"]), "en", "a"))
+    monkeypatch.setattr(neardup, "BLOCK", 6)
+    monkeypatch.setattr(neardup, "PIVOTS", 1)
+    want = brute_classes(rows)
+    assert len(set(want.values())) == 150
+    assert {r.doc_id: r.class_id for r in neardup.classes(make(spark, rows)).collect()} == want
+
+
 def test_neardup_edges(spark, edge_rows):
     d = make(spark, edge_rows)
     got = neardup.classes(d).collect()
