@@ -64,6 +64,12 @@ def probminhash(h: np.ndarray, doc: np.ndarray, weight: np.ndarray, n: int, m: i
     return who.reshape(n, m)
 
 
+def _bands(sig: np.ndarray) -> np.ndarray:
+    n = len(sig)
+    bands = span(prefix(sig.ravel()), np.arange(0, n * M, ROWS), np.arange(ROWS, n * M + 1, ROWS)).reshape(n, BANDS)
+    return mix(bands + np.arange(BANDS, dtype=np.uint64))
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for c in chunks(b.column("text")):
@@ -71,12 +77,17 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, doc = shingles(w, bound, SHINGLE)
             whole = span(prefix(w), bound[:-1], bound[1:]) ^ mix(np.diff(bound).astype(np.uint64))
             h, doc, weight = weighted(h, doc)
-            sig = probminhash(h, doc, weight, c.n)
             full = np.diff(bound) > 0
-            bands = span(prefix(sig.ravel()), np.arange(0, c.n * M, ROWS), np.arange(ROWS, c.n * M + 1, ROWS)).reshape(c.n, BANDS)
-            bands = mix(bands + np.arange(BANDS, dtype=np.uint64))
-            flat = pa.array(bands[full].ravel().view(np.int64))
-            offs = np.concatenate([[0], np.cumsum(np.where(full, BANDS, 0))]).astype(np.int32)
+            heavy = np.zeros(c.n, bool)
+            heavy[doc[weight > 1]] = True
+            own = heavy[doc]
+            bands = np.concatenate([
+                _bands(probminhash(h, doc, np.ones(len(h)), c.n))[full],
+                _bands(probminhash(h[own], (np.cumsum(heavy) - 1)[doc[own]], weight[own], int(heavy.sum()))),
+            ])
+            order = np.argsort(np.concatenate([np.flatnonzero(full), np.flatnonzero(heavy)]), kind="stable")
+            flat = pa.array(bands[order].ravel().view(np.int64))
+            offs = np.concatenate([[0], np.cumsum(BANDS * (full.astype(np.int64) + heavy))]).astype(np.int32)
             yield pa.record_batch([
                 b.column("doc_id").slice(c.lo, c.n),
                 pa.array(whole.view(np.int64), mask=~full),
@@ -274,7 +285,8 @@ def classes(docs: DataFrame) -> DataFrame:
 
     Documents are alike if their sets of five-word shingles have a Jaccard similarity of 0.8 or more; classes are the connected
     components of that relation over the candidates. Words are [^\\x20\\x09-\\x0D]+, unchanged. Candidates share all four registers of one of 20
-    bands of a ProbMinHash signature over shingles weighted 1 + ln(count): pairs at 0.8 meet with probability 0.99997.
+    bands of a ProbMinHash signature over shingles of equal weight: pairs at 0.8 meet with probability 0.99997. Texts that repeat shingles have a
+    second signature, weighted 1 + ln(count), whose bands add candidates.
 
     Texts of the same words are one document from the start. A bucket links its documents to its least one only; the links' components
     are the candidate groups, within which exact similarities decide, on whole shingle sets. A group of over BLOCK documents
@@ -290,7 +302,7 @@ def classes(docs: DataFrame) -> DataFrame:
     member = sig.select("doc_id", "same").join(same.withColumnRenamed("same", "_same"), F.col("same") == F.col("_same"), "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
     member = materialise(member.distinct())
     reps = sig.filter("same is not null").groupBy("same").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("rep"))
-    band = materialise(reps.select("rep", F.explode("bands").alias("band")))
+    band = materialise(reps.select("rep", F.explode(F.array_distinct("bands")).alias("band")))
     bucket = materialise(band.groupBy("band").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).filter("n > 1").select("band", "lead"))
     star = band.join(bucket, "band").filter("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b"))
     group = materialise(components(star))

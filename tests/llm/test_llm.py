@@ -199,6 +199,17 @@ def test_neardup_links_every_pair_of_large_groups(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in neardup.classes(make(spark, rows)).collect()} == want
 
 
+def test_neardup_candidates_meet_whatever_repeats():
+    texts = []
+    for i in range(40):
+        shared = " ".join(f"s{i}x{j}" for j in range(204))
+        texts += [f"{shared} " + " ".join(" ".join(f"{side}{i}x{j}" for j in range(20)) for _ in range(50)) for side in "ab"]  # set Jaccard 200 of 248
+    batch = pa.record_batch([pa.array(range(80), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    bands = [set(x) for b in neardup._signatures(iter([batch])) for x in b.column("bands").to_pylist()]
+    assert all(bands[i] & bands[i + 1] for i in range(0, 80, 2))
+    assert not bands[0] & bands[2]
+
+
 def test_neardup_edges(spark, edge_rows):
     d = make(spark, edge_rows)
     got = neardup.classes(d).collect()
