@@ -1,15 +1,24 @@
-"""Column-wise construction over many short documents: each round adds one symbol to every document and updates order and common prefixes.
+"""Column-wise construction over many short documents: each round adds one symbol to every document and updates order, transform and common prefixes.
 
 This is the multi-string Burrows-Wheeler construction that works from the documents' ends: in round j the order of the suffixes that start at column j
 follows from that of column j+1 by one stable sort on the new symbols, whose sequence in the former order is that round's part of the collection's
-transform; the common prefix of neighbours with the same new symbol is one more than the least between them before, and 0 otherwise. A round reads
-and writes each of these sequences once, front to back. Documents of a block are aligned (by a shared k-gram), so equal windows start
-in the same column, and only the current column's suffixes have to be in order together.
+transform; the common prefix of neighbours with the same new symbol is one more than the least between them before, and 0 otherwise.
+
+Documents of a block are aligned (by a shared k-gram), so equal windows start in the same column, and only the current column's suffixes have to be in
+order together. A round reads what the round before left and hands on a file of its own, front to back: order, common prefixes and transform of its
+column. The files of all blocks are rows of one table in the shared folder, written in the order of the rounds and read once, sequentially, for
+the verdicts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+
+#: Prefixes are stored up to this length.
+LONGEST = 65_535
 
 
 def rounds(sym: np.ndarray, group: np.ndarray):
@@ -38,24 +47,66 @@ def rounds(sym: np.ndarray, group: np.ndarray):
         yield j, order, lcp[:m], sym[order, j - 1] if j else np.zeros(m, sym.dtype)
 
 
-def repeated_windows(content: list[bytes], left: np.ndarray, n: np.ndarray, weight: np.ndarray, group: np.ndarray, size: int) -> list[np.ndarray]:
-    """Per document the numbers of its windows of `size` bytes that occur twice or more in its group (a document of weight w counts as w).
+def column_files(content: list[bytes], left: np.ndarray, group: np.ndarray) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """(column, order, lcp, bwt) of each round, last column first, for the documents that have a symbol there; place of the shared k-gram in them: left.
 
-    content: bytes of n + size - 1; left: place of the shared k-gram in it; windows 0..n-1 start there.
+    order int32, lcp and bwt uint16 (a byte is stored as one more, no symbol as 0). A document without a symbol in a column comes before all others of its group,
+    with which it shares no prefix, so leaving it out changes no prefix of the others.
     """
-    m = len(content)
-    lo, hi = int(left.max()), int((n - 1 + size - left).max())
-    sym = np.zeros((m, lo + hi), np.uint16)
+    lo = int(left.max())
+    sym = np.zeros((len(content), int(max(lo - a + len(b) for a, b in zip(left, content, strict=True)))), np.uint16)
     for i, b in enumerate(content):
         sym[i, lo - left[i] : lo - left[i] + len(b)] = np.frombuffer(b, np.uint8).astype(np.uint16) + 1
-    first = lo - left
-    hit = np.zeros((m, lo + int((n - left).max())), bool)
-    for j, order, lcp, _ in rounds(sym, group):
-        if j >= hit.shape[1]:
-            continue
-        f = first[order]
-        ok = (f <= j) & (j < f + n[order])
-        cls = np.cumsum(lcp < size) - 1
-        count = np.bincount(cls, np.where(ok, weight[order], 0))
-        hit[order, j] = ok & (count[cls] >= 2)
-    return [np.flatnonzero(hit[i, first[i] : first[i] + n[i]]) for i in range(m)]
+    for j, order, lcp, bwt in rounds(sym, group):
+        has = sym[order, j] > 0
+        yield j, order[has].astype(np.int32).tobytes(), np.minimum(lcp[has], LONGEST).astype(np.uint16).tobytes(), bwt[has].tobytes()
+
+
+def repeats_of(order: bytes, lcp: bytes, size: int) -> bytes:
+    """Bits by document, set for those whose string of `size` symbols from this column on is another document's too: neighbours in order share as much. Empty if none is."""
+    long = np.frombuffer(lcp, np.uint16) >= size
+    hit = long.copy()
+    hit[:-1] |= long[1:]
+    docs = np.frombuffer(order, np.int32)[hit]
+    if not len(docs):
+        return b""
+    bits = np.zeros(int(docs.max()) + 1, bool)
+    bits[docs] = True
+    return np.packbits(bits).tobytes()
+
+
+FILES = "block string, col int, docs binary, lcp binary, bwt binary"
+
+
+def write(block: str, header: bytes, content: list[bytes], left: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The files of a block as rows (FILES), in the order of the rounds; header comes first, as column -1."""
+    names = [x.split()[0] for x in FILES.split(", ")]
+    rows = [(block, -1, header, b"", b"")]
+    held = 0
+    for j, order, lcp, bwt in column_files(content, left, group):
+        rows.append((block, j, order, lcp, bwt))
+        held += 2 * len(order)
+        if held > 1 << 22:
+            yield _batch(rows, names)
+            rows, held = [], 0
+    yield _batch(rows, names)
+
+
+def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+
+
+def verdicts(size: int):
+    """mapInArrow over rows of FILES: (block, col, hit): per column the bits of repeats_of(); the header's row passes, columns without any don't."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            block, col, hit = [], [], []
+            for x, j, order, lcp in zip(*(b.column(n).to_pylist() for n in ("block", "col", "docs", "lcp")), strict=True):
+                got = order if j < 0 else repeats_of(order, lcp, size)
+                if got:
+                    block.append(x), col.append(j), hit.append(got)
+            yield pa.record_batch([pa.array(block, pa.string()), pa.array(col, pa.int32()), pa.array(hit, pa.binary())], names=["block", "col", "hit"])
+
+    return run

@@ -1,274 +1,298 @@
-"""Removal of repeated substrings: of words by De Bruijn compaction, of bytes by column-wise construction.
-
-Both walk the same road, so that no occurrence of a window is shuffled alone:
-
-1.  One pass cuts every text into runs of windows around a common anchor (anchors.py); a run is a path of consecutive edges in the graph whose edges are
-    the windows. Its row has hashes of the anchor and of the whole content, not the content.
-2.  Per anchor, its occurrences and contents are counted (combined before the shuffle). Where all runs of an anchor have one content, the path doesn't
-    branch: it is compact, and one join settles every window of every copy.
-3.  Where contents differ, each distinct content is fetched once, at one source coordinate, however many copies it has, and the contents of an anchor meet
-    in a block. There the words' operator compares edges (window hashes) and the bytes' operator builds order and common prefixes column by column.
-    An anchor of over `limit` distinct contents goes window by window through an aggregation instead, so that no group is unbounded.
-4.  Joins on (anchor, content) carry the verdicts back to all source coordinates; a last join gives each text its spans.
+"""Removal of repeated substrings: of words by De Bruijn compaction (graph.py), of bytes by column-wise construction (columns.py).
+
+Both start alike, so that no occurrence of a window is shuffled alone (anchors.py): one pass cuts every text into runs of windows around a common anchor,
+and only runs whose anchor repeats go on. Copies of a run collapse into one content before anything is fetched, and each content's symbols are read
+once, at one source coordinate, however many copies it has. Verdicts on contents go back to all occurrences by joins that broadcast hot contents.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import anchors, columns
-from .scratch import drop, materialise, release
-from .tokens import Chunk, chunks, prefix, span, words
+from . import columns
+from .anchors import Kind, cut, digests, fetch, keyed, meeting, wants
+from .scratch import drop, materialise, release, skew_join
+from .tokens import span
 
-#: Distinct contents of one anchor that meet in one task.
+#: Distinct contents of one anchor that meet in a block; those of larger ones meet window by window.
 LIMIT = 20_000
 #: Bytes of content that a block of anchors gathers before it is worked on.
 BLOCK_BYTES = 1 << 20
 
 
-@dataclass(frozen=True)
-class Kind:
-    unit: str  # word or byte
-    size: int
-    k: int
-    across_docs: bool  # only windows that start in a document of a smaller doc_id count; else any that start elsewhere
+# words: the De Bruijn graph
+
+
+def _edges(kind: Kind):
+    """The edges of each wanted content, in order: an edge is a window of `size` words and joins the nodes of its first and its last size - 1 words."""
 
-    def symbols(self, c: Chunk) -> tuple[np.ndarray, np.ndarray]:
-        """Prefix sums over the symbols and the documents' boundaries in symbols."""
-        if self.unit == "byte":
-            return prefix(c.buf.astype(np.uint64) + np.uint64(1)), c.offs
-        _, _, bound, h = words(c)
-        return prefix(h), bound
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for pre, bound, _, _, f, doc in wants(b, kind):
+                n = f["n"].astype(np.int64)
+                owner = np.repeat(np.arange(len(n)), n)
+                off = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+                at = bound[doc][owner] + f["start"][owner] + off
+                edge = span(pre, at, at + kind.size).view(np.int64)
+                first, final = off == 0, off == n[owner] - 1
+                before, after = np.roll(edge, 1), np.roll(edge, -1)
+                before[first] = after[final] = 0  # the path goes on under another anchor, or ends
+                cols = [*(f[x][owner] for x in ("w0", "w1", "anchor")), off.astype(np.int32), edge, before, after, *(f[x][owner] for x in ("doc", "key")), (f["start"][owner] + off).astype(np.int32), f["last"][owner]]
+                yield pa.record_batch([pa.array(x) for x in cols], names=[x.split()[0] for x in _EDGE.split(", ")])
 
+    return run
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    text = F.col("text").cast("string")
-    return docs.select("doc_id", text.alias("text"), F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(text, F.lit(""))).alias("key"))
 
+_EDGE = "w0 long, w1 long, anchor long, off int, edge long, before long, after long, doc long, key long, pos int, last long"
+
+
+def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stretches of rows (content, off, lead, branch) that arrive sorted by content and off: nonbranching paths of edges whose first places are one path too."""
+    for b in batches:
+        f = {x: b.column(x).to_numpy(zero_copy_only=False) for x in b.schema.names}
+        if not b.num_rows:
+            continue
+        new = np.ones(b.num_rows, bool)
+        same = ~f["joins"][1:] & ~f["forks"][:-1]
+        for x in ("w0", "w1", "lead_doc", "lead_key"):
+            same &= f[x][1:] == f[x][:-1]
+        for x in ("off", "lead_pos"):
+            same &= f[x][1:] == f[x][:-1] + 1
+        new[1:] = ~same
+        at = np.flatnonzero(new)
+        n = np.diff(np.append(at, b.num_rows)).astype(np.int32)
+        cols = [b.column(x).take(pa.array(at)) for x in ("w0", "w1", "off")] + [pa.array(n)] + [b.column(x).take(pa.array(at)) for x in ("lead_doc", "lead_key", "lead_pos", "c")]
+        yield pa.record_batch(cols, names=["w0", "w1", "off", "len", "lead_doc", "lead_key", "lead_pos", "c"])
+
+
+def compact(texts: DataFrame, contents: DataFrame, kind: Kind) -> DataFrame:
+    """w0, w1, off, len, lead_doc, lead_key, lead_pos, c: the repeated paths of each content: len edges from off on, first seen at (lead_doc, lead_key, lead_pos).
+
+    An anchor's only content is a path without branches. Where an anchor has several, their edges are counted by the anchor and the edge: an edge repeats
+    if its least document is below its last one, its left node joins paths if different edges come before it, and its right node forks if different
+    ones follow. Joins carry this back to the contents, whose edges merge to paths up to the next node that joins or forks.
+    """
+    wanted = contents.filter("m > 1").select("w0", "w1", "anchor", F.col("lead_doc").alias("doc"), F.col("lead_key").alias("key"), F.col("lead_start").alias("start"), "n", "last")
+    edges = materialise(fetch(texts, wanted, ["w0", "w1", "anchor", "doc", "key", "start", "n", "last"], _edges(kind), _EDGE))
+    by = edges.groupBy("anchor", "edge").agg(
+        F.min(F.struct("doc", "key", "pos")).alias("lead"), F.max("last").alias("last"), F.count("*").alias("k"),
+        (F.min("before") != F.max("before")).alias("joins"), (F.min("after") != F.max("after")).alias("forks"),
+    )
+    graph = materialise(by.filter("lead.doc < last").select("anchor", "edge", F.col("lead.doc").alias("lead_doc"), F.col("lead.key").alias("lead_key"), F.col("lead.pos").alias("lead_pos"), "k", "joins", "forks"))
+    back = skew_join(edges.select("w0", "w1", "off", "anchor", "edge"), graph, ["anchor", "edge"], "k", edges.count())
+    counted = contents.filter("m > 1").select("w0", "w1", "c")
+    rows = back.drop("anchor", "edge", "k").join(counted, ["w0", "w1"]).sortWithinPartitions("w0", "w1", "off")
+    paths = rows.mapInArrow(_paths, "w0 long, w1 long, off int, len int, lead_doc long, lead_key long, lead_pos int, c long")
+    single = contents.filter("m = 1 and lead_doc < last").select("w0", "w1", F.lit(0).alias("off"), F.col("n").alias("len"), "lead_doc", "lead_key", F.col("lead_start").alias("lead_pos"), "c")
+    out = materialise(single.unionByName(paths))
+    drop(edges, graph)
+    return out
+
+
+def _long_spans(size: int):
+    """The paths of each text merged where both they and their first places go on: (doc, key, start, end, lead_doc, lead_key, lead_start) in words."""
 
-def _run_rows(kind: Kind):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key, ids = b.column("key").to_numpy(), b.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False)
-            for c in chunks(b.column("text")):
-                pre, bound = kind.symbols(c)
-                r = anchors.runs(pre, bound, kind.size, kind.k)
-                doc = r["doc"] + c.lo
-                cols = [key[doc], ids[doc].astype(np.int64), r["start"].astype(np.int32), r["n"].astype(np.int32), r["left"].astype(np.int32), r["anchor"], r["whole"]]
-                yield pa.record_batch([pa.array(x) for x in cols], names=["key", "doc_id", "start", "n", "left", "anchor", "whole"])
+            rows = []
+            for doc, key, paths in zip(*(b.column(x).to_pylist() for x in ("doc", "key", "paths")), strict=True):
+                here = None
+                for p in sorted(paths, key=lambda p: (p["lead_doc"], p["lead_key"], p["lead_pos"] - p["start"], p["start"])):
+                    line = (p["lead_doc"], p["lead_key"], p["lead_pos"] - p["start"])
+                    if here and here[0] == line and p["start"] <= here[2]:
+                        here[2] = max(here[2], p["start"] + p["len"])
+                        continue
+                    if here:
+                        rows.append((doc, key, here))
+                    here = [line, p["start"], p["start"] + p["len"]]
+                rows.append((doc, key, here))
+            cols = [[r[0] for r in rows], [r[1] for r in rows], [r[2][1] for r in rows], [r[2][2] + size - 1 for r in rows], [r[2][0][0] for r in rows], [r[2][0][1] for r in rows], [r[2][0][2] + r[2][1] for r in rows]]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], names=["doc", "key", "start", "end", "lead_doc", "lead_key", "lead_start"])
 
     return run
 
 
-def _contents(kind: Kind):
-    """For each wanted run of a text: its content (bytes), or its windows' hashes (words, and bytes of anchors over the limit)."""
+def _sha(kind: Kind):
+    """SHA-256 of the wanted spans' words, each followed by a space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            want = b.column("want")
-            offs = want.offsets.to_numpy()
-            flat = want.flatten()
-            f = {flat.type.field(i).name: flat.field(i).to_numpy(zero_copy_only=False) for i in range(flat.type.num_fields)}
-            base = int(offs[0])
-            for c in chunks(b.column("text")):
-                pre, bound = kind.symbols(c)
-                lo, hi = int(offs[c.lo]) - base, int(offs[c.lo + c.n]) - base
-                doc = np.repeat(np.arange(c.n), np.diff(offs[c.lo : c.lo + c.n + 1]))
-                out = []
-                for i, d in zip(range(lo, hi), doc, strict=True):
-                    at = int(bound[d]) + int(f["start"][i])
-                    if kind.unit == "byte" and not f["hot"][i]:
-                        out.append(c.buf[at : at + int(f["n"][i]) + kind.size - 1].tobytes())
-                    else:
-                        s = np.arange(at, at + int(f["n"][i]))
-                        out.append(span(pre, s, s + kind.size).tobytes())
-                sl = slice(lo, hi)
-                cols = [f["anchor"][sl], f["whole"][sl], f["doc_id"][sl].astype(np.int64), f["c"][sl].astype(np.int64), f["left"][sl].astype(np.int32), f["n"][sl].astype(np.int32)]
-                yield pa.record_batch([*(pa.array(x) for x in cols), pa.array(f["hot"][sl].astype(bool)), pa.array(out, pa.binary())], names=["anchor", "whole", "doc_id", "c", "left", "n", "hot", "content"])
+            for _, bound, raw, at, f, doc in wants(b, kind):
+                lo, hi = at[bound[doc] + f["lead_start"]], at[bound[doc] + f["lead_start"] + f["len"]]
+                sha = [sha256(raw[x:y].tobytes()).digest() for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
+                yield pa.record_batch([*(pa.array(f[x]) for x in ("doc", "key", "lead_start", "len", "k")), pa.array(sha, pa.binary())], names=["lead_doc", "lead_key", "lead_start", "len", "k", "sha"])
 
     return run
 
 
-def _spans_by_lead(lead: np.ndarray) -> list[tuple[int, int, int]]:
-    """(offset, windows, lead) for the maximal stretches of one lead; stretches of the largest int64 (no other occurrence) are left out."""
-    cut = np.flatnonzero(np.append(True, lead[1:] != lead[:-1]))
-    n = np.diff(np.append(cut, len(lead)))
-    return [(int(a), int(z), int(x)) for a, z, x in zip(cut, n, lead[cut], strict=True) if x != NONE]
-
-
-NONE = np.iinfo(np.int64).max
-
-
-def _judge(kind: Kind, rows: list[tuple]) -> list[tuple[int, int, list]]:
-    """rows (anchor, whole, doc_id, c, left, n, content) of whole anchors -> (anchor, whole, [(offset, windows, lead)])."""
-    group = np.unique(np.array([r[0] for r in rows]), return_inverse=True)[1]
-    n = np.array([r[5] for r in rows], np.int64)
-    if kind.unit == "byte":
-        hits = columns.repeated_windows([r[6] for r in rows], np.array([r[4] for r in rows], np.int64), n, np.array([r[3] for r in rows], np.int64), group, kind.size)
-        out = []
-        for r, h, m in zip(rows, hits, n, strict=True):
-            lead = np.full(m, NONE)
-            lead[h] = 0
-            out.append((r[0], r[1], _spans_by_lead(lead)))
-        return out
-    edge = np.concatenate([np.frombuffer(r[6], np.uint64) for r in rows])
-    owner = np.repeat(np.arange(len(rows)), n)
-    doc = np.array([r[2] for r in rows], np.int64)[owner]
-    inv = _ids(group[owner], edge)
-    least = np.full(inv.max() + 1, NONE)
-    np.minimum.at(least, inv, doc)
-    lead = least[inv]
-    cut = np.concatenate([[0], np.cumsum(n)])
-    return [(r[0], r[1], _spans_by_lead(lead[cut[i] : cut[i + 1]])) for i, r in enumerate(rows)]
-
-
-def _ids(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Numbers of the distinct pairs."""
-    order = np.lexsort((b, a))
-    new = np.ones(len(a), bool)
-    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-    out = np.empty(len(a), np.int64)
-    out[order] = np.cumsum(new) - 1
-    return out
+def verified(texts: DataFrame, spans: DataFrame, kind: Kind) -> DataFrame:
+    """doc, key, start, end, sha: each span with the SHA-256 of the words at its first place, against which cut() holds the span's own words."""
+    spans = spans.withColumn("len", F.col("end") - F.col("start"))
+    on = ["lead_doc", "lead_key", "lead_start", "len"]
+    asked = materialise(spans.groupBy(*on).agg(F.count("*").alias("k")))
+    wanted = asked.select(F.col("lead_doc").alias("doc"), F.col("lead_key").alias("key"), "lead_start", "len", "k")
+    sha = materialise(fetch(texts, wanted, ["doc", "key", "lead_start", "len", "k"], _sha(kind), "lead_doc long, lead_key long, lead_start int, len int, k long, sha binary"))
+    return skew_join(spans, sha, on, "k", spans.count()).select("doc", "key", "start", "end", "sha")
+
 
+def remove_words(docs: DataFrame, size: int = 50, k: int = 12) -> DataFrame:
+    """Removes each word covered by a window of `size` words whose sequence also starts in a document of a smaller doc_id.
 
-_VERDICT = "anchor long, whole long, spans array<struct<off:int,len:int,lead:long>>"
-_VERDICT_ARROW = pa.list_(pa.struct([("off", pa.int32()), ("len", pa.int32()), ("lead", pa.int64())]))
+    Words are [^\\x20\\x09-\\x0D]+, unchanged; kept has the words left, joined by one space. Windows are judged on the input. They are the edges of a De Bruijn
+    graph, partitioned by anchors, whose repeated nonbranching paths are compacted by joins, merged to long spans and verified at their source
+    coordinates: a span is removed if the SHA-256 of its words is that of the words at its first place.
 
+    Null or empty text: no words, nothing removed. Null doc_id: neither removes nor loses words. Rows of one doc_id don't remove each other's words,
+    repeated rows have equal results. Empty table: no rows. Other columns are not read.
+    """
+    kind = Kind("word", size, k)
+    texts = keyed(docs.filter("doc_id is not null")).drop("doc_id")
+    met, contents = meeting(texts, kind, across_docs=True)
+    paths = compact(texts, contents, kind)
+    found = skew_join(met, paths, ["w0", "w1"], "c", met.count()).filter("doc > lead_doc")
+    lists = found.groupBy("doc", "key").agg(F.collect_list(F.struct((F.col("start") + F.col("off")).alias("start"), "len", "lead_doc", "lead_key", "lead_pos")).alias("paths"))
+    spans = materialise(lists.mapInArrow(_long_spans(size), "doc long, key long, start int, end int, lead_doc long, lead_key long, lead_start int"))
+    drop(met, contents, paths)
+    release(docs.sparkSession)
+    return cut(docs, kind, materialise(verified(texts, spans, kind)))
 
-def _blocks(kind: Kind):
-    """Judges blocks of whole anchors of rows that arrive sorted by anchor."""
 
-    def out(rows):
-        got = _judge(kind, rows)
-        return pa.record_batch([
-            pa.array([g[0] for g in got], pa.int64()),
-            pa.array([g[1] for g in got], pa.int64()),
-            pa.array([[{"off": a, "len": z, "lead": x} for a, z, x in g[2]] for g in got], _VERDICT_ARROW),
-        ], names=["anchor", "whole", "spans"])
+# bytes: column-wise construction
+
+
+def _contents(kind: Kind):
+    """The bytes of each wanted content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, held = [], 0
         for b in batches:
-            for r in zip(*(b.column(x).to_pylist() for x in ("anchor", "whole", "doc_id", "c", "left", "n", "content")), strict=True):
-                if rows and held >= BLOCK_BYTES and r[0] != rows[-1][0]:
-                    yield out(rows)
-                    rows, held = [], 0
-                rows.append(r)
-                held += len(r[6])
-        if rows:
-            yield out(rows)
+            for _, bound, raw, at, f, doc in wants(b, kind):
+                lo = at[bound[doc] + f["start"]]
+                out = [raw[x : x + n + kind.size - 1].tobytes() for x, n in zip(lo.tolist(), f["n"].tolist(), strict=True)]
+                yield pa.record_batch([*(pa.array(f[x]) for x in ("anchor", "w0", "w1", "n", "left", "c", "m")), pa.array(out, pa.binary())], names=["anchor", "w0", "w1", "n", "left", "c", "m", "content"])
 
     return run
 
 
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Window hashes of contents over the limit, one row each."""
+_HEADER = np.dtype([("w0", "i8"), ("w1", "i8"), ("first", "i4"), ("n", "i4"), ("c", "i8")])
+
+
+def _write_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Column files of blocks of whole anchors, whose rows arrive sorted by anchor."""
+    part, number = TaskContext.get().partitionId(), 0
+
+    def out(rows):
+        left = np.array([r[4] for r in rows], np.int64)
+        head = np.zeros(len(rows), _HEADER)
+        head["w0"], head["w1"], head["n"], head["c"] = ([r[i] for r in rows] for i in (1, 2, 3, 5))
+        head["first"] = left.max() - left
+        group = np.unique(np.array([r[0] for r in rows]), return_inverse=True)[1]
+        yield from columns.write(f"{part}-{number}", head.tobytes(), [r[6] for r in rows], left, group)
+
+    rows, held = [], 0
     for b in batches:
-        for anchor, whole, doc, c, content in zip(*(b.column(x).to_pylist() for x in ("anchor", "whole", "doc_id", "c", "content")), strict=True):
-            fp = np.frombuffer(content, np.int64)
-            yield pa.record_batch([pa.array(np.full(len(fp), anchor)), pa.array(np.full(len(fp), whole)), pa.array(np.arange(len(fp), dtype=np.int32)), pa.array(fp), pa.array(np.full(len(fp), doc)), pa.array(np.full(len(fp), c))], names=["anchor", "whole", "off", "fp", "doc_id", "c"])
-
-
-def spans(docs: DataFrame, kind: Kind, limit: int = LIMIT) -> DataFrame:
-    """key, spans array<struct<start, n>>: per text (key of _keyed) the windows to remove, as stretches of n windows from start."""
-    keyed = _keyed(docs)
-    source = keyed.filter("doc_id is not null") if kind.across_docs else keyed.withColumn("doc_id", F.lit(0).cast("long"))
-    runs = materialise(source.mapInArrow(_run_rows(kind), "key long, doc_id long, start int, n int, left int, anchor long, whole long"))
-    again = materialise(anchors.repeated(runs, kind.across_docs))
-    met = materialise(runs.join(again, F.col("anchor") == F.col("_anchor")).drop("_anchor", "c"))
-    drop(runs)
-    release(docs.sparkSession)
-    settled = met.filter("not mixed").filter("doc_id > lead" if kind.across_docs else "true").select("key", "start", "n")
-    mixed = met.filter("mixed").drop("lead", "mixed")
-    distinct = mixed.groupBy("anchor", "whole").agg(F.min(F.struct("doc_id", "key", "start", "n", "left")).alias("r"), F.count("*").alias("c"))
-    distinct = materialise(distinct.select("anchor", "whole", "r.*", "c"))
-    hot = distinct.groupBy(F.col("anchor").alias("_anchor")).agg(F.count("*").alias("m")).filter(F.col("m") > limit)
-    wanted = distinct.join(hot, F.col("anchor") == F.col("_anchor"), "left").withColumn("hot", F.col("m").isNotNull()).drop("_anchor", "m")
-    wanted = wanted.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("anchor", "whole", "doc_id", "c", "left", "start", "n", "hot")).alias("want"))
-    one = keyed.join(wanted, F.col("key") == F.col("_key")).dropDuplicates(["key"]).select("text", "want")
-    contents = materialise(one.mapInArrow(_contents(kind), "anchor long, whole long, doc_id long, c long, left int, n int, hot boolean, content binary"))
-    release(docs.sparkSession)
-    cool = contents.filter("not hot").repartition("anchor").sortWithinPartitions("anchor", "whole")
-    verdict = cool.mapInArrow(_blocks(kind), _VERDICT)
-    if contents.filter("hot").limit(1).count():
-        window = contents.filter("hot").mapInArrow(_unpack, "anchor long, whole long, off int, fp long, doc_id long, c long")
-        window = materialise(window)
-        by = window.groupBy(F.col("fp").alias("_fp")).agg(F.min("doc_id").alias("lead"), F.sum("c").alias("total"))
-        by = materialise(by if kind.across_docs else by.filter("total > 1"))
-        got = window.join(by, F.col("fp") == F.col("_fp")).groupBy("anchor", "whole").agg(F.collect_list(F.struct("off", F.lit(1).alias("len"), "lead")).alias("spans"))
-        verdict = verdict.unionByName(got)
-    verdict = materialise(verdict.select(F.col("anchor").alias("_a"), F.col("whole").alias("_w"), "spans").filter(F.size("spans") > 0))
-    drop(contents, distinct)
-    back = mixed.join(verdict, (F.col("anchor") == F.col("_a")) & (F.col("whole") == F.col("_w"))).select("key", "doc_id", "start", F.explode("spans").alias("s"))
-    if kind.across_docs:
-        back = back.filter("s.lead < doc_id")
-    back = back.select("key", (F.col("start") + F.col("s.off")).alias("start"), F.col("s.len").alias("n"))
-    both = settled.unionByName(back)
-    out = materialise(both.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("start", "n")).alias("spans")))
-    drop(met, again, verdict)
-    release(docs.sparkSession)
-    return out
+        for r in zip(*(b.column(x).to_pylist() for x in ("anchor", "w0", "w1", "n", "left", "c", "content")), strict=True):
+            if rows and held >= BLOCK_BYTES and r[0] != rows[-1][0]:
+                yield from out(rows)
+                rows, held, number = [], 0, number + 1
+            rows.append(r)
+            held += len(r[6])
+    if rows:
+        yield from out(rows)
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """w0, w1, off, len, c of the repeated windows of contents that occur once, from rows (block, col, hit) sorted by block and column."""
+
+    def out(head, hits):
+        cols: list[list] = [[] for _ in range(5)]
+        if hits:
+            seen = np.zeros((len(head), max(hits) + 1), bool)
+            for j, bits in hits.items():
+                got = np.unpackbits(np.frombuffer(bits, np.uint8))[: len(head)].view(bool)
+                seen[: len(got), j] = got
+            for h, row in zip(head.tolist(), seen, strict=True):
+                w0, w1, first, n, c = h
+                if c > 1:
+                    continue  # all of it repeats
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], row[first : first + n].astype(np.int8), [0]])))
+                for a, z in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True):
+                    for col, v in zip(cols, (w0, w1, a, z - a, c), strict=True):
+                        col.append(v)
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+        return pa.record_batch([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], names=["w0", "w1", "off", "len", "c"])
+
+    block, head, hits = None, None, {}
+    for b in batches:
+        for x, j, hit in zip(*(b.column(n).to_pylist() for n in ("block", "col", "hit")), strict=True):
+            if x != block:
+                if block is not None:
+                    yield out(head, hits)
+                block, head, hits = x, np.frombuffer(hit, _HEADER), {}
+            else:
+                hits[j] = hit
+    if block is not None:
+        yield out(head, hits)
+
 
+def _windows(kind: Kind):
+    """Every window of contents over the limit, by a 128-bit digest of its bytes."""
 
-def _cut(kind: Kind):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text, total, gone, count, where = b.column("text"), [], [], [], []
-            kept = []
-            lists = b.column("spans").to_pylist()
-            for t, s in zip(text.cast(pa.binary()).to_pylist(), lists, strict=True):
-                t = t or b""
-                sym = t.split() if kind.unit == "word" else t
-                if s:
-                    start = np.array([x["start"] for x in s], np.int64)
-                    a, z = anchors.merge_spans(start, start + np.array([x["n"] for x in s], np.int64) - 1 + kind.size)
-                    at, parts = 0, []
-                    for lo, hi in zip(a.tolist(), z.tolist(), strict=True):
-                        parts.append(sym[at:lo])
-                        at = hi
-                    parts.append(sym[at:])
-                    kept.append(b" ".join(w for p in parts for w in p) if kind.unit == "word" else b"".join(parts))
-                else:
-                    a = z = np.zeros(0, np.int64)
-                    kept.append(b" ".join(sym) if kind.unit == "word" else t)
-                total.append(len(sym)), gone.append(int((z - a).sum())), count.append(len(a))
-                where.append([{"start": int(x), "end": int(y)} for x, y in zip(a, z, strict=True)])
-            yield pa.record_batch([
-                b.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()),
-                pa.array(where, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()),
-            ], names=["doc_id", "n", "n_removed", "n_spans", "spans", "kept"])
+            for w0, w1, n, c, content in zip(*(b.column(x).to_pylist() for x in ("w0", "w1", "n", "c", "content")), strict=True):
+                at = np.arange(n)
+                d = digests(np.frombuffer(content, np.uint8), at, at + kind.size)
+                same = [pa.array(np.full(n, x)) for x in (w0, w1, c)]
+                yield pa.record_batch([*same, pa.array(at.astype(np.int32)), pa.array(d[:, 0]), pa.array(d[:, 1])], names=["w0", "w1", "c", "off", "d0", "d1"])
 
     return run
 
 
-def remove(docs: DataFrame, kind: Kind, limit: int = LIMIT) -> DataFrame:
-    """doc_id, n, n_removed, n_spans, spans (start, end in symbols), kept (bytes) for every row of docs."""
-    found = spans(docs, kind, limit)
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary"
-    return _keyed(docs).join(found, F.col("key") == F.col("_key"), "left").select("doc_id", "text", "spans").mapInArrow(_cut(kind), schema)
-
-
-def remove_words(docs: DataFrame, size: int = 50, k: int = 12, limit: int = LIMIT) -> DataFrame:
-    """Removes each word covered by a window of `size` words whose sequence also starts in a document of a smaller doc_id.
-
-    Words are [^\\x20\\x09-\\x0D]+, unchanged; kept has the words left, joined by one space. Windows are judged on the input. Null or empty text: no words,
-    nothing removed. Null doc_id: neither removes nor loses words. Rows of one doc_id don't remove each other's words, repeated rows have equal results.
-    Empty table: no rows. Other columns are not read. Windows are told apart by 64-bit hashes.
-    """
-    return remove(docs, Kind("word", size, k, True), limit)
+def repeated_bytes(texts: DataFrame, contents: DataFrame, kind: Kind, limit: int = LIMIT) -> DataFrame:
+    """w0, w1, off, len, c: the stretches of windows of each content that occur elsewhere too. All windows of a content that occurs twice do."""
+    whole = contents.filter("c > 1").select("w0", "w1", F.lit(0).alias("off"), F.col("n").alias("len"), "c")
+    fields = ["anchor", "w0", "w1", "start", "n", "left", "c", "m"]
+    wanted = contents.filter("m > 1").select("anchor", "w0", "w1", F.col("lead_doc").alias("doc"), F.col("lead_key").alias("key"), F.col("lead_start").alias("start"), "n", "left", "c", "m")
+    kept = materialise(fetch(texts, wanted, fields, _contents(kind), "anchor long, w0 long, w1 long, n int, left int, c long, m long, content binary"))
+    release(texts.sparkSession)
+    files = materialise(kept.filter(F.col("m") <= limit).repartition("anchor").sortWithinPartitions("anchor", "w0", "w1").mapInArrow(_write_blocks, columns.FILES))
+    hits = files.select("block", "col", "docs", "lcp").mapInArrow(columns.verdicts(kind.size), "block string, col int, hit binary")
+    out = whole.unionByName(hits.repartition("block").sortWithinPartitions("block", "col").mapInArrow(_stretches, "w0 long, w1 long, off int, len int, c long"))
+    hot = kept.filter(F.col("m") > limit)
+    if not hot.isEmpty():
+        window = materialise(hot.mapInArrow(_windows(kind), "w0 long, w1 long, c long, off int, d0 long, d1 long"))
+        by = window.groupBy("d0", "d1").agg(F.sum("c").alias("total"), F.count("*").alias("k"))
+        by = materialise(by.filter("total > 1").select("d0", "d1", "k"))
+        out = out.unionByName(skew_join(window.filter("c = 1"), by, ["d0", "d1"], "k", window.count()).select("w0", "w1", "off", F.lit(1).alias("len"), "c"))
+    out = materialise(out)
+    drop(kept, files)
+    return out
 
 
 def remove_bytes(docs: DataFrame, size: int = 400, k: int = 32, limit: int = LIMIT) -> DataFrame:
     """Removes each UTF-8 byte covered by a string of `size` bytes that also starts anywhere else in the table, overlapping itself included.
 
-    kept has the bytes left, which may not be valid UTF-8. Strings are judged on the input and never cross rows. Null or empty text: no bytes, nothing removed.
-    A repeated row is another place, so both lose all of a text of `size` bytes or more. Empty table: no rows. Other columns are not read.
+    kept has the bytes left, which may not be valid UTF-8. Strings are judged on the input and never cross rows. Contents of one anchor are compared
+    by the column-wise construction, byte by byte; those of an anchor with over `limit` distinct contents by a 128-bit digest of each window.
+
+    Null or empty text: no bytes, nothing removed. A repeated row is another place, so both lose all of a text of `size` bytes or more. Null doc_id: as any
+    other. Empty table: no rows. Other columns are not read.
     """
-    return remove(docs, Kind("byte", size, k, False), limit)
+    kind = Kind("byte", size, k)
+    texts = keyed(docs).drop("doc_id")
+    met, contents = meeting(texts, kind, across_docs=False)
+    verdict = repeated_bytes(texts, contents, kind, limit)
+    found = skew_join(met, verdict, ["w0", "w1"], "c", met.count())
+    start = F.col("start") + F.col("off")
+    spans = materialise(found.select("doc", "key", start.alias("start"), (start + F.col("len") + size - 1).alias("end"), F.lit(None).cast("binary").alias("sha")))
+    drop(met, contents, verdict)
+    release(docs.sparkSession)
+    return cut(docs, kind, spans)

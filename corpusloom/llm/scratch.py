@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -15,9 +16,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where that is unset (local tests), a temporary one."""
+    """The folder named in spark.checkpoint.dir. Where that is unset, a temporary one if driver and tasks are one process (tests); a cluster has to name one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -52,6 +55,30 @@ def shielded(docs: DataFrame, run: Callable[[DataFrame], DataFrame], own: tuple[
     return got.select(*(F.col(f"`{c}`").alias(back.get(c, c)) for c in got.columns))
 
 
+#: A key with more than one HOT-th of the rows is hot; there are fewer than HOT such keys, whatever the size.
+HOT = 1000
+
+
+def skew_join(left: DataFrame, right: DataFrame, on: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+    """left joined (inner or left) to right on its columns `on`, when right's column n says how many of left's `total` rows have its key.
+
+    Rows of hot keys (at most HOT keys) meet right's rows by broadcast where they are; all others are shuffled, so that no task gets a hot key.
+    With how = left, rows with a null key stay where they are too. Both sides are read twice: materialise them first.
+    """
+    hot = right.filter(F.col(n) * HOT > total)
+    some = F.lit(True)
+    for c in on:
+        some = some & F.col(c).isNotNull()
+    keys = F.broadcast(hot.select(*on).distinct())
+    by_hot = left.join(F.broadcast(hot), on)
+    cold = left.filter(some).join(keys, on, "left_anti").join(right.filter(F.col(n) * HOT <= total), on, how)
+    out = by_hot.unionByName(cold)
+    if how == "left":
+        bare = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields if f.name not in on]
+        out = out.unionByName(left.filter(~some).select("*", *bare))
+    return out
+
+
 BATCH_ROWS = 2000
 
 

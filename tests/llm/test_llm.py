@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import anchors, ann, columns, decontaminate, langid, mixing, neardup, pii, quality, repeats, suffixtree, tokens
+from corpusloom.llm import anchors, ann, columns, decontaminate, langid, mixing, neardup, pii, quality, repeats, scratch, suffixtree, tokens
 from corpusloom.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _w string, key string, row string"
@@ -285,13 +285,49 @@ def repeat_rows(edge_rows):
     return rows
 
 
-@pytest.mark.parametrize("limit", [1000, 2])
-def test_word_repeats_equal_brute_force(spark, repeat_rows, limit):
-    got = repeats.remove_words(make(spark, repeat_rows), size=10, k=4, limit=limit).collect()
+def test_word_repeats_equal_brute_force(spark, repeat_rows):
+    got = repeats.remove_words(make(spark, repeat_rows), size=10, k=4).collect()
     key = lambda r: (r[0] is None, r[0] or 0, r[1], r[3])
     assert sorted(((r.doc_id, r.n, r.n_removed, bytes(r.kept)) for r in got), key=key) == sorted(brute_words(repeat_rows, 10), key=key)
 
 
+def test_word_repeats_at_full_size_equal_brute_force(spark):
+    rng = random.Random(41)
+    long = prose(rng, 400).split()
+    rows = [(0, " ".join(long), "en", "a")]
+    for i in range(1, 30):
+        a = rng.randrange(0, 330)
+        rows.append((i, " ".join([*prose(rng, 20).split(), *long[a : a + rng.choice((49, 50, 51, 70))], *prose(rng, 20).split()]), "en", "a"))
+    rows.append((30, "  ".join(long), "en", "a"))
+    got = repeats.remove_words(make(spark, rows))
+    assert sorted((r.doc_id, r.n, r.n_removed, bytes(r.kept)) for r in got.collect()) == sorted(brute_words(rows, 50))
+    assert got.filter("doc_id = 30 and n_removed = n and n_spans = 1").count() == 1
+
+
+def test_word_repeats_verify_the_source(spark, monkeypatch):
+    rows = [(1, "a b c d e f g h", "en", "a"), (2, "a b c d e f g h", "en", "a")]
+    assert repeats.remove_words(make(spark, rows), size=4, k=2).filter("n_removed = 8").count() == 1
+    real = repeats.verified
+    monkeypatch.setattr(repeats, "verified", lambda *a: real(*a).withColumn("sha", F.lit(b"not that of the words")))
+    assert repeats.remove_words(make(spark, rows), size=4, k=2).filter("n_removed > 0").count() == 0
+
+
+def test_word_repeats_with_hot_keys(spark, repeat_rows, monkeypatch):
+    monkeypatch.setattr(scratch, "HOT", 100)  # keys with more than a hundredth of the rows go by broadcast
+    got = repeats.remove_words(make(spark, repeat_rows), size=10, k=4).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[3])
+    assert sorted(((r.doc_id, r.n, r.n_removed, bytes(r.kept)) for r in got), key=key) == sorted(brute_words(repeat_rows, 10), key=key)
+
+
+def test_skew_join(spark):
+    left = spark.createDataFrame([(None if i % 9 == 0 else 1 if i % 2 else i, i) for i in range(300)], "k long, x long")
+    right = left.filter("k is not null").groupBy("k").agg(F.count("*").alias("n")).filter("k % 3 <> 2")
+    rows = lambda d: sorted(d.select("k", "x", "n").collect(), key=str)
+    for how in ("inner", "left"):
+        assert rows(scratch.skew_join(left, right, ["k"], "n", 300, how)) == rows(left.join(right, "k", how))
+    assert right.filter(F.col("n") * scratch.HOT > 300).count() > 1
+
+
 @pytest.mark.parametrize("limit", [1000, 2])
 def test_byte_repeats_equal_brute_force(spark, repeat_rows, limit):
     got = repeats.remove_bytes(make(spark, repeat_rows), size=40, k=8, limit=limit).collect()
@@ -320,6 +356,20 @@ def test_columns_give_order_and_prefixes():
         assert j == 0 or [chr(c) for c in bwt] == [texts[i][j - 1] for i in order]
 
 
+def test_column_files_mark_equal_strings():
+    rng = random.Random(16)
+    texts = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(14, 20))) for _ in range(30)]
+    left = np.array([rng.randrange(0, 4) for _ in texts])
+    lo = left.max()
+    for j, order, lcp, bwt in columns.column_files(texts, left, np.zeros(30, np.int64)):
+        bits = np.unpackbits(np.frombuffer(columns.repeats_of(order, lcp, 6), np.uint8))
+        at = [j - lo + a for a in left]
+        mine = {i: t[x : x + 6] for i, (t, x) in enumerate(zip(texts, at)) if x >= 0 and len(t[x : x + 6]) == 6}
+        want = {i for i, v in mine.items() if list(mine.values()).count(v) > 1}
+        assert {i for i in range(30) if i < len(bits) and bits[i]} == want
+        assert [int(b) - 1 for b in np.frombuffer(bwt, np.uint16)] == [texts[i][j - lo + left[i] - 1] if j - lo + left[i] else -1 for i in np.frombuffer(order, np.int32)]
+
+
 def test_sliding_min():
     x = np.random.default_rng(1).integers(0, 99, 60)
     for w in (1, 2, 3, 7, 16, 60):
