@@ -13,7 +13,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Each round points nodes to smaller neighbours: the large step links every larger neighbour of a node to the least one around it, the small
     step every smaller one. Rounds end when no edge changes. Only per-node minima are aggregated, so a node of millions of neighbours is
-    combined before the shuffle; every round's edges are written to the shared folder.
+    combined before the shuffle; every round's edges are written to the shared folder. Joins on a hub's neighbours are left to Spark's adaptive split of
+    skewed joins. Rounds grow with the logarithm of the longest chain; if most_rounds don't do, that is an error, never a partial result.
     """
     e = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     mark = _sum(e)
@@ -34,6 +35,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         e, before, mark = new, mark, _sum(new)
         if before == mark:
             break
+    else:
+        raise RuntimeError(f"components not found in {most_rounds} rounds")
     roots = e.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
     own = e.select(F.col("b").alias("node")).distinct().withColumn("root", F.col("node"))
     return roots.unionByName(own).groupBy("node").agg(F.min("root").alias("root"))

@@ -9,14 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .anchors import Kind, digests
 from .components import components
-from .scratch import materialise, shielded
+from .scratch import materialise, shielded, skew_join
 from .tokens import chunks, mix, shingles, span, prefix, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
 M = BANDS * ROWS
+#: A document: its doc_id and two hashes of its text.
+DOC = ["doc_id", "k0", "k1"]
 #: Documents of a candidate group that are compared within one task, and those of a larger group that all its blocks share.
 BLOCK, PIVOTS = 1024, 64
 #: Slots of the table that counts the shingles of large groups, to put rare ones first.
@@ -71,11 +74,13 @@ def _bands(sig: np.ndarray) -> np.ndarray:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    as_words = Kind("word", SHINGLE, SHINGLE)
     for b in batches:
         for c in chunks(b.column("text")):
             _, _, bound, w = words(c)
             h, doc = shingles(w, bound, SHINGLE)
-            whole = span(prefix(w), bound[:-1], bound[1:]) ^ mix(np.diff(bound).astype(np.uint64))
+            _, _, raw, at = as_words.symbols(c)
+            same = digests(raw, at[bound[:-1]], at[bound[1:]])
             h, doc, weight = weighted(h, doc)
             full = np.diff(bound) > 0
             heavy = np.zeros(c.n, bool)
@@ -89,10 +94,10 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flat = pa.array(bands[order].ravel().view(np.int64))
             offs = np.concatenate([[0], np.cumsum(BANDS * (full.astype(np.int64) + heavy))]).astype(np.int32)
             yield pa.record_batch([
-                b.column("doc_id").slice(c.lo, c.n),
-                pa.array(whole.view(np.int64), mask=~full),
+                *(b.column(x).slice(c.lo, c.n) for x in DOC),
+                *(pa.array(same[:, i], mask=~full) for i in (0, 1)),
                 pa.ListArray.from_arrays(pa.array(offs), flat),
-            ], names=["doc_id", "same", "bands"])
+            ], names=[*DOC, "s0", "s1", "bands"])
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +237,7 @@ def _across(large: DataFrame, text: DataFrame, edges: DataFrame) -> DataFrame |
     own = materialise(own.join(apart, F.col("root") == F.col("_r"), "left_semi"))
     if own.isEmpty():
         return None
-    text = text.join(own, F.col("doc_id") == F.col("rep")).select("root", "cls", "rep", "text")
+    text = text.join(own, "rep").select("root", "cls", "rep", "text")
     counts = text.mapInArrow(_slots, "page long, slot long, n long").groupBy("page", "slot").agg(F.sum("n").alias("n"))
     often = np.zeros(SLOTS, np.int64)
     for r in counts.groupBy("page").agg(F.collect_list("slot").alias("slot"), F.collect_list("n").alias("n")).toLocalIterator():
@@ -280,6 +285,11 @@ def _across(large: DataFrame, text: DataFrame, edges: DataFrame) -> DataFrame |
     return materialise(ready.mapInArrow(_verify_pairs, "a long, b long"))
 
 
+def _documents(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("k0"), F.xxhash64(F.lit(1), text).alias("k1"), text.alias("text"))
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, n_class, kept for every document: class_id is the least doc_id of its near-duplicate class.
 
@@ -288,26 +298,33 @@ def classes(docs: DataFrame) -> DataFrame:
     bands of a ProbMinHash signature over shingles of equal weight: pairs at 0.8 meet with probability 0.99997. Texts that repeat shingles have a
     second signature, weighted 1 + ln(count), whose bands add candidates.
 
-    Texts of the same words are one document from the start. A bucket links its documents to its least one only; the links' components
+    Texts of the same words (by a 128-bit digest) are one node from the start. A bucket links its nodes to its least one only; the links' components
     are the candidate groups, within which exact similarities decide, on whole shingle sets. A group of over BLOCK documents
     is dealt out twice to blocks that share PIVOTS documents of the least hash, which joins most of its copies cheaply; an exact prefix-filter join
-    then finds every other pair of its texts. No group meets in one task.
+    then finds every other pair of its texts. No group meets in one task, and keys of many rows (large groups of copies, common buckets) are joined by broadcast.
 
-    Null, empty or blank texts are classes of their own. Texts of 1 to 4 words have one shingle. Repeated rows (equal
-    doc_id and words) are one document. Null doc_id: no row. Empty table: no rows. Other columns are not read.
+    A document is a doc_id with a text: repeated rows (equal in both) are one document and give one row; rows that share a doc_id but not the text
+    are documents of their own, each with the row of its class. Exactly one document of a class is kept, the least by doc_id, then by hashes of
+    the text. Null, empty or blank texts are classes of their own. Texts of 1 to 4 words have one shingle. Null doc_id: no row. Empty table: no rows.
+    Other columns are not read.
     """
-    docs = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sig = materialise(docs.mapInArrow(_signatures, "doc_id long, same long, bands array<long>"))
-    same = sig.filter("same is not null").groupBy("same").agg(F.min("doc_id").alias("rep"))
-    member = sig.select("doc_id", "same").join(same.withColumnRenamed("same", "_same"), F.col("same") == F.col("_same"), "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
-    member = materialise(member.distinct())
-    reps = sig.filter("same is not null").groupBy("same").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("rep"))
+    return classified(docs).select("doc_id", "class_id", "n_class", "kept")
+
+
+def classified(docs: DataFrame) -> DataFrame:
+    """The rows of classes() with the hashes k0, k1 of each document's text."""
+    docs = _documents(docs.filter("doc_id is not null"))
+    sig = materialise(docs.mapInArrow(_signatures, "doc_id long, k0 long, k1 long, s0 long, s1 long, bands array<long>"))
+    reps = sig.filter("s0 is not null").groupBy("s0", "s1").agg(F.min(F.struct(*DOC)).alias("lead"), F.min_by("bands", "doc_id").alias("bands"), F.count("*").alias("c"))
+    reps = materialise(reps.select("s0", "s1", F.monotonically_increasing_id().alias("rep"), *(F.col(f"lead.{x}").alias(x) for x in DOC), "bands", "c"))
+    member = skew_join(sig.select(*DOC, "s0", "s1"), reps.select("s0", "s1", "rep", "c"), ["s0", "s1"], "c", sig.count(), how="left")
+    member = materialise(member.select(*DOC, "rep").distinct())
     band = materialise(reps.select("rep", F.explode(F.array_distinct("bands")).alias("band")))
-    bucket = materialise(band.groupBy("band").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).filter("n > 1").select("band", "lead"))
-    star = band.join(bucket, "band").filter("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b"))
+    bucket = materialise(band.groupBy("band").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).filter("n > 1"))
+    star = skew_join(band, bucket, ["band"], "n", band.count()).filter("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b"))
     group = materialise(components(star))
-    size = group.groupBy(F.col("root").alias("_root")).agg(F.count("*").alias("n"))
-    sized = materialise(group.join(size, F.col("root") == F.col("_root")).select("root", F.col("node").alias("rep"), "n"))
+    size = materialise(group.groupBy("root").agg(F.count("*").alias("n")))
+    sized = materialise(skew_join(group, size, ["root"], "n", group.count()).select("root", F.col("node").alias("rep"), "n"))
     # rows (root, block, rep): small groups whole, large ones twice over blocks, their pivots in every block
     n_blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
     small = sized.filter(F.col("n") <= BLOCK).select("root", F.lit(0).alias("block"), "rep")
@@ -315,16 +332,19 @@ def classes(docs: DataFrame) -> DataFrame:
     dealt = large.select("root", F.explode(F.array(F.pmod(F.xxhash64("rep"), n_blocks).cast("int"), (n_blocks + F.pmod(F.xxhash64("rep", F.lit(1)), n_blocks)).cast("int"))).alias("block"), "rep")
     pivots = large.withColumn("_i", F.row_number().over(_by_hash())).filter(F.col("_i") <= PIVOTS).select("root", F.explode(F.sequence(F.lit(0), 2 * n_blocks - 1)).alias("block"), "rep")
     blocks = small.unionByName(dealt).unionByName(pivots).distinct()
-    text = docs.join(sized.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = text.select(F.col("doc_id").alias("rep"), "text").mapInArrow(_shingle_sets, "rep long, sh binary")
+    text = docs.join(reps.select(*DOC, "rep").join(sized.select("rep"), "rep"), DOC).dropDuplicates(["rep"]).select("rep", "text")
+    sets = text.mapInArrow(_shingle_sets, "rep long, sh binary")
     ready = blocks.join(sets, "rep").select("root", "block", "rep", "sh").repartition("root", "block").sortWithinPartitions("root", "block", "rep")
     edges = materialise(ready.mapInArrow(_verify, "a long, b long"))
     more = _across(large, text, edges)
     edges = edges if more is None else edges.unionByName(more)
-    final = components(edges).withColumnRenamed("node", "rep")
-    out = materialise(member.join(final, "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("class_id")))
-    n = out.groupBy("class_id").agg(F.count("*").alias("n_class"))
-    return out.join(n.withColumnRenamed("class_id", "_c"), F.col("class_id") == F.col("_c")).select("doc_id", "class_id", "n_class", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    root = components(edges).withColumnRenamed("node", "rep")
+    per = member.filter("rep is not null").groupBy("rep").agg(F.count("*").alias("n_rep"), F.min(F.struct(*DOC)).alias("lead"))
+    per = materialise(per.join(root, "rep", "left").select("rep", "n_rep", "lead", F.coalesce("root", "rep").alias("root")))
+    whole = materialise(per.groupBy("root").agg(F.min("lead").alias("first"), F.sum("n_rep").alias("n_class"), F.count("*").alias("_m")))
+    per = materialise(skew_join(per, whole, ["root"], "_m", per.count()).select("rep", "n_rep", "first", "n_class"))
+    out = skew_join(member, per, ["rep"], "n_rep", member.count(), how="left")
+    return out.select(*DOC, F.coalesce("first.doc_id", "doc_id").alias("class_id"), F.coalesce("n_class", F.lit(1)).alias("n_class"), F.coalesce(F.col("first") == F.struct(*DOC), F.lit(True)).alias("kept"))
 
 
 def _by_hash():
@@ -334,6 +354,19 @@ def _by_hash():
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each near-duplicate class, the one of the least doc_id; all columns. Rows without doc_id stay."""
-    gone = materialise(classes(docs).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct())
-    return shielded(docs, lambda d: d.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti"))
+    """docs with one row of each near-duplicate class (see classes()): one of the rows of its kept document; all columns. Rows without doc_id stay."""
+    gone = classified(docs).filter("not kept").select(*DOC)
+    again = _documents(docs.filter("doc_id is not null")).groupBy(*DOC).agg(F.count("*").alias("_c")).filter("_c > 1").select(*DOC)
+    marked = gone.withColumn("_once", F.lit(False)).unionByName(again.join(gone, DOC, "left_anti").withColumn("_once", F.lit(True)))
+    marked = materialise(marked.select(*(F.col(x).alias(f"_{x}") for x in DOC), "_once"))
+    text = F.col("text").cast("string")
+    here = (F.col("doc_id").cast("long") == F.col("_doc_id")) & (F.xxhash64(text) == F.col("_k0")) & (F.xxhash64(F.lit(1), text) == F.col("_k1"))
+
+    def run(d: DataFrame) -> DataFrame:
+        out = d.join(marked, here, "left_anti")
+        once = marked.filter("_once")
+        if once.isEmpty():
+            return out
+        return out.unionByName(d.join(once, here).dropDuplicates(["_doc_id", "_k0", "_k1"]).select(*d.columns))
+
+    return shielded(docs, run)

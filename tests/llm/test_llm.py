@@ -199,12 +199,47 @@ def test_neardup_links_every_pair_of_large_groups(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in neardup.classes(make(spark, rows)).collect()} == want
 
 
+def test_neardup_links_chains_across_small_blocks(spark, monkeypatch):
+    rng = random.Random(77)
+    rows, i = [], 0
+    for _ in range(4):
+        t = prose(rng, 150, [w + str(n) for w in WORDS for n in range(40)]).split()
+        for step in range(14):
+            rows.append((i, " ".join(t), "en", "a"))
+            t[step * 10] = f"new{i}"
+            i += 1
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    monkeypatch.setattr(neardup, "PIVOTS", 1)
+    want = brute_classes(rows)
+    assert len(set(want.values())) == 4
+    assert {r.doc_id: r.class_id for r in neardup.classes(make(spark, rows)).collect()} == want
+
+
+def test_neardup_tells_rows_of_one_doc_id_apart(spark):
+    rng = random.Random(78)
+    a, b = prose(rng, 60), prose(rng, 60)
+    rows = [(1, a, "en", "x"), (5, a, "en", "x"), (5, b, "en", "x"), (5, b, "en", "x"), (7, a + " more", "en", "x"), (None, a, "en", "x"), (9, None, "en", "x"), (9, None, "en", "x"), (9, "", "en", "x")]
+    got = sorted(tuple(r) for r in neardup.classes(make(spark, rows)).collect())
+    assert got == [(1, 1, 3, True), (5, 1, 3, False), (5, 5, 1, True), (7, 1, 3, False), (9, 9, 1, True), (9, 9, 1, True)]
+    kept = sorted(((r.doc_id, r.text) for r in neardup.keep_one(make(spark, rows)).collect()), key=str)
+    assert kept == sorted([(1, a), (5, b), (None, a), (9, None), (9, "")], key=str)
+    same = make(spark, [(3, a, "en", "x")] * 3)
+    assert neardup.keep_one(same).count() == 1
+
+
+def test_neardup_with_hot_keys(spark, monkeypatch):
+    rows = near_rows(random.Random(10)) + [(1000 + i, "the very same words in all of these", "en", "a") for i in range(60)]
+    monkeypatch.setattr(scratch, "HOT", 50)
+    assert {r.doc_id: r.class_id for r in neardup.classes(make(spark, rows)).collect()} == brute_classes(rows)
+
+
 def test_neardup_candidates_meet_whatever_repeats():
     texts = []
     for i in range(40):
         shared = " ".join(f"s{i}x{j}" for j in range(204))
         texts += [f"{shared} " + " ".join(" ".join(f"{side}{i}x{j}" for j in range(20)) for _ in range(50)) for side in "ab"]  # set Jaccard 200 of 248
     batch = pa.record_batch([pa.array(range(80), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    batch = batch.append_column("k0", batch["doc_id"]).append_column("k1", batch["doc_id"])
     bands = [set(x) for b in neardup._signatures(iter([batch])) for x in b.column("bands").to_pylist()]
     assert all(bands[i] & bands[i + 1] for i in range(0, 80, 2))
     assert not bands[0] & bands[2]
