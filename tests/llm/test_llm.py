@@ -591,3 +591,22 @@ def test_class_prior():
     pos = rng.normal(1, 0.3, 4000)
     unl = np.concatenate([rng.normal(1, 0.3, 2800), rng.normal(-1, 0.3, 1200)])
     assert abs(quality.class_prior(pos, unl) - 0.7) < 0.06
+
+
+def test_mixing_keeps_columns_and_decides_each_row(spark):
+    rng = random.Random(51)
+    rows = [(i // 2, prose(rng, 30), "en", "abc"[i % 3]) for i in range(300)]  # two rows of one id, of one size
+    d = make(spark, rows).withColumn("_g", F.lit(1)).withColumn("taken", F.lit("old")).withColumn("c1", F.lit("mine"))
+    slim, full = mixing.mix(d), mixing.mix(d, keep=True)
+    assert full.columns == [c for c in d.columns if c != "taken"] + ["size", "source_size", "target", "copies", "taken"]
+    assert sorted((r.doc_id, r.taken) for r in slim.collect()) == sorted((r.doc_id, r.taken) for r in full.collect())
+    assert sorted((r.text, r.taken) for r in full.collect()) == sorted((r.text, r.taken) for r in mixing.mix(d.repartition(5), keep=True).collect())
+    assert full.filter("c1 <> 'mine' or _g <> 1").count() == 0
+
+
+def test_mixing_with_many_sources(spark, monkeypatch):
+    rng = random.Random(52)
+    d = make(spark, [(i, prose(rng, rng.randrange(1, 30)), "en", None if i % 50 == 0 else "hot" if i % 3 else f"s{i}") for i in range(600)])
+    want = sorted((r.doc_id, r.taken) for r in mixing.mix(d).collect())
+    monkeypatch.setattr(mixing, "MAX_SENT", 1)  # as if they were too many to send
+    assert sorted((r.doc_id, r.taken) for r in mixing.mix(d).collect()) == want
