@@ -7,7 +7,6 @@ the columns of documents; the last adds size, source_size, target, copies and ta
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from corpusloom.llm import decontaminate, mixing, neardup, pii, quality
 from corpusloom.llm.scratch import materialise, shielded
@@ -20,7 +19,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least doc_id, of each near-duplicate class."""
+    """One row of each near-duplicate class, its document of the least doc_id."""
     return neardup.keep_one(docs)
 
 
@@ -35,12 +34,8 @@ def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with the number of copies. Columns of docs named like one of those added give way to it; rows that share a doc_id are told apart by source and size."""
-    docs = docs.drop(*(c for c in docs.columns if c.lower() in ("size", "source_size", "target", "copies", "taken")))
-    mixed = mixing.mix(docs).filter("copies > 0").dropDuplicates(["doc_id", "source", "size"])  # rows alike in these are ties
-    mixed = mixed.select(F.col("doc_id").alias("_id"), F.col("source").alias("_s"), "size", "source_size", "target", "copies", "taken")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_s")) & (mixing.words("text") == F.col("size"))
-    return shielded(docs, lambda d: d.join(mixed, same).drop("_id", "_s"))
+    """The documents that the mix takes, with the number of copies. Each row is decided for itself; columns of docs named like one of those added give way to it."""
+    return mixing.mix(docs, keep=True).filter("copies > 0")
 
 
 STAGES = [
