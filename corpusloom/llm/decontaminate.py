@@ -28,9 +28,13 @@ def normalise(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
     return c.buf[keep], run[c.offs]
 
 
-def _normal(text: str) -> np.ndarray:
-    b = np.frombuffer(text.lower().encode(), np.uint8)
-    return b[_KEEP[b]]
+def _normal(texts: list[str]) -> list[np.ndarray]:
+    """The items' normalised bytes, lower-cased the way the documents are."""
+    out = []
+    for c in chunks(pc.utf8_lower(pa.array(texts, pa.string()))):
+        b, offs = normalise(c)
+        out += [b[offs[i] : offs[i + 1]] for i in range(c.n)]
+    return out
 
 
 def budget(m: int, q: int = Q, rate: float = ERROR_RATE) -> int:
@@ -39,16 +43,23 @@ def budget(m: int, q: int = Q, rate: float = ERROR_RATE) -> int:
 
 
 class Index:
-    """Sorted q-gram hashes of the items with their places, and a bitmap in front."""
+    """Sorted q-gram hashes of the items with their places, and a bitmap in front; items shorter than q by the hash of all they have."""
 
     def __init__(self, items: list[tuple[int, str]], q: int = Q, rate: float = ERROR_RATE):
         self.q = q
         self.ids, self.text = [], []
-        for i, t in items:
-            b = _normal(t)
+        self.short: dict[int, tuple[np.ndarray, np.ndarray, list]] = {}
+        less: dict[int, list[tuple[np.uint64, object, bytes]]] = {}
+        for (i, _), b in zip(items, _normal([t for _, t in items]), strict=True):
             if len(b) >= q:
                 self.ids.append(i)
                 self.text.append(b)
+            elif len(b):
+                h = span(prefix(b.astype(np.uint64) + np.uint64(1)), np.array([0]), np.array([len(b)]))[0]
+                less.setdefault(len(b), []).append((h, i, b.tobytes()))
+        for m, rows in less.items():
+            rows.sort(key=lambda r: r[0])
+            self.short[m] = (np.array([r[0] for r in rows], np.uint64), np.array([r[2] for r in rows], object), [r[1] for r in rows])
         self.m = np.array([len(t) for t in self.text], np.int64)
         self.e = np.array([budget(int(m), q, rate) for m in self.m], np.int64)
         self.need = self.m - q + 1 - q * self.e
@@ -67,12 +78,34 @@ class Index:
         self.bits[(self.gram & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
 
-def find(c: Chunk, ix: Index) -> list[tuple[int, int, int, int, int]]:
-    """(document, item, start, end, edits) for each item that lies in a text within its edit budget, in normalised offsets.
+#: Pairs of a text's q-gram and an item's place that are counted at once.
+HITS = 1 << 21
+
+
+def find(c: Chunk, ix: Index) -> list[tuple[int, object, int, int, int]]:
+    """(document, item_id, start, end, edits) for each item that lies in a text within its edit budget, in normalised offsets.
 
     Of several places of one item in a document, the one of the fewest edits, then the first.
     """
     buf, offs = normalise(c)
+    out = []
+    if ix.short:
+        pre = prefix(buf.astype(np.uint64) + np.uint64(1))
+        for m, (have, raw, ids) in sorted(ix.short.items()):
+            at = np.arange(len(buf) - m + 1)
+            at = at[at + m <= offs[np.searchsorted(offs, at, "right")]] if len(at) else at
+            h = span(pre, at, at + m)
+            seen = set()
+            for p in at[np.isin(h, have)].tolist():
+                d, gram = int(np.searchsorted(offs, p, "right")) - 1, buf[p : p + m].tobytes()
+                if (d, gram) not in seen:
+                    seen.add((d, gram))
+                    out += [(d, ids[k], p - int(offs[d]), p - int(offs[d]) + m, 0) for k in np.flatnonzero(raw == gram)]
+    return out + [(d, ix.ids[k], a, z, e) for d, k, a, z, e in _find_long(buf, offs, ix)]
+
+
+def _find_long(buf: np.ndarray, offs: np.ndarray, ix: Index) -> list[tuple[int, int, int, int, int]]:
+    """find() for the items of q symbols or more, by their number in the index."""
     q = ix.q
     if len(buf) < q or not len(ix.gram):
         return []
@@ -89,6 +122,23 @@ def find(c: Chunk, ix: Index) -> list[tuple[int, int, int, int, int]]:
     doc = np.searchsorted(offs, hit, "right") - 1
     inside = hit + q <= offs[doc + 1]
     hit, lo, count, doc = hit[inside], lo[inside], count[inside], doc[inside]
+    # documents in turns, so that grams common to many items never spread out over more than about HITS pairs, or one document's, at once
+    ends = np.append(np.flatnonzero(doc[1:] != doc[:-1]) + 1, len(doc))
+    total = np.cumsum(count)
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    lo_row = 0
+    while lo_row < len(doc):
+        base = total[lo_row - 1] if lo_row else 0
+        k = int(np.searchsorted(total[ends - 1], base + HITS, "right"))
+        hi_row = int(ends[max(k - 1, int(np.searchsorted(ends, lo_row, "right")))])
+        sl = slice(lo_row, hi_row)
+        _count_bands(buf, offs, ix, hit[sl], lo[sl], count[sl], doc[sl], best)
+        lo_row = hi_row
+    return [(d, k, a - int(offs[d]), z - int(offs[d]), e) for (d, k), (a, z, e) in sorted(best.items())]
+
+
+def _count_bands(buf, offs, ix: Index, hit, lo, count, doc, best) -> None:
+    """Spreads out hits (place in buf; first place in the index and number of places; document), counts them in bands and puts alignments into best."""
     rep = np.repeat(np.arange(len(hit)), count)
     at = np.arange(len(rep)) - np.repeat(np.cumsum(count) - count, count) + lo[rep]
     item, j, doc, p = ix.item[at], ix.where[at], doc[rep], hit[rep]
@@ -106,7 +156,6 @@ def find(c: Chunk, ix: Index) -> list[tuple[int, int, int, int, int]]:
     starts = np.flatnonzero(edge)
     size = np.diff(np.append(starts, rows.shape[1]))
     kept = size >= ix.need[rows[1, starts]]
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for s in starts[kept]:
         d, k, b = (int(x) for x in rows[:3, s])
         e, m = int(ix.e[k]), int(ix.m[k])
@@ -115,7 +164,6 @@ def find(c: Chunk, ix: Index) -> list[tuple[int, int, int, int, int]]:
         got = align(ix.text[k], buf[lo_:hi_], first - lo_, 2 * (e + 1), e)
         if got and ((d, k) not in best or (got[2], got[0] + lo_) < (best[d, k][2], best[d, k][0])):
             best[d, k] = (got[0] + lo_, got[1] + lo_, got[2])
-    return [(d, k, a - int(offs[d]), z - int(offs[d]), e) for (d, k), (a, z, e) in sorted(best.items())]
 
 
 def align(item: np.ndarray, text: np.ndarray, diagonal: int, width: int, most: int) -> tuple[int, int, int] | None:
@@ -171,12 +219,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = ERR
     Texts are lower-cased and lose spaces and ASCII punctuation; start and end count the bytes left. By the q-gram lemma a region
     within e edits of an item of m symbols shares m - q + 1 - q*e of its q-grams, on diagonals at most e apart; shared q-grams are
     counted in bands of 2(e+1) diagonals that overlap by half, and bands that reach the bound are aligned. Whole texts are
-    searched. Null or empty texts match nothing; items that are null or shorter than q symbols match nothing; a repeated document
-    row gives its rows again; an empty benchmark gives no rows. Columns of docs other than doc_id and text are not read.
+    searched. Items shorter than q symbols have no q-gram: they are found where all their bytes stand, without edits. Null or empty texts match nothing; items
+    that are null or have no letter or digit match nothing; of rows that share an item_id each is an item; a repeated document
+    row gives its rows again; an empty benchmark gives no rows. doc_id and item_id may have any type. Columns of docs other than doc_id and text are not read.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    item_kind = benchmark.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id {item_kind}, start long, end long, edits int"
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+
+    kind, item_kind = docs.schema["doc_id"].dataType, benchmark.schema["item_id"].dataType
+    schema = StructType([StructField("doc_id", kind), StructField("item_id", item_kind), StructField("start", LongType()), StructField("end", LongType()), StructField("edits", IntegerType())])
+    item_arrow = to_arrow_type(item_kind)
     read = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     out = None
     for block in blocks(benchmark):
@@ -186,18 +238,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = ERR
             ix = sent.value
             for b in batches:
                 ids = b.column("doc_id").to_pylist()
-                got = [(ids[c.lo + d], ix.ids[k], s, e, x) for c in chunks(pc.utf8_lower(b.column("text"))) for d, k, s, e, x in find(c, ix)]
-                yield pa.record_batch([pa.array([g[i] for g in got], t) for i, t in enumerate((b.schema.field("doc_id").type, _arrow(item_kind), pa.int64(), pa.int64(), pa.int32()))], names=["doc_id", "item_id", "start", "end", "edits"])
+                got = [(ids[c.lo + d], i, s, e, x) for c in chunks(pc.utf8_lower(b.column("text"))) for d, i, s, e, x in find(c, ix)]
+                yield pa.record_batch([pa.array([g[i] for g in got], t) for i, t in enumerate((b.schema.field("doc_id").type, item_arrow, pa.int64(), pa.int64(), pa.int32()))], names=["doc_id", "item_id", "start", "end", "edits"])
 
         part = read.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that hold a benchmark item, all columns kept.
 

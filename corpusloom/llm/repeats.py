@@ -97,25 +97,29 @@ def compact(texts: DataFrame, contents: DataFrame, kind: Kind) -> DataFrame:
 
 
 def _long_spans(size: int):
-    """The paths of each text merged where both they and their first places go on: (doc, key, start, end, lead_doc, lead_key, lead_start) in words."""
+    """Paths that arrive sorted by text, first text, line (first place less place) and start, merged where they touch: (doc, key, start, end, lead_doc, lead_key, lead_start) in words.
+
+    A span cut in two by the end of a batch is two spans, each verified for itself.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for doc, key, paths in zip(*(b.column(x).to_pylist() for x in ("doc", "key", "paths")), strict=True):
-                here = None
-                for p in sorted(paths, key=lambda p: (p["lead_doc"], p["lead_key"], p["lead_pos"] - p["start"], p["start"])):
-                    line = (p["lead_doc"], p["lead_key"], p["lead_pos"] - p["start"])
-                    if here and here[0] == line and p["start"] <= here[2]:
-                        here[2] = max(here[2], p["start"] + p["len"])
-                        continue
-                    if here:
-                        rows.append((doc, key, here))
-                    here = [line, p["start"], p["start"] + p["len"]]
-                rows.append((doc, key, here))
-            cols = [[r[0] for r in rows], [r[1] for r in rows], [r[2][1] for r in rows], [r[2][2] + size - 1 for r in rows], [r[2][0][0] for r in rows], [r[2][0][1] for r in rows], [r[2][0][2] + r[2][1] for r in rows]]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], names=["doc", "key", "start", "end", "lead_doc", "lead_key", "lead_start"])
+            if not b.num_rows:
+                continue
+            f = {x: b.column(x).to_numpy() for x in b.schema.names}
+            new = np.zeros(b.num_rows, bool)
+            new[0] = True
+            for x in ("doc", "key", "lead_doc", "lead_key", "line"):
+                new[1:] |= f[x][1:] != f[x][:-1]
+            # the furthest end so far on the same line: lines are set apart by more than any length
+            end = (f["start"] + f["len"]).astype(np.int64)
+            far = np.maximum.accumulate(end + np.cumsum(new) * (1 << 33)) - np.cumsum(new) * (1 << 33)
+            new[1:] |= f["start"][1:] > far[:-1]
+            at = np.flatnonzero(new)
+            last = np.append(at[1:], len(new)) - 1
+            start = f["start"][at]
+            cols = [f["doc"][at], f["key"][at], start, (far[last] + size - 1).astype(np.int32), f["lead_doc"][at], f["lead_key"][at], (start + f["line"][at]).astype(np.int32)]
+            yield pa.record_batch([pa.array(x) for x in cols], names=["doc", "key", "start", "end", "lead_doc", "lead_key", "lead_start"])
 
     return run
 
@@ -158,8 +162,9 @@ def remove_words(docs: DataFrame, size: int = 50, k: int = 12) -> DataFrame:
     met, contents = meeting(texts, kind, across_docs=True)
     paths = compact(texts, contents, kind)
     found = skew_join(met, paths, ["w0", "w1"], "c", met.count()).filter("doc > lead_doc")
-    lists = found.groupBy("doc", "key").agg(F.collect_list(F.struct((F.col("start") + F.col("off")).alias("start"), "len", "lead_doc", "lead_key", "lead_pos")).alias("paths"))
-    spans = materialise(lists.mapInArrow(_long_spans(size), "doc long, key long, start int, end int, lead_doc long, lead_key long, lead_start int"))
+    found = found.withColumn("start", F.col("start") + F.col("off")).select("doc", "key", "start", "len", "lead_doc", "lead_key", (F.col("lead_pos") - F.col("start")).alias("line"))
+    found = found.repartition("doc", "key").sortWithinPartitions("doc", "key", "lead_doc", "lead_key", "line", "start")
+    spans = materialise(found.mapInArrow(_long_spans(size), "doc long, key long, start int, end int, lead_doc long, lead_key long, lead_start int"))
     drop(met, contents, paths)
     release(docs.sparkSession)
     return cut(docs, kind, materialise(verified(texts, spans, kind)))

@@ -109,7 +109,8 @@ def test_decontamination_against_semi_global_alignment(spark):
             prev = cur
         return min(prev)
 
-    want = {(i, k): best(norm(p), norm(t)) for i, t, *_ in rows for k, p in items if p and len(norm(p)) >= decontaminate.Q}
+    rows.append((53, "so Ti, ny! it is", "en", "a"))
+    want = {(i, k): best(norm(p), norm(t)) for i, t, *_ in rows for k, p in items if p}
     want = {x: e for x, e in want.items() if e <= decontaminate.budget(len(norm(dict(items)[x[1]])))}
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.edits for r in decontaminate.matches(make(spark, rows), bench).collect()}
@@ -119,10 +120,32 @@ def test_decontamination_against_semi_global_alignment(spark):
     assert decontaminate.matches(make(spark, rows), bench.limit(0)).count() == 0 and decontaminate.matches(make(spark, rows).limit(0), bench).count() == 0
 
 
-def test_decontamination_in_blocks(spark):
+def test_decontamination_in_blocks(spark, monkeypatch):
     rng = random.Random(5)
     bench = spark.createDataFrame([(i, prose(rng, 30)) for i in range(6)], "item_id long, text string")
     assert len(list(decontaminate.blocks(bench, 300))) >= 3
+    d = make(spark, [(i, prose(rng, 20) + " " + r.text + " " + prose(rng, 20), "en", "a") for i, r in enumerate(bench.orderBy("item_id").collect())])
+    whole = sorted(map(tuple, decontaminate.matches(d, bench).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(decontaminate.blocks, "__defaults__", (300,))
+    assert sorted(map(tuple, decontaminate.matches(d, bench).collect())) == whole and {r[:2] for r in whole} >= {(i, i) for i in range(6)}
+
+
+def test_decontamination_of_capitals_common_grams_and_other_ids(spark, monkeypatch):
+    rng = random.Random(6)
+    head = "Please answer the question below in full sentences: "
+    items = [(i, head + prose(rng, 12)) for i in range(40)] + [(90, "ΤΙΣ ΟΔΟΣ ΕΙΝΑΙ ΑΥΤΗ ΠΟΥ ΒΛΕΠΕΙΣ ΕΔΩ"), (91, "İstanbul'da güzel bir gün geçirdik"), (92, "W=mc^2 yes?")]
+    rows = [(i, head + prose(rng, 20) + " " + t + " " + prose(rng, 5), "en", "a") for i, t in items]
+    bench = spark.createDataFrame(items, "item_id short, text string")
+    d = make(spark, rows).withColumn("doc_id", F.col("doc_id").cast("decimal(9,0)"))
+    got = sorted((int(r.doc_id), r.item_id, r.edits) for r in decontaminate.matches(d, bench).collect())
+    assert got == sorted((i, i, 0) for i, _ in items)
+    monkeypatch.setattr(decontaminate, "HITS", 50)
+    from pyarrow import compute as pc
+
+    ix = decontaminate.Index(items)
+    c = next(tokens.chunks(pc.utf8_lower(pa.array([t for _, t, *_ in rows]))))
+    assert sorted((rows[d][0], i, e) for d, i, _, _, e in decontaminate.find(c, ix)) == got
 
 
 # op3
