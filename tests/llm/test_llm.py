@@ -492,6 +492,41 @@ def test_pii_terms_that_disclose(spark, monkeypatch, most):
     assert pii.sanitise(d).columns == d.columns
 
 
+def test_pii_terms_equal_brute_force(spark):
+    rng = random.Random(24)
+    mails = [f"u{i}@corp{i}.example" for i in range(5)]
+    rows = []
+    for i in range(160):
+        m = rng.choice(mails) if i % 4 == 0 else None
+        t = prose(rng, rng.randrange(1, 40))
+        if m:
+            t += f" {m} " + (f"Name{m[1]} " if rng.random() < 0.8 else "") + prose(rng, 10) + (" +1 (212) 555-0100" if rng.random() < 0.3 else "") + " mailing"
+        rows.append((i, t, "en", "a"))
+    rows += [(900 + i, *rows[i][1:]) for i in range(0, 40)] + [(950, "Name1 " * 4, "en", "a"), rows[0], (960, None, "en", "a"), (961, "x" * 100_000 + " " + mails[0], "en", "a")]
+    texts = [t for _, t, *_ in rows if t is not None]
+    n_term = collections.Counter(w for t in texts for w in set(t.split()))
+    n_entity, both = collections.Counter(), collections.Counter()
+    for t in set(texts):
+        spans = brute_base(t)
+        ents = {(k, t[s:e]) for s, k, e in spans} | {k for _, k, _ in spans}
+        free = {m[0] for m in re.finditer(r"[^ ]+", t) if not any(m.start() < e and s < m.end() for s, _, e in spans)}
+        n_entity.update(ents)
+        both.update((x, w) for x in ents for w in free)
+    total = len(texts)
+    want = collections.defaultdict(set)
+    for (x, w), n in both.items():
+        q, p = min(n / n_term[w], 1), n_entity[x] / total
+        bits = n * math.log2(q / p) + ((n_term[w] - n) * math.log2((1 - q) / (1 - p)) if q < 1 else 0)
+        if n > 1 and math.log2(q / p) > -math.log2(p) / pii.ALPHA and q >= pii.CERTAINTY and bits >= math.log2(total) + pii.EVIDENCE:
+            want[x].add(w)
+    assert {0} <= set(want) and any(isinstance(x, tuple) for x in want) and "mailing" in want[0]
+    for r, (i, t, *_) in zip(pii.find(make(spark, rows).withColumn("value", F.lit(1)).withColumn("_pairs", F.lit(2)).coalesce(1)).collect(), rows):
+        spans = brute_base(t or "")
+        terms = set().union(*(want[(k, t[s:e])] | want[k] for s, k, e in spans)) if spans else set()
+        free = [m for m in re.finditer(r"[^ ]+", t or "") if not any(m.start() < e and s < m.end() for s, _, e in spans)]
+        assert r.doc_id == i and r.n_term == sum(m[0] in terms for m in free), (r, terms)
+
+
 # op7
 
 
