@@ -9,9 +9,13 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tokens import mix
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -79,6 +83,28 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], n: str, total: i
     return out
 
 
+def bit_filter(keys: DataFrame, size: int) -> np.ndarray:
+    """Packed bits (size of them, little endian in a byte) in which (mix(key) mod size) is set for the one long column of keys; built in the tasks, size / 8 bytes reach the driver."""
+
+    def places(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array((mix(b.column(0).to_numpy().view(np.uint64)) % np.uint64(size)).astype(np.int64) + 1)], names=["at"])
+
+    pages = keys.mapInArrow(places, "at long").groupBy(F.bitmap_bucket_number("at").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    out = np.zeros(size // 8, np.uint8)
+    for r in pages.toLocalIterator():
+        got = np.frombuffer(bytes(r.bits), np.uint8)
+        at = (r.page - 1) * len(got)
+        out[at : at + len(got)] = got[: len(out) - at]
+    return out
+
+
+def in_filter(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which uint64 keys may be in a bit_filter(); false positives occur, false negatives don't."""
+    at = mix(keys) % np.uint64(8 * len(bits))
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
 BATCH_ROWS = 2000
 
 

@@ -555,6 +555,43 @@ def test_suffix_tree_scores(spark, edge_rows):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (a, b, n) and abs(r.base_score - s) < 1e-6 * max(1, abs(s)) and r.score < 0
 
 
+def test_suffix_tree_pairs_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(suffixtree, "SUPPORT", 4)
+    monkeypatch.setattr(suffixtree, "EVIDENCE", 3.0)
+    rng = random.Random(15)
+    d = make(spark, [(i, " ".join(w + " " + (w[::-1] if rng.random() < 0.7 else rng.choice(WORDS)) for w in rng.choices(WORDS, k=rng.randrange(0, 40))), "en", "a") for i in range(80)] + [(90, None, "en", "a"), (91, "never seen Words", "en", "a"), (91, "never seen Words", "en", "a")])
+    train = d.filter("doc_id < 70").withColumn("n", F.lit(1))
+    whole = {r.doc_id: r.score for r in suffixtree.score(d, train).collect()}
+    monkeypatch.setattr(suffixtree, "PAIRS", 5)  # nearly all pairs come by the join
+    assert all(abs(r.score - whole[r.doc_id]) < 1e-4 * max(1, abs(whole[r.doc_id])) for r in suffixtree.score(d, train).collect())
+    texts = [(r.doc_id, (r.text or "").lower().split()) for r in d.collect()]
+    seq = [["^", *w, "$"] for i, w in texts if i < 70]
+    n = collections.Counter(x for s in seq for x in s)
+    pair = collections.Counter(p for s in seq for p in zip(s, s[1:]))
+    tokens_ = sum(n.values()) - n["^"]
+    vocab = len(n) - 1
+    mu = max(1.0, vocab / max(1.0, math.log(tokens_ / vocab)))
+    tree = suffixtree.train(spark.createDataFrame([(bytearray(w.encode()), c) for w, c in n.items() if w not in "^$"], "word binary, n long"))
+
+    def plain(w):
+        if w == "$":
+            return n["$"] / (tokens_ + mu)
+        b = np.frombuffer(w.encode(), np.uint8)
+        return (n[w] + mu * 10 ** float(tree.word_scores(b, np.array([0]), np.array([len(b)]))[0])) / (tokens_ + mu)
+
+    pairs = {p: c for p, c in pair.items() if c > 1 and n[p[0]] >= 4}
+    gain = {p: c * math.log(c / n[p[0]] / plain(p[1])) for p, c in pairs.items()}
+    ctx = {p[0] for p in pairs if sum(g for q, g in gain.items() if q[0] == p[0]) / n[p[0]] >= suffixtree.WORD_DIVERGENCE}
+    kept = {p: c for p, c in pairs.items() if p[0] in ctx and gain[p] >= 3.0}
+    left = {x: (n[x] - sum(c for p, c in kept.items() if p[0] == x) + 0.5 * sum(p[0] == x for p in kept)) / n[x] for x in ctx}
+    for i, w in texts:
+        s = ["^", *w, "$"]
+        want = sum(math.log10(((kept[p] - 0.5) / n[p[0]] if p in kept else 0) + left.get(p[0], 1) * plain(p[1])) for p in zip(s, s[1:]))
+        assert abs(want - whole[i]) < 1e-4 * max(1, abs(want)), i
+    assert len(kept) > 20
+    assert suffixtree.score(d.limit(0), train).count() == 0
+
+
 def test_suffix_tree_without_training(spark):
     d = make(spark, [(1, "a b", "en", "a"), (2, None, "en", "a")])
     got = {r.doc_id: r for r in suffixtree.score(d, d.limit(0)).collect()}
