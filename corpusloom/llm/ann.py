@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,10 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .scratch import materialise
+from .scratch import materialise, skew_join
 
-#: Rows on which the index is fitted (those of the smallest hash), the most partitions, rows for each partition at least.
-SAMPLE, PARTS, PART_ROWS = 4096, 16, 1500
+#: Rows on which a router is fitted (those of the smallest hash), the most partitions that one deals to, and rows for each partition.
+SAMPLE, PARTS, PART_ROWS = 4096, 32, 250
 #: Recall that the number of probes is set for, on sample rows held out of the classifier's training.
 GOAL = 0.98
 CAND_CELL, QUERY_CELL = 20_000, 1_000
@@ -92,7 +93,7 @@ class Router:
         self.mean, self.scale = np.zeros(dim), 1.0
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        if self.parts == 1:
+        if not self.net:
             return np.zeros((len(x), 1))
         w1, b1, w2, b2 = self.net
         return np.tanh((x - self.mean) / self.scale @ w1 + b1) @ w2 + b2
@@ -118,103 +119,164 @@ class Router:
         return self
 
 
-def fit(vectors: DataFrame, k: int = 10) -> tuple[Router, int]:
-    """The router and the number of partitions that a query probes, from a sample of SAMPLE valid rows at most."""
-    df = vectors
-    n = df.count()
-    got = df.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toPandas()
-    dims = got.v.map(len)
-    dim = int(dims.mode().iloc[0]) if len(dims) else 0
-    parts = int(min(PARTS, max(1, n // PART_ROWS)))
-    router = Router(dim, parts)
+def train(x: np.ndarray, parts: int, known: int) -> Router:
+    """A router to `parts` balanced partitions of the neighbour graph of x; it learns from all rows but every known-th (0: from all)."""
+    router = Router(x.shape[1], parts)
     if parts == 1:
-        return router, 1
-    x = np.stack(got.v[dims == dim].to_list()).astype(np.float64)
+        return router
     near = knn(x, 16)
     side = partition(x, near, parts)
     own = np.zeros((len(x), parts))
-    np.add.at(own, (np.repeat(np.arange(len(x)), near.shape[1]), side[near.ravel()]), 1.0 / near.shape[1])
+    np.add.at(own, (np.repeat(np.arange(len(x)), near.shape[1]), side[near.ravel()]), 1.0 / max(near.shape[1], 1))
     own = 0.5 * own + 0.5 * np.eye(parts)[side]
-    held = np.arange(len(x)) % 5 == 0
-    router.fit(x[~held], own[~held])
-    # probes: the fewest for which the nearest k of held-out rows lie in the probed parts, all rows placed as the index places them
-    score = router.logits(x)
-    place = score.argmax(1)
-    rank = np.empty_like(score, dtype=np.int64)
-    np.put_along_axis(rank, np.argsort(-score, 1, kind="stable"), np.arange(parts)[None, :].repeat(len(x), 0), 1)
-    true = knn(x, k)[held]
-    at = np.take_along_axis(rank[held], place[true], 1)
-    probes = next(p for p in range(1, parts + 1) if (at < p).mean() >= GOAL or p == parts)
-    return router, probes
+    use = np.arange(len(x)) % known > 0 if known else np.ones(len(x), bool)
+    return router.fit(x[use], own[use])
+
+
+class Index:
+    """A router to branches and one for each branch to its leaves: at most PARTS * PARTS leaves, a few megabytes whatever the table's size."""
+
+    def __init__(self, dim: int, root: Router, below: list[Router], probes: int = 1):
+        self.dim, self.root, self.below, self.probes = dim, root, below, probes
+        self.first = np.concatenate([[0], np.cumsum([r.parts for r in below])]).astype(np.int64)
+        self.leaves = int(self.first[-1])
+
+    def place(self, x: np.ndarray) -> np.ndarray:
+        """Each row's leaf: the likeliest one of its likeliest branch."""
+        branch = self.root.logits(x).argmax(1)
+        out = self.first[branch].copy()
+        for b in np.unique(branch):
+            mine = branch == b
+            out[mine] += self.below[b].logits(x[mine]).argmax(1)
+        return out
+
+    def likely(self, x: np.ndarray) -> np.ndarray:
+        """log probability of each leaf."""
+
+        def log_softmax(z):
+            z = z - z.max(1, keepdims=True)
+            return z - np.log(np.exp(z).sum(1, keepdims=True))
+
+        root = log_softmax(self.root.logits(x))
+        return np.concatenate([root[:, [b]] + log_softmax(r.logits(x)) for b, r in enumerate(self.below)], 1)
+
+
+def fit(vectors: DataFrame, k: int = 10) -> Index:
+    """The index of distinct vectors (vec_id, v), each router fitted on SAMPLE of them at most: there are a partition for each PART_ROWS vectors, in two levels of PARTS at most.
+
+    probes is the least number of leaves that hold GOAL of the nearest k of sample rows which no root router has learnt from. Their neighbours within the sample lie
+    further off than those in the table, so this errs on the side of more probes.
+    """
+    n = vectors.count()
+    got = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toPandas()
+    dims = got.v.map(len)
+    dim = int(dims.mode().iloc[0]) if len(dims) else 0
+    x = np.stack(got.v[dims == dim].to_list()).astype(np.float64) if dim else np.zeros((0, 0))
+    leaves = max(1, n // PART_ROWS)
+    root = train(x, min(PARTS, leaves), 5) if len(x) > k + 1 else Router(dim, 1)
+    below = [Router(dim, 1)] * root.parts
+    if leaves > PARTS:
+        sent = vectors.sparkSession.sparkContext.broadcast(root)
+
+        def branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                v = b.column("v")
+                y = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), dim)
+                yield pa.record_batch([pa.array(sent.value.logits(y).argmax(1).astype(np.int32)), v, b.column("h")], names=["branch", "v", "h"])
+
+        rows = vectors.filter(F.size("v") == dim).select("v", F.xxhash64("vec_id").alias("h"))
+        rows = materialise(rows.mapInArrow(branch, "branch int, v array<double>, h long"))
+        size = {r.branch: r.n for r in rows.groupBy("branch").agg(F.count("*").alias("n")).collect()}  # at most PARTS rows
+        some = rows.withColumn("i", F.row_number().over(W.partitionBy("branch").orderBy("h"))).filter(F.col("i") <= SAMPLE).select("branch", "v")
+
+        def learn(d: pd.DataFrame) -> pd.DataFrame:
+            b = int(d.branch.iloc[0])
+            y = np.stack(d.v.to_list())
+            parts = int(min(PARTS, max(1, size[b] // PART_ROWS), max(1, len(y) // (2 * k + 2))))
+            return pd.DataFrame({"branch": [b], "router": [pickle.dumps(train(y, parts, 0))]})
+
+        for r in some.groupBy("branch").applyInPandas(learn, "branch int, router binary").collect():  # at most PARTS rows
+            below[r.branch] = pickle.loads(bytes(r.router))
+    index = Index(dim, root, below)
+    if index.leaves > 1:
+        held = np.arange(len(x)) % 5 == 0
+        score = index.likely(x[held])
+        rank = np.empty_like(score, dtype=np.int64)
+        np.put_along_axis(rank, np.argsort(-score, 1, kind="stable"), np.arange(index.leaves)[None, :].repeat(len(score), 0), 1)
+        at = np.take_along_axis(rank, index.place(x)[knn(x, k)[held]], 1)
+        index.probes = next(p for p in range(1, index.leaves + 1) if (at < p).mean() >= GOAL or p == index.leaves)
+    return index
 
 
 def search(vectors: DataFrame, query: str = "vec_id % 100 = 0", k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest valid rows of each valid row that `query` selects, its own excepted, by Euclidean distance
     in double precision, ties to the smaller vec_id.
 
-    Every row is indexed: the classifier places it in its likeliest partition. A query goes to its `probes` likeliest partitions, and to
-    more while those hold fewer than k rows, and is reranked exactly there. A partition's rows are dealt out to cells of about CAND_CELL rows and
-    QUERY_CELL queries, so a vector that fills most of the table fills many cells; each cell keeps k rows a query. Tables of under 2 *
-    PART_ROWS rows have one partition and exact results.
+    Every row is indexed, equal vectors as one: of theirs the k + 1 smallest vec_ids are all that any result can need. The classifiers place a vector
+    in its likeliest leaf. A query goes to its `probes` likeliest leaves, and to more while those hold fewer than k + 1 vectors, and is reranked
+    exactly there; queries of one vector are searched once. Leaves grow in number with the table (up to PARTS * PARTS), so a query's cost
+    doesn't. A leaf's vectors are dealt out to cells of about CAND_CELL vectors and QUERY_CELL queries.
 
-    Null, zero or non-finite vectors, vectors of another length than most of the sample, and rows without vec_id take no part. A query id
-    on several rows counts once; rows of its id are no candidates of it. No rows, no result. Other columns are not read.
+    Null, zero or non-finite vectors, vectors of another length than most of the sample, and rows without vec_id take no part. Rows that share a vec_id
+    are one, with the least of their vectors. No rows, no result. Other columns are not read.
     """
     spark = vectors.sparkSession
+    kind = vectors.schema["vec_id"].dataType.simpleString()
     rows = materialise(valid(vectors))
-    router, probes = fit(rows, k)
-    rows = rows.filter(F.size("v") == router.dim)
-    sent = spark.sparkContext.broadcast(router)
+    if not rows.groupBy("vec_id").count().filter("count > 1").isEmpty():
+        rows = materialise(rows.groupBy("vec_id").agg(F.min("v").alias("v")))
+    distinct = materialise(rows.groupBy("v").agg(F.min("vec_id").alias("vec_id")))
+    index = fit(distinct, k)
+    sent = spark.sparkContext.broadcast(index)
+    fits = F.size("v") == index.dim
+    few = rows.filter(fits).withColumn("_i", F.row_number().over(W.partitionBy("v").orderBy("vec_id"))).filter(F.col("_i") <= k + 1).drop("_i")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = sent.value
         for b in batches:
             v = b.column("v")
-            x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), r.dim)
-            yield pa.record_batch([b.column("vec_id"), v, pa.array(r.logits(x).argmax(1).astype(np.int32))], names=["vec_id", "v", "part"])
+            x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), sent.value.dim)
+            yield pa.record_batch([b.column("vec_id"), v, pa.array(sent.value.place(x).astype(np.int32))], names=["vec_id", "v", "part"])
 
-    kind = vectors.schema["vec_id"].dataType.simpleString()
-    placed = materialise(rows.mapInArrow(place, f"vec_id {kind}, v array<double>, part int"))
-    counts = {r.part: r.n for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()}  # at most PARTS rows
-    size = np.array([counts.get(i, 0) for i in range(router.parts)])
+    placed = materialise(few.mapInArrow(place, f"vec_id {kind}, v array<double>, part int"))
+    counts = {r.part: r.n for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()}  # at most PARTS * PARTS rows
+    size = np.array([counts.get(i, 0) for i in range(index.leaves)])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = sent.value
         for b in batches:
-            v = b.column("v")
-            x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), r.dim)
-            order = np.argsort(-r.logits(x), 1, kind="stable")
+            v = b.column("q")
+            x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), sent.value.dim)
+            order = np.argsort(-sent.value.likely(x), 1, kind="stable")
             have = np.cumsum(size[order], 1)
-            use = (np.arange(r.parts)[None, :] < probes) | (np.concatenate([np.zeros((len(x), 1)), have[:, :-1]], 1) < k + 1)
+            use = (np.arange(len(size))[None, :] < sent.value.probes) | (np.concatenate([np.zeros((len(x), 1)), have[:, :-1]], 1) < k + 1)
             row, col = np.nonzero(use)
-            yield pa.record_batch([b.column("vec_id").take(pa.array(row)), v.take(pa.array(row)), pa.array(order[row, col].astype(np.int32))], names=["query_id", "q", "part"])
+            yield pa.record_batch([b.column("qid").take(pa.array(row)), v.take(pa.array(row)), pa.array(order[row, col].astype(np.int32))], names=["qid", "q", "part"])
 
-    queries = placed.filter(query).dropDuplicates(["vec_id"]).select("vec_id", "v")
-    routed = materialise(queries.mapInArrow(route, f"query_id {kind}, q array<double>, part int"))
-    asked = {r.part: r.n for r in routed.groupBy("part").agg(F.count("*").alias("n")).collect()}  # at most PARTS rows
-    cuts = [(i, -(-counts.get(i, 0) // CAND_CELL), -(-asked.get(i, 0) // QUERY_CELL)) for i in range(router.parts)]
-    pick = lambda which: F.element_at(F.array(*(F.lit(max(1, c[which])) for c in cuts)), F.col("part") + 1)
-    cands = placed.withColumn("a", F.pmod(F.xxhash64("vec_id"), pick(1)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), pick(2) - 1)))
-    routed = routed.withColumn("b", F.pmod(F.xxhash64("query_id"), pick(2)).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), pick(1) - 1)))
+    asking = materialise(rows.filter(fits).filter(query))
+    wanted = materialise(asking.groupBy("v").agg(F.min("vec_id").alias("qid"), F.count("*").alias("n")))
+    routed = materialise(wanted.select("qid", F.col("v").alias("q")).mapInArrow(route, f"qid {kind}, q array<double>, part int"))
+    asked = {r.part: r.n for r in routed.groupBy("part").agg(F.count("*").alias("n")).collect()}  # at most PARTS * PARTS rows
+    cuts = [(i, max(1, -(-counts.get(i, 0) // CAND_CELL)), max(1, -(-asked.get(i, 0) // QUERY_CELL))) for i in range(index.leaves)]
+    cells = F.broadcast(spark.createDataFrame(cuts, "part int, _na int, _nb int"))
+    cands = placed.join(cells, "part").select("vec_id", "v", "part", F.pmod(F.xxhash64("vec_id"), "_na").cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("b"))
+    routed = routed.join(cells, "part").select("qid", "q", "part", F.explode(F.sequence(F.lit(0), F.col("_na") - 1)).alias("a"), F.pmod(F.xxhash64("qid"), "_nb").cast("int").alias("b"))
 
     def nearest(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(c) or not len(q):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        x = np.stack(c.v.to_list())
-        ids = c.vec_id.to_numpy()
         out = []
-        for qid, v in zip(q.query_id, q.q, strict=True):
-            d = np.sqrt(((x - v) ** 2).sum(1))
-            d[ids == qid] = np.nan
-            n = min(k, int((~np.isnan(d)).sum()))
-            if not n:
-                continue
-            edge = np.partition(d, n - 1)[n - 1]  # nan sorts last
-            near = np.flatnonzero(d <= edge)
-            near = near[np.lexsort((ids[near], d[near]))][:n]
-            out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[near], "score": d[near]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-
-    local = cands.groupBy("part", "a", "b").cogroup(routed.groupBy("part", "a", "b")).applyInPandas(nearest, f"query_id {kind}, vec_id {kind}, score double")
-    ranked = local.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))).filter(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        if len(c) and len(q):
+            x, ids = np.stack(c.v.to_list()), c.vec_id.to_numpy()
+            n = min(k + 1, len(ids))
+            for qid, v in zip(q.qid, q.q, strict=True):
+                d = np.sqrt(((x - v) ** 2).sum(1))
+                near = np.flatnonzero(d <= np.partition(d, n - 1)[n - 1])
+                near = near[np.lexsort((ids[near], d[near]))][:n]
+                out.append(pd.DataFrame({"qid": qid, "vec_id": ids[near], "score": d[near]}))
+        return pd.concat(out) if out else pd.DataFrame({"qid": [], "vec_id": [], "score": []})
+
+    local = cands.groupBy("part", "a", "b").cogroup(routed.groupBy("part", "a", "b")).applyInPandas(nearest, f"qid {kind}, vec_id {kind}, score double")
+    best = local.withColumn("_i", F.row_number().over(W.partitionBy("qid").orderBy("score", "vec_id"))).filter(F.col("_i") <= k + 1)
+    near = best.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("score", "vec_id"))).alias("near"))
+    near = materialise(near.join(wanted.select("qid", "n"), "qid"))
+    asking = materialise(skew_join(asking, wanted, ["v"], "n", asking.count()).select(F.col("vec_id").alias("query_id"), "qid"))
+    out = skew_join(asking, near, ["qid"], "n", asking.count())
+    out = out.select("query_id", F.posexplode(F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)).alias("rank", "r"))
+    return out.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), "r.vec_id", "r.score")
