@@ -10,12 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import bounded_batches
-from .tokens import CODES_LOWER, chunks, prefix, span, words
+from .tokens import CODES_LOWER, chunks, mix, prefix, span, words
 
 #: Bounds of the samples on which the classifier is fitted (rows of the smallest hash of doc_id).
 MAX_POSITIVE = 12_000
 MAX_UNLABELLED = 24_000
-N_FEATURES = 22
+#: Features of a text's form, and buckets into which its lower-cased words and pairs of neighbouring words are hashed.
+FORM, LEXICAL = 22, 64
+N_FEATURES = FORM + LEXICAL
+#: Weight decay of the lexical features.
+DECAY = 0.1
 _CLASS = np.zeros(256, np.uint8)  # 1 lower, 2 upper, 3 digit, 4 space, 5 newline, 6 . or , 7 ! or ?, 8 symbols, 9 bars and brackets, 10 other ASCII, 0 high bytes
 _CLASS[:128] = 10
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58] = 1, 2, 3
@@ -27,7 +31,10 @@ _CLASS[128:] = 0
 
 
 def features(column: pa.Array) -> np.ndarray:
-    """One row of N_FEATURES per text, from all of its bytes. Shares are square roots, so small ones count; an empty text has zeros."""
+    """One row of N_FEATURES per text, from all of its bytes: its form (shares of kinds of characters, lengths, repetition), and which words and word pairs it uses, by bucket.
+
+    Shares are square roots, so small ones count; an empty text has zeros.
+    """
     out = [np.zeros((0, N_FEATURES), np.float32)]
     for c in chunks(column):
         out.append(_chunk(c))
@@ -91,7 +98,14 @@ def _chunk(c) -> np.ndarray:
         np.log1p(nw) / 10,
         (nw > 0).astype(float),
     ]
-    return np.stack(cols, 1).astype(np.float32)
+    used = mix(h)
+    beside = np.flatnonzero(wdoc[1:] == wdoc[:-1]) if len(h) else np.zeros(0, np.int64)
+    pairs = mix(h[beside] * np.uint64(3) + h[beside + 1])
+    place = np.concatenate([wdoc * LEXICAL + (used % np.uint64(LEXICAL)).astype(np.int64), wdoc[beside] * LEXICAL + (pairs % np.uint64(LEXICAL)).astype(np.int64)])
+    sign = 1.0 - 2.0 * (np.concatenate([used, pairs]) >> np.uint64(63)).astype(np.float64)  # collisions of two words cancel rather than add up
+    lex = np.bincount(place, sign, minlength=n * LEXICAL).reshape(n, LEXICAL) / many[:, None]
+    lex = np.sign(lex) * np.sqrt(np.abs(lex))
+    return np.concatenate([np.stack(cols, 1), lex], 1).astype(np.float32)
 
 
 class Model:
@@ -117,13 +131,14 @@ def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, rounds: int = 400,
     d = unl.shape[1]
     mean, scale = unl.mean(0), unl.std(0) + 1e-3
     m = Model(mean, scale, rng.normal(0, 0.4, (d, hidden)), np.zeros(hidden), rng.normal(0, 0.4, hidden), 0.0)
-    both = np.concatenate([pos, unl]).astype(np.float64)
-    z = np.clip((both - mean) / scale, -8, 8)
+    decay = np.where(np.arange(d) < FORM, 1e-4, DECAY)[:, None]  # what single words say has to pay for itself
+    m.w1[FORM:] = 0
+    z = np.clip((np.concatenate([pos, unl]) - mean) / scale, -8, 8).astype(np.float32)
     n, k = len(pos), len(unl)
     params = [m.w1, m.b1, m.w2, np.zeros(1)]
     mom, vel = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for t in range(1, rounds + 1):
-        hid = np.tanh(z @ params[0] + params[1])
+        hid = np.tanh(z @ params[0].astype(np.float32) + params[1].astype(np.float32)).astype(np.float64)
         s = hid @ params[2] + params[3][0]
         sig = 1 / (1 + np.exp(-np.clip(s, -30, 30)))
         down = np.logaddexp(0, s)  # loss of calling it negative
@@ -136,7 +151,7 @@ def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, rounds: int = 400,
             g[:n] = prior * sig[:n] / n
             g[n:] = -sig[n:] / k
         back = np.outer(g, params[2]) * (1 - hid**2)
-        grads = [z.T @ back + 1e-4 * params[0], back.sum(0), hid.T @ g + 1e-4 * params[2], np.array([g.sum()])]
+        grads = [(z.T @ back.astype(np.float32)).astype(np.float64) + decay * params[0], back.sum(0), hid.T @ g + 1e-4 * params[2], np.array([g.sum()])]
         for p, gr, a, v in zip(params, grads, mom, vel, strict=True):
             a += 0.1 * (gr - a)
             v += 0.001 * (gr * gr - v)
@@ -177,28 +192,35 @@ def cross_fitted_prior(pos: np.ndarray, unl: np.ndarray) -> float:
     return float(np.clip(bound - np.sqrt(bound * (1 - bound) / len(unl)), 0.01, 0.99))
 
 
+def sample(docs: DataFrame, labels: DataFrame, folds: int, held: int) -> DataFrame:
+    """_id (doc_id as string), _p: 1 for the positives to fit on, 0 for the unlabelled; MAX_POSITIVE + MAX_UNLABELLED rows at most, none twice."""
+    fold = F.crc32(F.col("_id").cast("binary")) % folds
+    ids = lambda d: d.select(F.col("doc_id").cast("string").alias("_id")).filter(F.col("_id").isNotNull()).filter(fold != held).distinct()
+    p = ids(labels.filter("quality = 1")).orderBy(F.xxhash64("_id"), "_id").limit(MAX_POSITIVE)
+    u = ids(docs).orderBy(F.xxhash64(F.concat(F.lit("u"), F.col("_id"))), "_id").limit(MAX_UNLABELLED)
+    return p.withColumn("_p", F.lit(1)).unionByName(u.withColumn("_p", F.lit(0)))
+
+
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) -> Model | None:
     """Fits on documents outside the held-out fold: trusted positives (quality = 1) against unlabelled text (all documents, labels unread).
 
-    Samples hold at most MAX_POSITIVE and MAX_UNLABELLED documents, those of the smallest hash. None without positives.
+    Samples hold at most MAX_POSITIVE and MAX_UNLABELLED ids, those of the smallest hash; an id on several rows counts once, with the row of the least features. None
+    without positives or without documents. Labels without doc_id and documents without one teach nothing; texts that are null read as empty.
     """
     bounded_batches(docs.sparkSession)
-    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
-    rank = F.xxhash64(F.col("doc_id").cast("string"))
-    positive = labels.filter("quality = 1 and doc_id is not null").select("doc_id").filter(fold != held).distinct()
-    p = positive.orderBy(rank).limit(MAX_POSITIVE).select("doc_id", F.lit(1).alias("_p"))
-    u = docs.select("doc_id").filter(F.col("doc_id").isNotNull()).filter(fold != held).orderBy(F.xxhash64(F.concat(F.lit("u"), F.col("doc_id").cast("string")))).limit(MAX_UNLABELLED).select("doc_id", F.lit(0).alias("_p"))
-    ids = F.broadcast(p.unionByName(u))  # at most MAX_POSITIVE + MAX_UNLABELLED rows
+    ids = sample(docs, labels, folds, held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = features(b.column("text"))
-            yield pa.record_batch([b.column("_p"), pa.array([r.tobytes() for r in x], pa.binary())], names=["p", "x"])
+            x = features(b.column("text")).astype(np.float16)
+            yield pa.record_batch([b.column("_id"), b.column("_p"), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "p", "x"])
 
-    got = docs.select("doc_id", "text").join(ids, "doc_id").mapInArrow(run, "p int, x binary").toPandas()
+    read = docs.select(F.col("doc_id").cast("string").alias("_id"), F.col("text").cast("string").alias("text"))
+    rows = read.join(F.broadcast(ids), "_id").mapInArrow(run, "id string, p int, x binary")
+    got = rows.groupBy("id", "p").agg(F.min("x").alias("x")).toPandas()  # a row for each id and kind
     if not len(got) or not (got.p == 1).any():
         return None
-    x = np.frombuffer(b"".join(got.x), np.float32).reshape(len(got), N_FEATURES)
+    x = np.frombuffer(b"".join(got.x), np.float16).reshape(len(got), N_FEATURES).astype(np.float32)
     order = np.lexsort((*x.T, got.p))  # the same order whatever the partitions, so that reruns agree
     x, y = x[order].astype(np.float64), got.p.to_numpy()[order]
     pos, unl = x[y == 1], x[y == 0]
@@ -210,7 +232,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) -> Mo
 def score(docs: DataFrame, model: Model | None, keep: bool = False) -> DataFrame:
     """doc_id, score, predicted (with keep: all columns of docs, then _score and _predicted).
 
-    Every whole text is scored, null as an empty one. Without a model (no labelled positives) each score is 0.5 and
+    Every whole text is scored, null as an empty one; a repeated row gives its row again, equal texts have equal scores, an empty table gives no rows. Without keep,
+    columns other than doc_id and text are not read. Without a model (no labelled positives) each score is 0.5 and
     predicted 1, so nothing is rejected unlearnt.
     """
 

@@ -684,6 +684,31 @@ def test_quality_edges(spark, edge_rows):
     assert len(got) == len(edge_rows) and all(0 <= r.score <= 1 for r in got) and quality.score(d.limit(0), model).count() == 0
 
 
+def test_quality_samples_ids_once(spark):
+    rows, labels = quality_rows(random.Random(19), 60)
+    many = make(spark, rows + [(2, f"row {i} of one id", "en", "a") for i in range(300)]).withColumn("_p", F.lit(7)).withColumn("_id", F.lit("x"))
+    lab = spark.createDataFrame(labels * 2, "doc_id long, quality int, toxic int")
+    ids = quality.sample(many, lab, 3, 1)
+    assert ids.count() == ids.distinct().count() <= 120
+    got = quality.score(many, quality.fit(many, lab), keep=True)
+    assert got.count() == 360 and quality.score(many, quality.fit(many, lab)).count() == 360
+
+
+def test_quality_risk_is_that_of_the_formula():
+    rng = np.random.default_rng(3)
+    pos, unl = rng.normal(1, 1, (300, 4)), rng.normal(0, 1, (500, 4))
+    m = quality.fit_nnpu(pos, unl, 0.4)
+    loss = lambda x, y: np.logaddexp(0, -y * m.logit(x)).mean()
+    risk = 0.4 * loss(pos, 1) + max(0.0, loss(unl, -1) - 0.4 * loss(pos, -1))
+    base = min(0.4 * np.logaddexp(0, -s) + max(0.0, np.logaddexp(0, s) - 0.4 * np.logaddexp(0, s)) for s in np.linspace(-5, 5, 101))
+    assert risk < base  # below what any constant score has
+
+
+def test_lexical_features_tell_words_apart():
+    a, b, c, e = quality.features(pa.array(["one two three", "One TWO three", "one two other", ""]))
+    assert (a[quality.FORM :] == b[quality.FORM :]).all() and not (a[quality.FORM :] == c[quality.FORM :]).all() and not e.any()
+
+
 def test_class_prior():
     rng = np.random.default_rng(2)
     pos = rng.normal(1, 0.3, 4000)
