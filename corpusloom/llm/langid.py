@@ -53,7 +53,9 @@ def learn(docs: DataFrame, min_rate: float = 2e-6, least_share: float = 0.05) ->
     """Languages in code point order and the filter, from all rows of docs (text, lang) with a lang.
 
     An n-gram counts as one of a language if its rate there is min_rate at least and least_share of its highest rate in any
-    language. The filter has CELLS cells of one 64-bit word per 64 languages: fixed, so it may be sent to every task.
+    language (with 0 and 0, every n-gram of the language's texts does). The filter has CELLS cells of one 64-bit word per 64 languages; its slices are filled
+    in the tasks, and CELLS / 8 bytes a language reach the driver. Repeated rows count each time; null texts and rows without a lang teach nothing; a lang
+    without texts is learnt with no n-gram; an empty table gives no languages. Other columns are not read.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,11 +92,20 @@ def learn(docs: DataFrame, min_rate: float = 2e-6, least_share: float = 0.05) ->
     rated = counts.withColumn("r", rate).filter(F.col("r") >= min_rate)
     # each language keeps at most 1/min_rate n-grams, since their rates add up to 1
     top = rated.groupBy("key").agg(F.max("r").alias("top"))
-    got = rated.join(top, "key").filter(F.col("r") >= least_share * F.col("top")).select("lang", "key").toPandas()
-    for i, name in enumerate(langs):
-        keys = got.key[got.lang == name].to_numpy(np.uint64)
-        for at in _cells(keys):
-            np.bitwise_or.at(cells[:, i // 64], at, np.uint64(1 << (i % 64)))
+    kept = rated.join(top, "key").filter(F.col("r") >= least_share * F.col("top")).select("lang", "key")
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.concatenate(_cells(b.column("key").to_numpy().view(np.uint64))) + 1  # buckets count from 1
+            row = pa.array(np.tile(np.arange(b.num_rows), PROBES))
+            yield pa.record_batch([b.column("lang").take(row), pa.array(at)], names=["lang", "at"])
+
+    bits = kept.mapInArrow(places, "lang string, at long").groupBy("lang", F.bitmap_bucket_number("at").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    number = {name: i for i, name in enumerate(langs)}
+    for r in bits.toLocalIterator():  # CELLS / 8 bytes a language, which is the filter itself
+        i, slice_ = number[r.lang], np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8), bitorder="little")
+        at = (r.page - 1) * len(slice_)
+        cells[at : at + len(slice_), i // 64] |= slice_[: CELLS - at].astype(np.uint64) << np.uint64(i % 64)
     return langs, cells
 
 
@@ -109,7 +120,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
 
     The filter answers each n-gram with a bitmask of languages; the count of a language's bits over the whole text, corrected for its filter's
     false positive rate f as (share - f) / (1 - f), decides, ties to the first language in code point order. score is the winner's part
-    of it and the runner-up's together. Texts that are null or have no letter, and all texts if nothing was learnt: `und`, score 0.
+    of it and the runner-up's together. Texts that are null or have no letter, and all texts if nothing was learnt: `und`, score 0. Whole texts are read, however long; a
+    repeated row gives its row again; an empty table gives no rows; other columns are not read.
     """
     langs, cells = model
     fill = np.array([float(((cells[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean()) for i in range(len(langs))])

@@ -452,6 +452,47 @@ def test_language_id(spark):
     assert langid.predict(make(spark, test).limit(0), model).count() == 0
 
 
+def test_language_id_equals_brute_force(spark):
+    rng = random.Random(88)
+    vocab = {"en": ["the", "thing", "whole", "with", "über"], "de": ["der", "nicht", "schön", "über"], "es": ["que", "niño", "ción", "para"]}
+    rows = [(i, prose(rng, rng.randrange(1, 30), vocab[lang]).upper() + " 7!", lang, "a") for i, lang in enumerate(["en", "de", "es"] * 12)]
+    rows += [rows[0], (200, None, "en", "a"), (201, prose(rng, 60_000, vocab["de"]), None, "a"), (202, "ab", "fr", "a")]
+    d = make(spark, rows).withColumn("lang_pred", F.lit(1)).withColumn("key_", F.lit(2))
+
+    def grams(t):
+        out = []
+        low = "".join(c.lower() for c in t).encode()
+        b = b" " + bytes(x if 97 <= x <= 122 or x >= 128 else 32 for x in low) + b" "
+        for i in range(len(b) - 2):
+            if b"  " in b[i : i + 3]:
+                continue
+            out.append(b[i : i + 3])
+            if i + 4 <= len(b) and b"  " not in b[i : i + 4]:
+                out.append(b[i : i + 4])
+        return out
+
+    model = langid.learn(d, 0, 0)
+    assert model[0] == ["de", "en", "es", "fr"]
+    has = {x: {g for _, t, lang, _ in rows if lang == x and t for g in grams(t)} for x in model[0]}
+    key = lambda g: int.from_bytes(g, "little")
+    every = sorted(set().union(*has.values()), key=key)
+    at = langid._cells(np.array([key(g) for g in every], np.uint64))
+    mask = model[1][at[0], 0] & model[1][at[1], 0] & model[1][at[2], 0]
+    wrong = 0
+    for g, m in zip(every, mask.tolist()):
+        for i, x in enumerate(model[0]):
+            assert not (g in has[x]) or m >> i & 1  # all languages that hold a gram are returned
+            wrong += (g not in has[x]) and m >> i & 1
+    assert wrong <= 2
+    for r, (i, t, *_) in zip(langid.predict(d.coalesce(1), model).collect(), rows):
+        g = grams(t or "")
+        if not any(map(str.isalpha, t or "")):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        share = sorted(((sum(x in has[k] for x in g) / max(len(g), 1), k) for k in model[0]), key=lambda p: (-p[0], p[1]))
+        assert r.lang_pred == share[0][1] and abs(r.score - share[0][0] / (share[0][0] + share[1][0])) < 1e-3
+
+
 # op6
 
 
