@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .anchors import Kind, digests
 from .components import components
-from .scratch import materialise, shielded, skew_join
+from .scratch import materialise, shielded, sifted, skew_join
 from .tokens import chunks, mix, shingles, span, prefix, words
 
 SHINGLE = 5
@@ -225,6 +225,44 @@ def _verify_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield pa.record_batch([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
+#: Rows of one token and class that are held back until another class is seen.
+HELD = 1 << 20
+
+
+def _of_several_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by token and class those whose token has several classes; where one class has over HELD rows, they pass unseen, which costs but changes nothing."""
+    held: list[pa.RecordBatch] = []
+    open_token, passing = None, False
+
+    def first(b):
+        return b.column("token")[0].as_py(), b.column("cls")[0].as_py()
+
+    for b in (b for b in batches if b.num_rows):
+        token, cls = b.column("token").to_numpy(), b.column("cls").to_numpy()
+        at = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token))
+        keep = np.zeros(len(token), bool)
+        for k, (lo, hi) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+            if k == 0 and token[0] == open_token:
+                several = passing or cls[hi - 1] != first(held[0])[1]
+                if several:
+                    yield from held
+                    held = []
+            else:
+                held, passing = [], False
+                several = cls[lo] != cls[hi - 1]
+            if several:
+                keep[lo:hi] = True
+            if hi == len(token):
+                open_token, passing = token[-1], several
+                if not several:
+                    held.append(b.slice(lo, hi - lo))
+                    if sum(x.num_rows for x in held) > HELD:
+                        yield from held
+                        held, passing = [], True
+        if keep.any():
+            yield b.filter(pa.array(keep))
+
+
 def _across(large: DataFrame, text: DataFrame, edges: DataFrame) -> DataFrame | None:
     """Edges (a, b) that join the classes which `edges` leaves apart in large groups (root, rep, n); None if there are none apart.
 
@@ -258,24 +296,24 @@ def _across(large: DataFrame, text: DataFrame, edges: DataFrame) -> DataFrame |
                 at = np.arange(len(h)) - (np.cumsum(size) - size)[doc]
                 first = at <= size[doc] - np.ceil(SIMILARITY * size[doc] - 1e-9)
                 h, doc, at = h[first], doc[first], at[first]
-                token = mix(h ^ mix(root[c.lo + doc]))
-                rest = (size[doc] - at).astype(np.int64)
+                token = mix(h ^ mix(root[c.lo + doc]))  # a token is one of a group's
                 row = pa.array(c.lo + doc)
-                yield pa.record_batch([b.column("root").take(row), b.column("cls").take(row), b.column("rep").take(row), pa.array(token.view(np.int64)), pa.array(size[doc].astype(np.int64)), pa.array(rest)], names=["root", "cls", "rep", "token", "size", "rest"])
+                yield pa.record_batch([pa.array(token.view(np.int64)), b.column("cls").take(row), b.column("rep").take(row), pa.array(size[doc].astype(np.int32)), pa.array((size[doc] - at).astype(np.int32))], names=["token", "cls", "rep", "size", "rest"])
 
-    lists = materialise(text.mapInArrow(prefixes, "root long, cls long, rep long, token long, size long, rest long"))
-    mixed = lists.groupBy(F.col("token").alias("_t")).agg(F.count("*").alias("_k"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo < hi")
+    row = "token long, cls long, rep long, size int, rest int"
+    lists = materialise(text.mapInArrow(prefixes, row).repartition("token").sortWithinPartitions("token", "cls").mapInArrow(_of_several_classes, row))
+    often_ = materialise(lists.groupBy("token").agg(F.count("*").alias("_k")))
     n_blocks = F.ceil(F.col("_k") / F.lit(BLOCK)).cast("int")
-    lists = materialise(lists.join(mixed, F.col("token") == F.col("_t")).select("root", "cls", "rep", "token", "size", "rest", (n_blocks - 1).alias("last"), F.pmod(F.xxhash64("rep", F.lit(3)), n_blocks).cast("int").alias("block")))
-    left = lists.select("root", "token", F.col("block").alias("i"), F.explode(F.sequence("block", "last")).alias("j"), F.col("rep").alias("a"), F.col("cls").alias("cls_a"), F.col("size").alias("size_a"), F.col("rest").alias("rest_a"))
+    lists = materialise(skew_join(lists, often_, ["token"], "_k", lists.count()).select("cls", "rep", "token", "size", "rest", (n_blocks - 1).alias("last"), F.pmod(F.xxhash64("rep", F.lit(3)), n_blocks).cast("int").alias("block")))
+    left = lists.select("token", F.col("block").alias("i"), F.explode(F.sequence("block", "last")).alias("j"), F.col("rep").alias("a"), F.col("cls").alias("cls_a"), F.col("size").alias("size_a"), F.col("rest").alias("rest_a"))
     right = lists.select("token", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("rep").alias("b"), F.col("cls").alias("cls_b"), F.col("size").alias("size_b"), F.col("rest").alias("rest_b"))
     s = F.lit(SIMILARITY)
     alike = (F.least("size_a", "size_b") >= s * F.greatest("size_a", "size_b") - 1e-6) & (F.least("rest_a", "rest_b") * (1 + s) >= s * (F.col("size_a") + F.col("size_b")) - 1e-6)
     met = left.join(right, ["token", "i", "j"]).filter((F.col("cls_a") != F.col("cls_b")) & ((F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))) & alike)
-    pairs = met.select("root", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     # two blocks meet in a task: half the size each
-    parts = own.select("rep", F.pmod(F.xxhash64("rep", F.lit(5)), F.ceil(2 * F.col("n") / F.lit(BLOCK))).cast("long").alias("part"))
-    pairs = pairs.join(parts.select(F.col("rep").alias("a"), F.col("part").alias("p")), "a").join(parts.select(F.col("rep").alias("b"), F.col("part").alias("q")), "b")
+    parts = own.select("root", "rep", F.pmod(F.xxhash64("rep", F.lit(5)), F.ceil(2 * F.col("n") / F.lit(BLOCK))).cast("long").alias("part"))
+    pairs = pairs.join(parts.select("root", F.col("rep").alias("a"), F.col("part").alias("p")), "a").join(parts.select(F.col("rep").alias("b"), F.col("part").alias("q")), "b")
     block = (F.least("p", "q") * F.lit(1 << 31) + F.greatest("p", "q")).alias("block")
     pairs = materialise(pairs.groupBy("root", block, "a").agg(F.collect_list("b").alias("partners")))
     rows = pairs.select("root", "block", F.col("a").alias("rep"), "partners").unionByName(pairs.select("root", "block", F.explode("partners").alias("rep"), F.lit(None).cast("array<long>").alias("partners")))
@@ -332,7 +370,9 @@ def classified(docs: DataFrame) -> DataFrame:
     dealt = large.select("root", F.explode(F.array(F.pmod(F.xxhash64("rep"), n_blocks).cast("int"), (n_blocks + F.pmod(F.xxhash64("rep", F.lit(1)), n_blocks)).cast("int"))).alias("block"), "rep")
     pivots = large.withColumn("_i", F.row_number().over(_by_hash())).filter(F.col("_i") <= PIVOTS).select("root", F.explode(F.sequence(F.lit(0), 2 * n_blocks - 1)).alias("block"), "rep")
     blocks = small.unionByName(dealt).unionByName(pivots).distinct()
-    text = docs.join(reps.select(*DOC, "rep").join(sized.select("rep"), "rep"), DOC).dropDuplicates(["rep"]).select("rep", "text")
+    wanted = materialise(reps.select(*DOC, "rep").join(sized.select("rep"), "rep"))
+    text = sifted(docs, wanted, DOC).filter("_maybe").drop("_maybe").join(wanted, DOC).dropDuplicates(["rep"])
+    text = materialise(text.select("rep", "text"))
     sets = text.mapInArrow(_shingle_sets, "rep long, sh binary")
     ready = blocks.join(sets, "rep").select("root", "block", "rep", "sh").repartition("root", "block").sortWithinPartitions("root", "block", "rep")
     edges = materialise(ready.mapInArrow(_verify, "a long, b long"))
@@ -360,13 +400,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
     marked = gone.withColumn("_once", F.lit(False)).unionByName(again.join(gone, DOC, "left_anti").withColumn("_once", F.lit(True)))
     marked = materialise(marked.select(*(F.col(x).alias(f"_{x}") for x in DOC), "_once"))
     text = F.col("text").cast("string")
-    here = (F.col("doc_id").cast("long") == F.col("_doc_id")) & (F.xxhash64(text) == F.col("_k0")) & (F.xxhash64(F.lit(1), text) == F.col("_k1"))
 
     def run(d: DataFrame) -> DataFrame:
-        out = d.join(marked, here, "left_anti")
+        names = d.columns
+        d = d.select("*", F.col("doc_id").cast("long").alias("_doc_id"), F.xxhash64(text).alias("_k0"), F.xxhash64(F.lit(1), text).alias("_k1"))
+        on = ["_doc_id", "_k0", "_k1"]
+        d = sifted(d, marked, on)
+        out = d.filter("not _maybe").select(*names).unionByName(d.filter("_maybe").join(marked, on, "left_anti").select(*names))
         once = marked.filter("_once")
         if once.isEmpty():
             return out
-        return out.unionByName(d.join(once, here).dropDuplicates(["_doc_id", "_k0", "_k1"]).select(*d.columns))
+        return out.unionByName(d.filter("_maybe").join(once, on).dropDuplicates(on).select(*names))
 
     return shielded(docs, run)

@@ -83,6 +83,21 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], n: str, total: i
     return out
 
 
+#: Bits of the filter that sifted() broadcasts, in words of 64.
+SIFT = 1 << 23
+
+
+def sifted(rows: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
+    """rows with a column _maybe, false only for those whose columns `on` no row of wanted has: what needn't meet wanted in a join, so that whole texts aren't shuffled for nothing.
+
+    The filter is a table of SIFT / 64 rows at most (a few megabytes), whatever wanted's size; where wanted has far more rows than bits, it lets everything through.
+    """
+    h = F.pmod(F.xxhash64(*on), F.lit(SIFT))
+    bits = wanted.select(h.alias("_h")).groupBy(F.expr("_h div 64").alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_h % 64 as int)))").alias("_bits"))
+    met = rows.withColumn("_h", h).join(F.broadcast(bits), F.expr("_h div 64") == F.col("_word"), "left")
+    return met.withColumn("_maybe", F.expr("coalesce(getbit(_bits, cast(_h % 64 as int)) = 1, false)")).drop("_h", "_word", "_bits")
+
+
 def bit_filter(keys: DataFrame, size: int) -> np.ndarray:
     """Packed bits (size of them, little endian in a byte) in which (mix(key) mod size) is set for the one long column of keys; built in the tasks, size / 8 bytes reach the driver."""
 

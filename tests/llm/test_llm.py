@@ -377,6 +377,17 @@ def test_word_repeats_with_hot_keys(spark, repeat_rows, monkeypatch):
     assert sorted(((r.doc_id, r.n, r.n_removed, bytes(r.kept)) for r in got), key=key) == sorted(brute_words(repeat_rows, 10), key=key)
 
 
+def test_sifted(spark, monkeypatch):
+    rows = spark.range(2000).withColumn("b", F.when(F.col("id") % 7 > 0, F.col("id") % 5))
+    wanted = rows.filter("id % 40 = 3")
+    got = {r.id: r._maybe for r in scratch.sifted(rows, wanted, ["id", "b"]).collect()}
+    assert len(got) == 2000 and all(got[i] for i in range(3, 2000, 40)) and sum(got.values()) < 60
+    monkeypatch.setattr(scratch, "SIFT", 64)
+    got = {r.id: r._maybe for r in scratch.sifted(rows, wanted, ["id", "b"]).collect()}
+    assert all(got[i] for i in range(3, 2000, 40))
+    assert not any(r._maybe for r in scratch.sifted(rows, wanted.limit(0), ["id"]).collect())
+
+
 def test_skew_join(spark):
     left = spark.createDataFrame([(None if i % 9 == 0 else 1 if i % 2 else i, i) for i in range(300)], "k long, x long")
     right = left.filter("k is not null").groupBy("k").agg(F.count("*").alias("n")).filter("k % 3 <> 2")
