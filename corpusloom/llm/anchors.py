@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import drop, materialise, release, skew_join
+from .scratch import drop, materialise, release, sifted, skew_join
 from .tokens import SPACE, Chunk, chunks, mix, prefix, span, words
 
 
@@ -132,7 +132,8 @@ def meeting(source: DataFrame, kind: Kind, across_docs: bool) -> tuple[DataFrame
 def fetch(texts: DataFrame, wanted: DataFrame, fields: list[str], run, schema: str) -> DataFrame:
     """mapInArrow(run) over (text, want): each text that `wanted` names by (doc, key) once, with the structs `fields` of its rows. One text's rows meet in one task."""
     want = wanted.groupBy(F.col("doc").alias("_d"), F.col("key").alias("_k")).agg(F.collect_list(F.struct(*fields)).alias("want"))
-    one = texts.join(want, (F.col("doc") == F.col("_d")) & (F.col("key") == F.col("_k"))).dropDuplicates(["doc", "key"]).select("text", "want")
+    some = sifted(texts, wanted.select("doc", "key"), ["doc", "key"]).filter("_maybe").drop("_maybe")
+    one = some.join(want, (F.col("doc") == F.col("_d")) & (F.col("key") == F.col("_k"))).dropDuplicates(["doc", "key"]).select("text", "want")
     return one.mapInArrow(run, schema)
 
 
@@ -199,5 +200,7 @@ def cut(docs: DataFrame, kind: Kind, found: DataFrame) -> DataFrame:
     """
     lists = found.groupBy(F.col("doc").alias("_d"), F.col("key").alias("_k")).agg(F.collect_list(F.struct("start", "end", "sha")).alias("spans"))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary"
-    both = keyed(docs).join(lists, (F.col("doc") == F.col("_d")) & (F.col("key") == F.col("_k")), "left")
-    return both.select("doc_id", "text", "spans").mapInArrow(_cut(kind), schema)
+    texts = sifted(keyed(docs), found.select("doc", "key"), ["doc", "key"])
+    both = texts.filter("_maybe").join(lists, (F.col("doc") == F.col("_d")) & (F.col("key") == F.col("_k")), "left").select("doc_id", "text", "spans")
+    clear = texts.filter("not _maybe").select("doc_id", "text", F.lit(None).cast(both.schema["spans"].dataType).alias("spans"))
+    return clear.mapInArrow(_cut(kind), schema).unionByName(both.mapInArrow(_cut(kind), schema))
