@@ -88,7 +88,7 @@ def title_family(rows: DataFrame, row_id: str, title: str, families: DataFrame)
     """
     ph = families.select(F.trim(padded(F.col("phrase"))).alias("_p"), "family").filter("_p <> ''").distinct()
     words = F.split(F.trim(padded(F.col(title))), " ")
-    most = 8
+    most = ph.agg(F.max(F.size(F.split("_p", " ")))).first()[0] or 1  # words of the longest phrase
     grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda w: F.transform(F.filter(F.sequence(F.lit(1), F.size("_w")), lambda i: i + w - 1 <= F.size("_w")), lambda i: F.array_join(F.slice("_w", i, w), " "))))
     got = rows.select(row_id, words.alias("_w")).select(row_id, F.explode(F.array_distinct(grams)).alias("_p")).join(ph, "_p")
     best = got.withColumn("_k", F.dense_rank().over(W.partitionBy(row_id).orderBy(F.length("_p").desc()))).filter("_k = 1")
@@ -96,13 +96,22 @@ def title_family(rows: DataFrame, row_id: str, title: str, families: DataFrame)
     return rows.select(row_id).join(best, row_id, "left").select(row_id, F.when(F.col("n_best").isNull(), "unknown").when(F.col("n_best") > 1, "ambiguous").otherwise(F.col("_f")).alias("family"), F.coalesce("n_best", F.lit(0)).alias("n_best"))
 
 
-def convert(raw: DataFrame, families: DataFrame, override: dict[str, str] | None = None, line_col: str = "csv_line") -> DataFrame:
-    """raw (all strings, with line_col) with the posting's fields and reject_reason (null if accepted). The first failing test names the reason:
-    blank title, short description, category, experience, repeated id. Ids are made for rows without one after the highest in use, in line order."""
-    at = resolve_columns([c for c in raw.columns if c != line_col], override)
+#: Lines of a file that are numbered in one task.
+RANGE = 100_000
+
+
+def convert(raw: DataFrame, families: DataFrame, override: dict[str, str] | None = None, line_col: str = "csv_line", file_col: str = "csv_file") -> DataFrame:
+    """raw (all strings, with line_col and, if it comes from several files, file_col) with the posting's fields and reject_reason (null if accepted).
+
+    The first failing test names the reason: blank title, short description, category, experience, repeated id. Ids are made for rows without one after the highest
+    in use, in the order of files and lines, which count across files: rows are numbered within ranges of lines, and the ranges' counts are summed up, so
+    no task sees all of them.
+    """
+    place = [c for c in (file_col, line_col) if c in raw.columns]
+    at = resolve_columns([c for c in raw.columns if c not in place], override)
     get = lambda f: F.col(at[f]) if f in at else F.lit(None).cast("string")
     df = raw.select(
-        F.col(line_col).alias("_line"), F.struct(*[F.col(c) for c in raw.columns if c != line_col]).alias("_raw"), collapse(get("id")).alias("_id"), collapse(get("title")).alias("title"), collapse(get("company")).alias("company"),
+        F.struct(*place).alias("_line"), F.struct(*place[:-1], F.floor(F.col(line_col) / RANGE).alias("_r")).alias("_range"), F.struct(*[F.col(c) for c in raw.columns if c not in place]).alias("_raw"), collapse(get("id")).alias("_id"), collapse(get("title")).alias("title"), collapse(get("company")).alias("company"),
         collapse(get("location")).alias("location"), collapse(get("category")).alias("_cat"), employment(get("employment_type")).alias("employment_type"), experience(get("experience")).alias("_x"),
         T.strip(F.coalesce(get("description"), F.lit(""))).alias("description"), requirements(get("requirements")).alias("requirements"), F.nullif(collapse(get("url")), F.lit("")).alias("url"),
     )
@@ -118,10 +127,13 @@ def convert(raw: DataFrame, families: DataFrame, override: dict[str, str] | None
     w = W.partitionBy("_id", F.col("_r").isNull()).orderBy("_line")
     df = df.withColumn("_r", F.coalesce("_r", F.when((F.col("_id") != "") & (F.row_number().over(w) > 1), "duplicate id")))
     top = df.filter("_r is null").agg(F.coalesce(F.max(F.regexp_extract("_id", r"^job-(\d+)$", 1).try_cast("long")), F.lit(0)).alias("_top"))
-    need = df.filter("_r is null and _id = ''").select("_line").withColumn("_k", F.row_number().over(W.orderBy("_line")))
-    df = df.join(need, "_line", "left").crossJoin(F.broadcast(top))  # one row
+    need = df.filter("_r is null and _id = ''").select("_line", "_range")
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = need.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_before", before).drop("_n")  # a row for RANGE lines
+    need = need.withColumn("_i", F.row_number().over(W.partitionBy("_range").orderBy("_line"))).join(ranges, "_range")
+    df = df.join(need.select("_line", (F.col("_before") + F.col("_i")).alias("_k")), "_line", "left").crossJoin(F.broadcast(top))  # one row
     df = df.withColumn("id", F.when(F.col("_id") != "", F.col("_id")).when(F.col("_k").isNotNull(), F.format_string("job-%05d", (F.col("_top") + F.col("_k")).cast("long"))))
-    return df.select(F.col("_line").alias(line_col), "id", "title", "company", "location", "category", "employment_type", F.col("_x.years").alias("experience_years"), F.col("_x.source").alias("experience_source"), "description", "requirements", "url", F.col("_r").alias("reject_reason"), F.col("_raw").alias("raw"))
+    return df.select(*(F.col(f"_line.{c}").alias(c) for c in place), "id", "title", "company", "location", "category", "employment_type", F.col("_x.years").alias("experience_years"), F.col("_x.source").alias("experience_source"), "description", "requirements", "url", F.col("_r").alias("reject_reason"), F.col("_raw").alias("raw"))
 
 
 def accepted(converted: DataFrame) -> DataFrame:
@@ -129,8 +141,9 @@ def accepted(converted: DataFrame) -> DataFrame:
 
 
 def rejected(converted: DataFrame, line_col: str = "csv_line") -> DataFrame:
-    """line, reason and the original columns."""
-    return converted.filter("reject_reason is not null").select(line_col, "reject_reason", "raw.*")
+    """File (if there are several), line, reason and the original columns."""
+    place = [c for c in ("csv_file", line_col) if c in converted.columns]
+    return converted.filter("reject_reason is not null").select(*place, "reject_reason", "raw.*")
 
 
 def reject_summary(converted: DataFrame, line_col: str = "csv_line", examples: int = 3) -> DataFrame:
@@ -167,8 +180,11 @@ def reconcile(written: DataFrame, read: DataFrame, id_col: str) -> DataFrame:
 def class_profile(rows: DataFrame, key: str) -> DataFrame:
     """One row: classes, least, most, median (the upper middle), singles."""
     n = rows.groupBy(key).agg(F.count("*").alias("n"))
-    s = F.sort_array(F.collect_list("n"))
-    return n.agg(F.count("*").alias("classes"), F.min("n").alias("least"), F.max("n").alias("most"), F.element_at(s, (F.floor(F.size(s) / 2) + 1).cast("int")).alias("median"), F.count_if(F.col("n") == 1).alias("singles"))
+    sizes = n.groupBy("n").agg(F.count("*").alias("c"))  # a row for each different size, not for each class
+    run = F.sum("c").over(W.orderBy("n").rowsBetween(W.unboundedPreceding, 0))
+    sizes = sizes.withColumn("_to", run).withColumn("_all", F.sum("c").over(W.partitionBy()))
+    middle = F.min(F.when(F.col("_to") > F.floor(F.col("_all") / 2), F.col("n")))
+    return sizes.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("classes"), F.min("n").alias("least"), F.max("n").alias("most"), middle.alias("median"), F.coalesce(F.sum(F.when(F.col("n") == 1, F.col("c"))), F.lit(0)).alias("singles"))
 
 
 def facets(rows: DataFrame, column: str) -> DataFrame:

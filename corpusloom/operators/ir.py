@@ -59,17 +59,19 @@ def sublinear(tf: Column) -> Column:
     return 1 + F.log(tf)
 
 
-def lexical_cosine(a: DataFrame, a_id: str, b: DataFrame, b_id: str, text_col: str = "text") -> DataFrame:
+def lexical_cosine(a: DataFrame, a_id: str, b: DataFrame, b_id: str, text_col: str = "text", pairs: DataFrame | None = None) -> DataFrame:
     """a_id, b_id, lexical: cosine of 1 + ln(tf) with the two-text idf: 1 for a shared term, ln(1.5) + 1 for any other.
 
-    Only pairs that share a term are returned (all others are 0). A norm follows from the sums over all and over shared terms.
+    Only pairs that share a term are returned (all others are 0). A norm follows from the sums over all and over shared terms. With pairs (a_id, b_id) only
+    those are compared: their terms meet by pair and term, so no term that many texts share is a key of its own.
     """
     lone = F.log(F.lit(1.5)) + 1
     ta = term_frequency(a, a_id, text_col).select(a_id, "term", sublinear(F.col("tf")).alias("wa"))
     tb = term_frequency(b, b_id, text_col).select(b_id, "term", sublinear(F.col("tf")).alias("wb"))
     na = ta.groupBy(a_id).agg(F.sum(F.col("wa") ** 2).alias("na"))
     nb = tb.groupBy(b_id).agg(F.sum(F.col("wb") ** 2).alias("nb"))
-    both = ta.join(tb, "term").groupBy(a_id, b_id).agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"), F.sum(F.col("wa") ** 2).alias("sa"), F.sum(F.col("wb") ** 2).alias("sb"))
+    met = ta.join(tb, "term") if pairs is None else pairs.select(a_id, b_id).distinct().join(ta, a_id).join(tb, [b_id, "term"])
+    both = met.groupBy(a_id, b_id).agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"), F.sum(F.col("wa") ** 2).alias("sa"), F.sum(F.col("wb") ** 2).alias("sb"))
     full = both.join(na, a_id).join(nb, b_id)
     norm = lambda n, s: F.sqrt(F.col(s) + lone * lone * (F.col(n) - F.col(s)))
     return full.select(a_id, b_id, T.clamp(F.col("dot") / (norm("na", "sa") * norm("nb", "sb"))).alias("lexical"))
@@ -112,7 +114,7 @@ def recommend(resumes: DataFrame, jobs: DataFrame, embed, limit: int = 10, pool:
     """resume_id, job_id, score, bm25, semantic, rank. BM25 picks `pool` postings of those that pass the filters, cosine and BM25 blend, the integer score ranks.
 
     resumes: resume_id, text, skills array; jobs: job_id, title, description, requirements, location, category, experience_years, ord. embed: text Column -> vector
-    Column. An empty location or category filters nothing; max_experience 0 does.
+    Column. An empty location or category filters nothing; max_experience 0 does. Where no posting has a positive BM25, the first `pool` allowed ones by ord stand in, with 0.
     """
     if not 1 <= limit <= 50:
         raise ValueError("limit must be 1 to 50")
@@ -126,7 +128,11 @@ def recommend(resumes: DataFrame, jobs: DataFrame, embed, limit: int = 10, pool:
     text = jobs.withColumn("text", F.concat_ws("\n", "title", "title", "description", "requirements"))
     boosted = resumes.withColumn("text", F.concat_ws("\n", F.array_join(F.flatten(F.array_repeat(F.coalesce("skills", F.array().cast("array<string>")), 3)), " "), "text"))
     got = bm25(text, "job_id", boosted, "resume_id", candidates=ok)
-    first = top_k(got, "resume_id", pool, F.col("bm25").desc(), "job_id").drop("rank")
+    first = top_k(got.filter("bm25 > 0"), "resume_id", pool, F.col("bm25").desc(), "job_id").drop("rank")
+    some = text.filter(ok).orderBy("ord").limit(pool).agg(F.collect_list("job_id").alias("_j"))  # one row of `pool` ids at most
+    bare = resumes.select("resume_id").join(first.select("resume_id").distinct(), "resume_id", "left_anti")
+    stand_in = bare.crossJoin(F.broadcast(some)).select("resume_id", F.explode("_j").alias("job_id"), F.lit(0.0).alias("bm25"))
+    first = first.select("resume_id", "job_id", "bm25").unionByName(stand_in)
     vec = first.join(resumes.select("resume_id", embed(F.col("text")).alias("_rv")), "resume_id").join(text.select("job_id", "ord", embed(F.col("text")).alias("_jv")), "job_id")
     scored = rerank(vec.withColumn("semantic", unit_cosine(F.col("_rv"), F.col("_jv"))), "resume_id")
     return top_k(scored, "resume_id", limit, F.col("score").desc(), F.col("bm25").desc(), "ord").select("resume_id", "job_id", "score", "bm25", "semantic", "rank")

@@ -67,7 +67,7 @@ def match(docs: DataFrame, id_col: str, jds: DataFrame, jd_id: str, pairs: DataF
     w = check_weights(weights or WEIGHTS)
     cov = coverage(wanted, jd_id, has, id_col, pairs)
     sem = semantic(docs, id_col, jds, jd_id, pairs, embed)
-    lex = ir.lexical_cosine(docs.join(pairs.select(id_col).distinct(), id_col, "left_semi"), id_col, jds, jd_id)
+    lex = ir.lexical_cosine(docs.join(pairs.select(id_col).distinct(), id_col, "left_semi"), id_col, jds, jd_id, pairs=pairs)
     both = pairs.join(docs.select(id_col, "experience_months", "degree_level"), id_col).join(jds.select(jd_id, F.col("text").alias("_jd")), jd_id)
     both = both.withColumn("fit", facts.fit_score(F.col("experience_months"), F.col("degree_level"), F.col("_jd")))
     years = facts.required_years(F.col("_jd"))

@@ -64,9 +64,24 @@ def _c(name: str) -> Column:
     return F.col(name)
 
 
-def _rules(verbs: Column) -> list[Rule]:
-    """Inputs: text, email, phone, link, sections (names with a body), n_pages, columns_per_page (null: no layout), has_tables, has_text_layer, n_chars, skills, role_keywords, _b (bullets)."""
-    text, items = _c("text"), _c("_b")
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with the columns, each computed once a row: a generator stands between them and what uses them, so the optimizer doesn't copy them into every use."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
+
+
+def _measured(docs: DataFrame, verbs: Column) -> DataFrame:
+    """docs with what the rules count in a text and its bullets."""
+    text = _c("text")
+    docs = _once(docs, _b=T.bullets("text"), _d=date_forms(text), _n_cliches=F.size(cliches(text)), _n_pron=pronouns(text))
+    count = lambda test: F.size(F.filter("_b", test))
+    return _once(
+        docs, _n=F.size("_b"), _n_verb=count(lambda b: F.array_contains(verbs, T.first_word(b))), _n_quant=count(lambda b: b.rlike(QUANTIFIED)),
+        _n_length=count(lambda b: T.word_count(b).between(LEAST_WORDS, MOST_WORDS)), _month_year=_c("_d.month_year"), _numeric=_c("_d.numeric"), _year_only=_c("_d.year_only"),
+    ).drop("_b", "_d")
+
+
+def _rules() -> list[Rule]:
+    """Inputs: email, phone, link, sections (names with a body), n_pages, columns_per_page (null: no layout), has_tables, has_text_layer, n_chars, skills, role_keywords, and what _measured() counts."""
     none = F.lit("")
     contact = _c("email").isNotNull().cast("int") + _c("phone").isNotNull().cast("int") + _c("link").isNotNull().cast("int")
     has = lambda *names: F.arrays_overlap(_c("sections"), F.array(*map(F.lit, names)))
@@ -74,20 +89,18 @@ def _rules(verbs: Column) -> list[Rule]:
     multi = F.size(F.filter(_c("columns_per_page"), lambda n: n > 1))
     layout = F.when(_c("columns_per_page").isNull(), F.when(_c("has_tables"), 5.0).otherwise(15.0)).otherwise(15.0 * (1 - multi / F.greatest(F.size("columns_per_page"), F.lit(1))))
     readable = F.when(~_c("has_text_layer"), 0.0).when(_c("n_chars") < 600, 2.5).otherwise(5.0)
-    verb = ratio(items, lambda b: F.array_contains(verbs, T.first_word(b)))
-    quant = ratio(items, lambda b: b.rlike(QUANTIFIED))
+    verb, quant, lengths = (F.coalesce(F.try_divide(_c(c), _c("_n")), F.lit(0.0)) for c in ("_n_verb", "_n_quant", "_n_length"))
     overlap = F.size(F.array_intersect(_c("skills"), _c("role_keywords")))
     kw = F.when((F.size("role_keywords") == 0) & (F.size("skills") == 0), 0.0).when(F.size("role_keywords") == 0, 15.0).otherwise(15 * T.clamp(overlap / KEYWORD_TARGET))
-    lengths = ratio(items, lambda b: T.word_count(b).between(LEAST_WORDS, MOST_WORDS))
     pages = F.when(_c("n_pages") <= 2, 5.0).when(_c("n_pages") == 3, 2.5).otherwise(0.0)
-    n_cliches, n_pron = F.size(cliches(text)), pronouns(text)
+    n_cliches, n_pron = _c("_n_cliches"), _c("_n_pron")
     penalty = n_cliches + F.least(n_pron, F.lit(3))
-    d = date_forms(text)
+    d = {k: _c(f"_{k}") for k in ("month_year", "numeric", "year_only")}
     total = d["month_year"] + d["numeric"] + d["year_only"]
     kinds = (d["month_year"] > 0).cast("int") + (d["numeric"] > 0).cast("int") + (d["year_only"] > 0).cast("int")
     dominant = F.coalesce(F.try_divide(F.greatest(d["month_year"], d["numeric"], d["year_only"]), total), F.lit(0.0))
     dates = F.when(kinds == 0, 2.5).when(kinds == 1, 5.0).otherwise(5.0 * T.clamp((dominant - 0.5) / 0.5))
-    n = F.size(items)
+    n = _c("_n")
     return [
         Rule("contact", 10, 10 * contact / 3, F.format_string("%d of 3 contact details", contact), F.when(contact < 3, "Add the missing contact details at the top.").otherwise(none)),
         Rule("sections", 10, 10 * found / 3, F.format_string("%d of 3 expected sections", found), F.when(found < 3, "Add a titled section for what is missing.").otherwise(none)),
@@ -113,16 +126,16 @@ def _prepared(docs: DataFrame) -> DataFrame:
     docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
     for k, v in given.items():
         docs = docs.withColumn(k, F.coalesce(F.col(k), v) if k in have and k != "columns_per_page" else F.col(k) if k in have else v)
-    return docs.withColumn("_b", T.bullets("text"))
+    return docs
 
 
 def rules(docs: DataFrame, id_col: str, verbs: list[str]) -> DataFrame:
     """id, ord, rule, points, earned (2 decimals), status, detail, fix: ten rows a document. Without a text layer or text every rule earns 0."""
-    docs = _prepared(docs)
-    dead = ~F.col("has_text_layer") | ~F.col("text").rlike(r"\S")
     verb_list = F.array(*map(F.lit, verbs)) if verbs else F.array().cast("array<string>")
+    docs = _measured(_prepared(docs), verb_list)
+    dead = ~F.col("has_text_layer") | ~F.col("text").rlike(r"\S")
     rows = []
-    for i, r in enumerate(_rules(verb_list)):
+    for i, r in enumerate(_rules()):
         earned = F.when(dead, 0.0).otherwise(F.bround(r.earned, 2))
         rows.append(F.struct(F.lit(i).alias("ord"), F.lit(r.id).alias("rule"), F.lit(r.points).alias("points"), earned.cast("double").alias("earned"), T.grade(earned, F.lit(r.points)).alias("status"), F.when(dead, F.lit("no readable text")).otherwise(r.detail).alias("detail"), r.fix.alias("fix")))
     return docs.select(id_col, F.inline(F.array(*rows)))

@@ -441,21 +441,21 @@ def signal_spread(spark, sf_dir):
     return evaluate.diagnostics(_judged(spark, sf_dir), ["s1", "s2", "s3"]).select("signal", q6("accuracy"), q6("spread"))
 
 
-@query(f"""WITH {JUDGED}, g AS (SELECT a / 4.0::DOUBLE AS w_s1, b / 4.0::DOUBLE AS w_s2, (4 - a - b) / 4.0::DOUBLE AS w_s3 FROM (SELECT unnest(range(0, 5)) AS a), (SELECT unnest(range(0, 5)) AS b) WHERE a + b <= 4),
+@query(f"""WITH {JUDGED}, g AS (SELECT a / 20.0::DOUBLE AS w_s1, b / 20.0::DOUBLE AS w_s2, (20 - a - b) / 20.0::DOUBLE AS w_s3 FROM (SELECT unnest(range(0, 21)) AS a), (SELECT unnest(range(0, 21)) AS b) WHERE a + b <= 20),
 x AS (SELECT w_s1, w_s2, w_s3, query, relevant, round(w_s1 * s1 + w_s2 * s2 + w_s3 * s3, 9) AS t FROM j, g),
 c AS (SELECT a.w_s1, a.w_s2, a.w_s3, a.query, avg(CASE WHEN a.t > b.t THEN 1.0 WHEN a.t = b.t THEN 0.5 ELSE 0 END) AS acc FROM x a JOIN x b ON a.query = b.query AND a.w_s1 = b.w_s1 AND a.w_s2 = b.w_s2 AND a.relevant AND NOT b.relevant GROUP BY 1, 2, 3, 4),
 m AS (SELECT w_s1, w_s2, w_s3, round(avg(acc), 6) AS accuracy FROM c GROUP BY 1, 2, 3) SELECT w_s1, w_s2, w_s3, accuracy, rank() OVER (ORDER BY accuracy DESC) AS rank FROM m""")
 def weight_grid_sweep(spark, sf_dir):
     from pyspark.sql import Window as W
 
-    got = evaluate.sweep(_judged(spark, sf_dir), ["s1", "s2", "s3"], evaluate.weight_grid(spark, ["s1", "s2", "s3"], 0.25)).select("w_s1", "w_s2", "w_s3", q6("accuracy"))
+    got = evaluate.sweep(_judged(spark, sf_dir), ["s1", "s2", "s3"], evaluate.weight_grid(spark, ["s1", "s2", "s3"], 0.05)).select("w_s1", "w_s2", "w_s3", q6("accuracy"))
     return got.withColumn("rank", F.rank().over(W.orderBy(F.col("accuracy").desc())))
 
 
 @query()
 def bootstrap_win_rate(spark, sf_dir):
     j = _judged(spark, sf_dir)
-    return evaluate.bootstrap(spark, evaluate.pair_wins(j, "s1"), evaluate.pair_wins(j, "s2"), rounds=200)
+    return evaluate.bootstrap(spark, evaluate.pair_wins(j, "s1"), evaluate.pair_wins(j, "s2"))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events")

@@ -16,13 +16,23 @@ from corpusloom.functions import text as T
 from corpusloom.functions.python_udfs import decode_text, nfkc
 
 PAGE_CHARS, LEAST_CHARS, MAX_MB = 3000, 200, 5
-# fixed values: signatures of other formats
+# fixed values: the first bytes of other formats, and of a PDF
 SIGNATURES = (
-    ("89504E470D0A1A0A", "a PNG image"), ("FFD8FF", "a JPEG image"), ("474946383761", "a GIF image"), ("474946383961", "a GIF image"), ("424D", "a BMP image"), ("52494646", "a WEBP image"),
-    ("49492A00", "a TIFF image"), ("4D4D002A", "a TIFF image"), ("504B0304", "a .docx or another zip archive"), ("D0CF11E0", "an older Microsoft Office file"), ("7B5C727466", "an RTF document"),
-    ("4D5A", "a Windows program"), ("7F454C46", "a Linux program"),
-)
-PDF = "255044462D"
+    (b"\x89PNG\r\n\x1a\n", "PNG picture"),
+    (b"\xff\xd8\xff", "JPEG picture"),
+    (b"GIF87a", "GIF picture"),
+    (b"GIF89a", "GIF picture"),
+    (b"BM", "bitmap picture"),
+    (b"RIFF", "RIFF container, such as a WebP picture"),
+    (b"II*\x00", "TIFF picture"),
+    (b"MM\x00*", "TIFF picture"),
+    (b"PK\x03\x04", "ZIP container, such as a DOCX file"),
+    (b"\xd0\xcf\x11\xe0", "legacy Office document"),
+    (b"{\\rtf", "RTF file"),
+    (b"MZ", "Windows executable"),
+    (b"\x7fELF", "ELF executable"),
+)
+PDF = "%PDF-"
 
 
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
@@ -37,12 +47,11 @@ def kind(path: Column) -> Column:
 
 def pdf_problem(content: Column) -> Column:
     """Null for a PDF header within 1024 bytes, else what the file is by its first bytes."""
-    head = F.hex(F.substring(content, 1, 1024))
     named = F.lit("no PDF header")
     for sig, what in reversed(SIGNATURES):
-        named = F.when(head.startswith(sig), F.lit(f"named .pdf, but {what}")).otherwise(named)
-    at = F.locate(PDF, head)
-    return F.when((at > 0) & (at % 2 == 1), F.lit(None).cast("string")).otherwise(named)
+        named = F.when(content.startswith(F.lit(sig)), F.lit(f"named .pdf, but its content is a {what}")).otherwise(named)
+    head = F.decode(F.substring(content, 1, 1024), "ISO-8859-1")
+    return F.when(head.contains(PDF), F.lit(None).cast("string")).otherwise(named)
 
 
 def upload_error(files: DataFrame, max_mb: int = MAX_MB) -> Column:

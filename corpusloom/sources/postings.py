@@ -17,52 +17,84 @@ JOB = Ty.StructType([
 ])
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """ord and the posting's fields from files that hold one object {jobs: [...]} or a bare list each.
-
-    requirements may be a string or a list; unreadable years are 0; entries that are not objects, or without title or description, are dropped; the first
-    of equal ids stays; a missing id is made from the place.
-    """
-    raw = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
+def _entries(spark: SparkSession, path: str) -> DataFrame:
+    """file, ord (place among the entries of all files, files in order of their paths), the posting's fields and reason (null if it is kept)."""
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("v"))
     listed = F.coalesce(F.try_variant_get("v", "$.jobs", "array<variant>"), F.try_variant_get("v", "$", "array<variant>"))
-    rows = raw.select(F.posexplode(listed).alias("ord", "j"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    files = raw.select("file", F.coalesce(F.size(listed), F.lit(0)).alias("_n")).withColumn("_before", before).select("file", "_before")  # a row a file
+    rows = raw.select("file", F.posexplode(listed).alias("_p", "j")).join(files, "file").withColumn("ord", (F.col("_before") + F.col("_p")).cast("long"))
     get = lambda f, t="string": F.try_variant_get("j", f"$.{f}", t)
     req = F.coalesce(get("requirements", "array<string>"), F.when(F.trim(F.coalesce(get("requirements"), F.lit(""))) != "", F.array(get("requirements"))), F.array().cast("array<string>"))
     text = lambda f, d="": F.coalesce(get(f), F.lit(d))
+    given = F.nullif(F.trim(text("id")), F.lit(""))
     df = rows.select(
-        "ord", F.coalesce(F.nullif(F.trim(text("id")), F.lit("")), F.format_string("job-%05d", F.col("ord"))).alias("id"), text("title").alias("title"), text("company").alias("company"), text("location").alias("location"),
+        "file", "ord", F.coalesce(given, F.format_string("job-%05d", F.col("ord"))).alias("id"), given.isNull().alias("_made"), F.schema_of_variant("j").startswith("OBJECT").alias("_object"),
+        text("title").alias("title"), text("company").alias("company"), text("location").alias("location"),
         text("category", "Other").alias("category"), text("employment_type", "Full-time").alias("employment_type"), F.coalesce(get("experience_years").try_cast("double"), F.lit(0.0)).alias("experience_years"),
         text("description").alias("description"), req.alias("requirements"), get("url").alias("url"),
     )
-    df = df.filter((F.trim("title") != "") & (F.trim("description") != ""))
-    return df.withColumn("_i", F.row_number().over(W.partitionBy("id").orderBy("ord"))).filter("_i = 1").drop("_i")
+    reason = F.when(~F.col("_object"), "not an object").when(F.trim("title") == "", "blank title").when(F.trim("description") == "", "blank description")
+    df = df.withColumn("reason", reason)
+    again = F.row_number().over(W.partitionBy("id", F.col("reason").isNull()).orderBy("_made", "ord")) > 1  # an id of its own goes before a made one
+    twin = F.col("reason").isNull() & again
+    df = df.withColumn("id", F.when(twin & F.col("_made"), F.concat("id", F.lit("-"), F.col("ord").cast("string"))).otherwise(F.col("id")))
+    return df.withColumn("reason", F.when(twin & ~F.col("_made"), "repeated id").otherwise(F.col("reason"))).drop("_made", "_object")
+
+
+def read_json(spark: SparkSession, path: str) -> DataFrame:
+    """ord and the posting's fields from files that hold one object {jobs: [...]} or a bare list each.
+
+    requirements may be a string or a list; unreadable years are 0; entries that are not objects, or without title or description, go to json_rejects(), and
+    so do all but the first of equal ids; a missing id is made from the place among the entries of all files.
+    """
+    return _entries(spark, path).filter("reason is null").drop("reason", "file")
+
+
+def json_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """file, ord, reason, id, title of the entries that read_json() leaves out."""
+    return _entries(spark, path).filter("reason is not null").select("file", "ord", "reason", "id", "title")
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as strings and csv_line, the physical line on which each record begins (quoted line breaks count).
+def read_csv(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """All columns as strings, csv_file, and csv_line, the physical line on which each record begins (quoted line breaks count).
 
-    A file is parsed whole, since a quote may open anywhere before; files are dealt out over tasks.
+    Columns are those of all headers, found by name in each file. A file is parsed whole, since a quote may open anywhere before; files are dealt out over tasks.
+    limit takes the first records of each file.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    head = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path).columns
-    names = [h.lstrip("﻿") for h in head]
+
+    def header(data: bytes) -> list[str]:
+        return next(csv.reader(io.StringIO(data.decode("utf-8-sig", "replace"), newline="")), [])
+
+    def heads(batches):
+        import pandas as pd
+
+        for b in batches:
+            yield pd.DataFrame([(p, i, n) for p, d in zip(b.path, b.content, strict=True) for i, n in enumerate(header(bytes(d)))], columns=["path", "i", "name"])
+
+    found = files.mapInPandas(heads, "path string, i int, name string").groupBy("name").agg(F.min(F.struct("i", "name")).alias("at"))
+    names = [r.name for r in found.orderBy("at").collect()]  # a row for each different column name
 
     def parse(batches):
         import pandas as pd
 
         csv.field_size_limit(10 << 20)
         for b in batches:
-            for data in b.content:
+            for file, data in zip(b.path, b.content, strict=True):
                 reader = csv.reader(io.StringIO(bytes(data).decode("utf-8-sig", "replace"), newline=""))
-                next(reader, None)
+                own = next(reader, [])
                 rows, line = [], reader.line_num
                 for r in reader:
+                    if limit is not None and len(rows) >= limit:
+                        break
                     if r:
-                        rows.append([line + 1, *(r + [None] * len(names))[: len(names)]])
+                        have = dict(zip(own, r, strict=False))
+                        rows.append([file, line + 1, *(have.get(n) for n in names)])
                     line = reader.line_num
-                yield pd.DataFrame(rows, columns=["csv_line", *names])
+                yield pd.DataFrame(rows, columns=["csv_file", "csv_line", *names])
 
-    schema = Ty.StructType([Ty.StructField("csv_line", Ty.LongType()), *(Ty.StructField(n, Ty.StringType()) for n in names)])
+    schema = Ty.StructType([Ty.StructField("csv_file", Ty.StringType()), Ty.StructField("csv_line", Ty.LongType()), *(Ty.StructField(n, Ty.StringType()) for n in names)])
     return files.mapInPandas(parse, schema)
 
 

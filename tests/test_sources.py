@@ -61,6 +61,51 @@ def test_csv_lines_and_rejects(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 2
 
 
+def test_several_files_keep_all_rows(spark, tmp_path):
+    for f in "ab":
+        (tmp_path / f"{f}.json").write_text(json.dumps([{"title": f"T{f}{i}", "description": "D"} for i in range(3)] + [{"id": "job-00001", "title": "own id", "description": "D"}, 7]))
+    got = postings.read_json(spark, str(tmp_path / "*.json")).collect()
+    assert len(got) == len({r.id for r in got}) == 7 and {r.title for r in got} >= {f"T{f}{i}" for f in "ab" for i in range(3)}
+    assert sorted(r.reason for r in postings.json_rejects(spark, str(tmp_path / "*.json")).collect()) == ["not an object", "not an object", "repeated id"]
+    d = tmp_path / "csv"
+    d.mkdir()
+    (d / "a.csv").write_text("title,description\n" + "".join(f"Data Engineer {i},{'d' * 50}\n" for i in range(3)))
+    (d / "b.csv").write_text("description,title,city\n" + "".join(f"{'e' * 50},Data Engineer {i},Ulm\n" for i in range(3)) + f"{'e' * 50},Cook,Ulm\n")
+    raw = postings.read_csv(spark, str(d))
+    assert raw.count() == 7 and postings.read_csv(spark, str(d), limit=2).count() == 4
+    conv = corpus.convert(raw, spark.createDataFrame([("data engineer", "Data Engineer")], "phrase string, family string"))
+    ok = corpus.accepted(conv).orderBy("csv_file", "csv_line").collect()
+    assert [r.id for r in ok] == [f"job-{i:05d}" for i in range(1, 7)] and [r.location for r in ok] == [""] * 3 + ["Ulm"] * 3
+    out = corpus.rejected(conv).collect()
+    assert [(r.csv_file[-5:], r.csv_line, r.title) for r in out] == [("b.csv", 5, "Cook")]
+
+
+def test_ids_are_numbered_across_ranges(spark, monkeypatch):
+    monkeypatch.setattr(corpus, "RANGE", 3)
+    raw = spark.createDataFrame([(i, "Data Engineer", "d" * 50) for i in range(2, 22)], "csv_line long, title string, description string")
+    conv = corpus.convert(raw, spark.createDataFrame([("data engineer", "Data Engineer")], "phrase string, family string"))
+    assert [(r.csv_line, r.id) for r in conv.orderBy("csv_line").collect()] == [(i, f"job-{i - 1:05d}") for i in range(2, 22)]
+
+
+def test_long_family_phrases(spark):
+    phrase = "senior lead of the very large data platform team"
+    rows = spark.createDataFrame([(1, f"The {phrase}!"), (2, "Data platform")], "id int, title string")
+    got = corpus.title_family(rows, "id", "title", spark.createDataFrame([(phrase, "Long"), ("data platform", "Short")], "phrase string, family string"))
+    assert {r.id: r.family for r in got.collect()} == {1: "Long", 2: "Short"}
+
+
+def test_recommend_without_a_hit(spark):
+    from corpusloom.functions import python_udfs as P
+    from corpusloom.functions import text as T
+    from corpusloom.operators import ir
+
+    jobs = spark.createDataFrame([(f"j{i}", "baker", "bread and rolls", "oven", "Ulm", "food", 0.0, i) for i in range(5)], "job_id string, title string, description string, requirements string, location string, category string, experience_years double, ord int")
+    people = spark.createDataFrame([(1, "quantum optics", []), (2, "bread", [])], "resume_id int, text string, skills array<string>")
+    got = ir.recommend(people, jobs, lambda c: P.hash_embedding(T.content_tokens(c)), limit=3, pool=4).orderBy("resume_id", "rank").collect()
+    assert [(r.resume_id, r.job_id) for r in got] == [(1, "j0"), (1, "j1"), (1, "j2"), (2, "j0"), (2, "j1"), (2, "j2")]
+    assert all(r.bm25 == 0 for r in got[:3]) and all(r.bm25 > 0 for r in got[3:])
+
+
 def test_streaming_intake(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
