@@ -38,24 +38,39 @@ def token_spans(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFra
     return flat.select(id_col, "pos", "token", F.rtrim(F.lower("token"), F.lit(".")).alias("norm"), (F.col("end") - F.length("token")).alias("start"), "end", "gap")
 
 
+#: Tokens whose lengths are summed up once for all hits behind them.
+STEP = 64
+
+
 def candidates(docs: DataFrame, id_col: str, onto: DataFrame, text_col: str = "text", widths: int = MAX_TOKENS) -> DataFrame:
     """id, pos, width, key, name, category, start, end, surface: every n-gram of the text that is a key. A token of dots alone breaks n-grams.
 
-    n-grams are windows over arrays of one text, so nothing is shuffled before the join; the ontology joins by key.
+    A token meets the keys that begin with it, with the tokens after it at hand, so only dictionary hits leave a text; their offsets are then
+    counted in the text's own arrays, which are computed once.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     toks = F.regexp_extract_all(text, F.lit(T.KEY_TOKEN), F.lit(0))
-    base = docs.select(id_col, text.alias("_x"), toks.alias("_t"), F.split(text, T.KEY_TOKEN).alias("_g"))
-    base = base.withColumn("_n", F.transform("_t", lambda t: F.rtrim(F.lower(t), F.lit("."))))
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(widths)), lambda w: F.transform(
-        F.filter(F.sequence(F.lit(0), F.greatest(F.size("_t") - 1, F.lit(0))), lambda p: (p + w <= F.size("_t"))),
-        lambda p: F.struct(p.alias("pos"), w.alias("width"), F.array_join(F.slice("_n", p + 1, w), " ").alias("key"), F.forall(F.slice("_n", p + 1, w), lambda x: x != "").alias("ok")))))
-    hit = base.select(id_col, F.explode(grams).alias("g")).select(id_col, "g.*").filter("ok").drop("ok").join(onto.select("key", "name", "category"), "key")
-    spans = token_spans(docs, id_col, text_col)
-    first = spans.select(id_col, "pos", "start")
-    last = spans.select(id_col, F.col("pos").alias("_last"), (F.col("end") - F.length("token") + F.length("norm")).alias("end"))
-    hit = hit.withColumn("_last", F.col("pos") + F.col("width") - 1).join(first, [id_col, "pos"]).join(last, [id_col, "_last"])
-    return hit.join(docs.select(id_col, text.alias("_x")), id_col).withColumn("surface", F.substring(F.col("_x"), F.col("start") + 1, F.col("end") - F.col("start"))).drop("_x", "_last")
+    base = docs.select(id_col, F.inline(F.array(F.struct(F.transform(toks, lambda t: F.rtrim(F.lower(t), F.lit("."))).alias("_n")))))
+    rows = base.select(id_col, F.explode(F.transform("_n", lambda t, p: F.struct(p.alias("pos"), t.alias("_first"), F.slice("_n", p + 2, widths - 1).alias("_next")))).alias("r")).select(id_col, "r.*")
+    keys = onto.filter(F.col("n_tokens") <= widths).select("key", "name", "category", F.split("key", " ").alias("_k")).filter("key <> ''")
+    keys = keys.select("key", "name", "category", F.size("_k").alias("width"), F.element_at("_k", 1).alias("_first"), F.slice("_k", 2, widths).alias("_rest"))
+    hit = rows.filter("_first <> ''").join(keys, "_first").filter(F.slice("_next", 1, F.size("_rest")) == F.col("_rest")).select(id_col, "pos", "width", "key", "name", "category")
+    by = hit.groupBy(id_col).agg(F.collect_list(F.struct("pos", "width", "key", "name", "category")).alias("_h"))
+    met = docs.select(id_col, text.alias("_x")).join(by, id_col)
+    met = met.select("*", F.inline(F.array(F.struct(F.regexp_extract_all("_x", F.lit(T.KEY_TOKEN), F.lit(0)).alias("_t"), F.split("_x", T.KEY_TOKEN).alias("_g")))))
+    met = met.select("*", F.inline(F.array(F.struct(F.transform("_g", F.length).alias("_lg"), F.zip_with("_g", "_t", lambda g, t: F.length(g) + F.coalesce(F.length(t), F.lit(0))).alias("_w"))))).drop("_g")
+    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+    sums = F.transform(F.sequence(F.lit(0), F.floor(F.size("_w") / STEP).cast("int")), lambda i: total(F.slice("_w", i * STEP + 1, STEP)))
+    met = met.select("*", F.inline(F.array(F.struct(sums.alias("_s")))))
+    met = met.select("*", F.inline(F.array(F.struct(F.aggregate("_s", F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x))).alias("_before"))))).drop("_s")
+    step = lambda p: F.floor(p / STEP).cast("int")
+    # where token p starts: whole steps of tokens, the rest of them one by one, the gap before it
+    place = lambda p: F.get("_before", step(p)) + total(F.slice("_w", step(p) * STEP + 1, p % STEP)) + F.get("_lg", p)
+    rows = F.transform("_h", lambda h: F.struct(
+        *(h[c].alias(c) for c in ("pos", "width", "key", "name", "category")), place(h["pos"]).cast("long").alias("start"),
+        (place(h["pos"] + h["width"] - 1) + F.length(F.rtrim(F.lower(F.get("_t", h["pos"] + h["width"] - 1)), F.lit(".")))).cast("long").alias("end"),
+    ))
+    return met.select(id_col, "_x", F.inline(rows)).withColumn("surface", F.substring(F.col("_x"), F.col("start") + 1, F.col("end") - F.col("start"))).drop("_x")
 
 
 def credible(cands: DataFrame, docs: DataFrame, id_col: str, onto: DataFrame, text_col: str = "text") -> DataFrame:
@@ -64,7 +79,7 @@ def credible(cands: DataFrame, docs: DataFrame, id_col: str, onto: DataFrame, te
     amb = (F.length("key") == 1) | F.col("key").isin(*AMBIGUOUS)
     sure, doubt = cands.filter(~amb), cands.filter(amb)
     plain = onto.filter((F.length("key") > 1) & ~F.col("key").isin(*AMBIGUOUS) & (F.col("n_tokens") == 1)).select(F.col("key").alias("norm"), F.lit(True).alias("_skill"))
-    spans = token_spans(docs, id_col, text_col).join(plain, "norm", "left")
+    spans = token_spans(docs.join(doubt.select(id_col).distinct(), id_col, "left_semi"), id_col, text_col).join(plain, "norm", "left")
     w = W.partitionBy(id_col).orderBy("pos")
     skill, conj = F.coalesce("_skill", F.lit(False)), F.col("norm").isin(*CONJUNCTIONS)
     dots = F.substring(F.col("token"), F.length("norm") + 1, F.length("token"))
