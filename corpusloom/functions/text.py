@@ -130,3 +130,27 @@ def fold_header(name: str) -> str:
     import re
 
     return re.sub(r"[^a-z0-9]+", "_", name.lower()).strip("_")
+
+
+def traffic(score: Column) -> Column:
+    """Traffic light of a score of 0 to 100."""
+    return F.when(score >= 75, "good").when(score >= 50, "warn").otherwise("bad")
+
+
+def months_label(months: Column) -> Column:
+    """Years and months in words."""
+    years, rest = F.floor(months / 12), months % 12
+    words = F.concat_ws(" ", F.when(years > 0, plural(years, "year")), F.when(rest > 0, plural(rest, "month")))
+    return F.when(months <= 0, "None recorded").otherwise(words)
+
+
+def contrast(a: Column, b: Column) -> Column:
+    """Contrast ratio (1 to 21) of two colours given as #rrggbb, by relative luminance."""
+
+    def luminance(c: Column) -> Column:
+        parts = [F.conv(F.substring(c, i, 2), 16, 10).cast("double") / 255.0 for i in (2, 4, 6)]
+        linear = [F.when(p <= 0.03928, p / 12.92).otherwise(F.pow((p + 0.055) / 1.055, 2.4)) for p in parts]
+        return 0.2126 * linear[0] + 0.7152 * linear[1] + 0.0722 * linear[2]
+
+    x, y = luminance(a), luminance(b)
+    return (F.greatest(x, y) + 0.05) / (F.least(x, y) + 0.05)

@@ -242,3 +242,8 @@ def broken_links(pages: DataFrame, page: str = "page", text: str = "text") -> Da
     live = links.filter("anchor is not null").join(names, F.col("_d") == F.col("_p"), "left_semi")
     head = live.join(heads, (F.col("_d") == F.col("_p")) & (F.lower("anchor") == F.lower("_h")), "left_anti").withColumn("problem", F.lit("no such heading"))
     return lost.unionByName(head).drop("_d").unionByName(wrapped)
+
+
+def experience_sources(converted: DataFrame) -> DataFrame:
+    """source, n: where the years of the accepted postings come from (number, level, missing)."""
+    return accepted(converted).groupBy(F.col("experience_source").alias("source")).agg(F.count("*").alias("n"))

@@ -127,7 +127,7 @@ def recommend(resumes: DataFrame, jobs: DataFrame, embed, limit: int = 10, pool:
         ok = ok & (F.col("experience_years") <= max_experience)
     text = jobs.withColumn("text", F.concat_ws("\n", "title", "title", "description", "requirements"))
     boosted = resumes.withColumn("text", F.concat_ws("\n", F.array_join(F.flatten(F.array_repeat(F.coalesce("skills", F.array().cast("array<string>")), 3)), " "), "text"))
-    got = bm25(text, "job_id", boosted, "resume_id", candidates=ok)
+    got = bm25(text, "job_id", boosted, "resume_id", candidates=ok).withColumn("bm25", F.round("bm25", 9))  # equal texts tie, whatever the order of summing
     first = top_k(got.filter("bm25 > 0"), "resume_id", pool, F.col("bm25").desc(), "job_id").drop("rank")
     some = text.filter(ok).orderBy("ord").limit(pool).agg(F.collect_list("job_id").alias("_j"))  # one row of `pool` ids at most
     bare = resumes.select("resume_id").join(first.select("resume_id").distinct(), "resume_id", "left_anti")

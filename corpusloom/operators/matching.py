@@ -11,6 +11,7 @@ from corpusloom.functions import text as T
 from . import facts, ir
 
 CRITICAL, IMPORTANT = 0.75, 0.40
+SHOWN = 8  # missing skills of a recommendation
 WEIGHTS = {"semantic": 0.35, "skill": 0.35, "lexical": 0.15, "fit": 0.15}
 
 
@@ -44,11 +45,13 @@ def weighted_recall(cov: DataFrame, want_id: str, has_id: str) -> DataFrame:
     return cov.groupBy(want_id, has_id).agg(T.clamp(F.sum(F.when(F.col("matched"), F.col("weight")).otherwise(0.0)) / F.sum("weight")).alias("skill"))
 
 
-def gaps(cov: DataFrame, want_id: str, has_id: str) -> DataFrame:
-    """want_id, has_id, missing: array of (name, weight, severity) by weight, then first place."""
+def gaps(cov: DataFrame, want_id: str, has_id: str, most: int | None = None) -> DataFrame:
+    """want_id, has_id, missing: array of (name, weight, severity) by weight, then first place; the first `most` of them, if given (SHOWN for a list of recommendations)."""
     miss = cov.filter(~F.col("matched"))
     item = F.struct((-F.col("weight")).alias("o"), "at", "name", F.round("weight", 3).alias("weight"), "severity")
-    return miss.groupBy(want_id, has_id).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(x["name"].alias("name"), x["weight"].alias("weight"), x["severity"].alias("severity"))).alias("missing"))
+    ordered = F.array_sort(F.collect_list(item))
+    ordered = ordered if most is None else F.slice(ordered, 1, most)
+    return miss.groupBy(want_id, has_id).agg(F.transform(ordered, lambda x: F.struct(x["name"].alias("name"), x["weight"].alias("weight"), x["severity"].alias("severity"))).alias("missing"))
 
 
 def semantic(docs: DataFrame, id_col: str, jds: DataFrame, jd_id: str, pairs: DataFrame, embed, text_col: str = "text") -> DataFrame:

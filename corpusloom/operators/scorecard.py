@@ -145,7 +145,7 @@ def report(rule_rows: DataFrame, id_col: str) -> DataFrame:
     """id, score, band, n_pass, n_fail, top_fixes (three, by points lost, then rule order)."""
     lost = F.struct((F.col("earned") - F.col("points")).alias("l"), "ord", "fix")
     fixes = F.array_sort(F.collect_list(F.when((F.col("fix") != "") & (F.col("earned") < F.col("points")), lost)))
-    got = rule_rows.groupBy(id_col).agg(F.bround(F.sum("earned"), 0).cast("int").alias("score"), F.count_if(F.col("status") == "pass").alias("n_pass"), F.count_if(F.col("status") == "fail").alias("n_fail"), F.slice(F.transform(fixes, lambda x: x["fix"]), 1, 3).alias("top_fixes"))
+    got = rule_rows.groupBy(id_col).agg(F.bround(F.round(F.sum("earned"), 2), 0).cast("int").alias("score"), F.count_if(F.col("status") == "pass").alias("n_pass"), F.count_if(F.col("status") == "fail").alias("n_fail"), F.slice(F.transform(fixes, lambda x: x["fix"]), 1, 3).alias("top_fixes"))
     return got.withColumn("band", T.band(F.col("score")))
 
 

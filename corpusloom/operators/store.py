@@ -51,3 +51,25 @@ def orphans(children: DataFrame, foreign: str, parents: DataFrame, parent_id: st
 def ordinals(df: DataFrame, at: str, *by: str) -> DataFrame:
     """Number of each row within its group, oldest first."""
     return df.withColumn("ordinal", F.row_number().over(W.partitionBy(*by).orderBy(at)))
+
+
+def lookup(df: DataFrame, key: str, *values) -> DataFrame:
+    """Rows with one of the keys; the filter reaches the scan. Unknown keys give no rows."""
+    return df.filter(F.col(key).isin(*values))
+
+
+def with_payload(df: DataFrame, keep: list[str], payload: str = "payload") -> DataFrame:
+    """The kept columns and one JSON string of all others; nulls are written, so a payload has every field."""
+    rest = [c for c in df.columns if c not in keep]
+    return df.select(*keep, F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}).alias(payload))
+
+
+def read_payload(df: DataFrame, schema: str, payload: str = "payload") -> DataFrame:
+    """The other columns and the payload's fields by the given schema; text that is no JSON gives nulls."""
+    return df.withColumn("_p", F.from_json(payload, schema)).select(*(c for c in df.columns if c != payload), "_p.*")
+
+
+def matches_to_store(matches: DataFrame, resume: str, title: str, score: str) -> DataFrame:
+    """id (random), resume_id, job_title, score, created_at, payload (all columns as JSON): rows to append to the table of matches."""
+    body = F.to_json(F.struct(*matches.columns), {"ignoreNullFields": "false"})
+    return matches.select(F.replace(F.uuid(), F.lit("-"), F.lit("")).alias("id"), F.col(resume).alias("resume_id"), F.col(title).alias("job_title"), F.col(score).alias("score"), F.current_timestamp().alias("created_at"), body.alias("payload"))

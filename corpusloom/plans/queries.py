@@ -202,11 +202,6 @@ def url_extract(spark, sf_dir):
     return t(spark, sf_dir, "pages").select("page_id", facts.every(F.col("html"), facts.PORTFOLIO).alias("l")).select("page_id", F.size("l").alias("n_links"), F.try_element_at("l", F.lit(1)).alias("first_link"))
 
 
-@query(r"""SELECT page_id, max(v) AS percentage FROM (SELECT page_id, unnest(list_transform(regexp_extract_all(html, '\b([0-9]{1,2}(?:\.[0-9]{1,2})?)\s*%', 1), lambda x: x::DOUBLE)) AS v FROM pages) WHERE v BETWEEN 35 AND 100 GROUP BY 1""")
-def percent_max(spark, sf_dir):
-    return t(spark, sf_dir, "pages").select("page_id", facts.percentage(F.col("html")).alias("percentage")).filter("percentage is not null")
-
-
 @query(r"SELECT doc_id, len(regexp_extract_all(text, '(?:19|20)\d{2}')) AS n_years, coalesce(list_max(list_transform(regexp_extract_all(text, '(?:19|20)\d{2}'), lambda x: x::INT)), 0) AS last_year FROM documents")
 def year_mentions(spark, sf_dir):
     y = facts.every(F.col("text"), r"(?:19|20)\d{2}")
@@ -326,7 +321,11 @@ def top_role(spark, sf_dir):
     return roles.predict(h, "doc", _profiles(spark, sf_dir)[1], "role", "feature").select("doc", "role", q6("score"), "rank", q6("margin"))
 
 
-@query()
+@query(f"""WITH {PROF}, f AS (SELECT DISTINCT item, role, feature FROM b), k AS (SELECT role, feature, count(*) AS k FROM f GROUP BY 1, 2), sz AS (SELECT item, count(*) AS m FROM f GROUP BY 1),
+tt AS (SELECT role, sum(k) AS t FROM k GROUP BY 1), g AS (SELECT f.item, f.role AS own, k.role, sum(k.k - (k.role = f.role)::INT) AS c FROM f JOIN k USING (feature) GROUP BY 1, 2, 3),
+s AS (SELECT item, own, role, round(coalesce(c::DOUBLE / nullif(t - CASE WHEN role = own THEN m ELSE 0 END, 0), 0), 9) AS s FROM g JOIN tt USING (role) JOIN sz USING (item) JOIN n USING (role) WHERE role <> own OR n.n > 1),
+p AS (SELECT item, role AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY s DESC, role) AS i FROM s) WHERE i = 1)
+SELECT i.item, i.role, p.predicted, coalesce(p.predicted = i.role, false) AS correct FROM (SELECT DISTINCT item, role FROM b) i LEFT JOIN p USING (item)""")
 def leave_one_out_roles(spark, sf_dir):
     return roles.leave_one_out(_profiles(spark, sf_dir)[0], "item", "role", "feature")
 
@@ -367,9 +366,10 @@ def insert_if_absent(spark, sf_dir):
     return store.insert_if_absent(d.filter("doc_id % 2 = 0"), d.filter("doc_id % 2 = 1"), "file_hash", "doc_id").select("doc_id", "file_hash")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderpriority <> '1-URGENT')")
 def left_anti_orphans(spark, sf_dir):
-    return store.orphans(t(spark, sf_dir, "customer"), "c_custkey", t(spark, sf_dir, "orders"), "o_custkey").select("c_custkey")
+    kept = t(spark, sf_dir, "orders").filter("o_orderpriority <> '1-URGENT'")
+    return store.orphans(t(spark, sf_dir, "lineitem"), "l_orderkey", kept, "o_orderkey").select("l_orderkey", "l_linenumber")
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'F'")
@@ -452,7 +452,9 @@ def weight_grid_sweep(spark, sf_dir):
     return got.withColumn("rank", F.rank().over(W.orderBy(F.col("accuracy").desc())))
 
 
-@query()
+@query(f"""WITH {JUDGED}, d AS (SELECT row_number() OVER (ORDER BY a.query) - 1 AS i, round(a.acc - b.acc, 12) AS d FROM {_acc('s1')} a JOIN {_acc('s2')} b USING (query)),
+r AS (SELECT x AS round, k, ('0x' || substr(md5('0-' || x || '-' || k), 1, 8))::BIGINT % (SELECT count(*) FROM d) AS i FROM (SELECT unnest(range(0, 1000)) AS x), LATERAL (SELECT unnest(range(1, (SELECT count(*) FROM d) + 1)) AS k)),
+w AS (SELECT round, round(sum(d), 9) > 0 AS won FROM r JOIN d USING (i) GROUP BY 1) SELECT count(*) FILTER (won) / 1000.0::DOUBLE AS win_rate, (SELECT count(*) FROM d) AS n_queries FROM w""")
 def bootstrap_win_rate(spark, sf_dir):
     j = _judged(spark, sf_dir)
     return evaluate.bootstrap(spark, evaluate.pair_wins(j, "s1"), evaluate.pair_wins(j, "s2"))
@@ -639,8 +641,3 @@ def layout_columns(spark, sf_dir):
     from corpusloom.operators import layout
 
     return layout.columns_per_page(layout.columns(_blocks(spark, sf_dir), "doc"), "doc")
-
-
-@query()
-def date_ranges(spark, sf_dir):
-    return t(spark, sf_dir, "documents").select("doc_id", F.explode(facts.date_ranges(F.col("text"))).alias("r")).select("doc_id", "r.*")

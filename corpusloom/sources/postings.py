@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -107,6 +108,47 @@ def write_rejects(df: DataFrame, path: str, mode: str = "errorifexists") -> None
     df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
+def read_words(spark: SparkSession, path: str) -> DataFrame:
+    """word: the lines of a word list in lower case, once each, without comments (#) and empty lines; a path that doesn't exist gives none."""
+    try:
+        raw = spark.read.text(path)
+    except AnalysisException:
+        raw = spark.createDataFrame([], "value string")
+    return raw.select(F.lower(F.trim("value")).alias("word")).filter("word <> '' and not startswith(word, '#')").distinct()
+
+
+NOTES = ["Each category is a label that prediction learns from; one with a single posting is learnt from one example.", "Train again after the postings change."]
+
+
+def write_corpus(spark: SparkSession, new: DataFrame, path: str, source: str, mode: str = "errorifexists", force: bool = False, dry_run: bool = False) -> dict:
+    """Writes postings as JSON lines under path/jobs and one envelope row (version, source, notes) under path/envelope; returns what was or would be done.
+
+    mode append keeps existing postings (their ids win), overwrite replaces them, errorifexists refuses. The notes of an existing envelope are kept. Categories that would
+    be lost refuse the write unless force is set, in a dry run too; a dry run writes nothing.
+    """
+    try:
+        old = spark.read.schema(new.schema).json(f"{path}/jobs")
+        notes = spark.read.json(f"{path}/envelope").first()["notes"]
+    except AnalysisException:
+        old, notes = None, NOTES
+    lost: list[str] = []
+    if old is not None:
+        if mode == "errorifexists" and not force:
+            raise FileExistsError(f"{path} holds postings; mode append or overwrite says what becomes of them")
+        if mode != "append":
+            lost = [r.category for r in old.select("category").distinct().join(new.select("category").distinct(), "category", "left_anti").orderBy("category").collect()]
+        else:
+            new = new.join(old.select("id").distinct(), "id", "left_anti").select(*new.columns)
+    if lost and not force:
+        raise ValueError(f"categories would be lost: {', '.join(lost)}")
+    counts = new.agg(F.count("*").alias("n"), F.count_distinct("category").alias("k")).first()
+    done = {"postings": counts["n"], "categories": counts["k"], "lost": lost, "notes": list(notes), "written": not dry_run}
+    if not dry_run:
+        new.write.mode("append" if mode == "append" else "overwrite").json(f"{path}/jobs")
+        spark.createDataFrame([("1.0.0", source, list(notes))], "version string, source string, notes array<string>").coalesce(1).write.mode("overwrite").json(f"{path}/envelope")
+    return done
+
+
 def searchable(title: str = "title", description: str = "description", requirements: str = "requirements"):
     """Title twice, description and requirements, one a line."""
     return F.concat_ws("\n", title, title, description, requirements)

@@ -311,3 +311,69 @@ def test_evaluation(spark):
     lab = spark.createDataFrame([("q", ["a", "zz"], ["b"])], "query string, relevant array<string>, irrelevant array<string>")
     assert [r.id for r in evaluate.unknown_labels(lab, spark.createDataFrame([("a",), ("b",)], "id string"), "id").collect()] == ["zz"]
     assert evaluate.corpus_pairs(spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "id int, c string"), "id", "c").count() == 6
+
+
+def test_label_files_refuse_unknown_ids_and_know_a_closed_world(spark, tmp_path):
+    import json
+
+    from corpusloom.operators import evaluate
+
+    corpus = spark.createDataFrame([(c,) for c in "abcd"], "id string")
+    good = {"queries": [{"name": "q", "relevant": ["a"], "irrelevant": ["b"]}, {"resume": "in/some.pdf", "relevant": ["c"]}]}
+    (tmp_path / "l.json").write_text(json.dumps(good))
+    rows = {tuple(r) for r in evaluate.read_labels(spark, str(tmp_path / "l.json"), corpus, "id").collect()}
+    assert rows == {("q", "a", True), ("q", "b", False), ("some.pdf", "c", True)}
+    assert evaluate.read_labels(spark, str(tmp_path / "l.json"), corpus, "id", closed_world=True).count() == 8
+    (tmp_path / "l.json").write_text(json.dumps([{"name": "q", "relevant": ["zz"]}]))
+    with pytest.raises(ValueError, match="zz"):
+        evaluate.read_labels(spark, str(tmp_path / "l.json"), corpus, "id")
+
+
+def test_tuning_names_ties_and_dropped_queries(spark):
+    from corpusloom.operators import evaluate
+
+    rows = [("q1", True, 0.9, 0.1), ("q1", False, 0.1, 0.2), ("q2", True, 0.8, 0.3), ("q2", False, 0.2, 0.9), ("q3", True, 0.5, 0.5)]
+    scored = spark.createDataFrame(rows, "query string, relevant boolean, a double, b double")
+    got = evaluate.tune(spark, scored, ["a", "b"], {"a": 0.0, "b": 1.0}, 0.25, rounds=50)
+    assert got.best_accuracy == 1.0 and got.current_accuracy == 0.0 and got.win_rate == 1.0
+    assert got.tied["a"] == (0.75, 1.0) and got.best == {"a": 0.75, "b": 0.25}  # at one half the second query ties
+    assert [r["query"] for r in got.dropped.collect()] == ["q3"]
+    with pytest.raises(ValueError):
+        evaluate.tune(spark, scored.filter("query = 'q3'"), ["a", "b"], {"a": 0.0, "b": 1.0}, 0.25)
+
+
+def test_trained_or_profile_prediction_and_its_stored_model(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from corpusloom.operators import roles
+
+    rows = [(i, "bread oven flour baker" if i % 3 else "engine piston wrench garage", "cook" if i % 3 else "mechanic") for i in range(12)]
+    train = spark.createDataFrame(rows, "doc int, text string, label string")
+    model = roles.train_classifier(train)
+    new = spark.createDataFrame([(1, "an oven and flour"), (2, "piston, wrench"), (3, "nothing known here"), (4, None)], "doc int, text string")
+    ranked = roles.predict_trained(model, new, "doc")
+    shares = {r["doc"]: r["s"] for r in ranked.groupBy("doc").agg(F.sum("score").alias("s")).collect()}
+    assert all(abs(s - 1) < 1e-9 for s in shares.values()) and len(shares) == 4
+    prof = spark.createDataFrame([("cook", "oven", 1.0), ("pilot", "plane", 1.0)], "role string, name string, weight double")
+    by_profile = roles.predict(spark.createDataFrame([(3, "plane"), (1, "plane")], "doc int, name string"), "doc", prof, "role", "name")
+    got = {r["doc"]: (r["role"], r["backend"]) for r in roles.predict_either(ranked, by_profile, "doc").collect()}
+    assert got[1] == ("cook", "trained") and got[2] == ("mechanic", "trained")
+    path = str(tmp_path / "model")
+    assert roles.load_classifier(spark, path) is None
+    roles.save_classifier(spark, model, path, 0.9)
+    with pytest.raises(ValueError):
+        roles.save_classifier(spark, model, path, 0.5)
+    roles.save_classifier(spark, model, path, 0.5, force=True)
+    again = roles.predict_trained(roles.load_classifier(spark, path), new, "doc")
+    key = lambda df: sorted((r["doc"], r["role"], round(r["score"], 9)) for r in df.collect())
+    assert key(again) == key(ranked)
+
+
+def test_matches_are_stored_with_their_payload(spark):
+    from corpusloom.operators import store
+
+    m = spark.createDataFrame([(1, "Baker", 77, None)], "resume int, title string, score int, note string")
+    row = store.matches_to_store(m, "resume", "title", "score").first()
+    assert len(row["id"]) == 32 and row["score"] == 77 and row["payload"] == '{"resume":1,"title":"Baker","score":77,"note":null}'
+    bad = spark.createDataFrame([(1, "no json")], "id int, payload string")
+    assert store.read_payload(bad, "a int").first()["a"] is None

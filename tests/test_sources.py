@@ -124,3 +124,47 @@ def test_analysis_plan(spark):
     text = "Jane Doe\njane@example.com\nEXPERIENCE\n* Built Python tools for 30 users in one busy team over years\nJan 2022 - Dec 2022\nSKILLS\nPython, Pythn"
     r = analyse(spark.createDataFrame([(1, text), (2, "nothing here")], "id int, text string"), "id", lex).orderBy("id").collect()
     assert r[0].role == "dev" and r[0].skills == ["Python"] and r[0].experience_months == 12 and r[0].score > r[1].score and r[1].role is None
+
+
+def test_word_lists_keep_words_only(spark, tmp_path):
+    (tmp_path / "verbs.txt").write_text("# a comment\nLed\n\nbuilt\nled\n")
+    assert sorted(r.word for r in postings.read_words(spark, str(tmp_path / "verbs.txt")).collect()) == ["built", "led"]
+    assert postings.read_words(spark, str(tmp_path / "none.txt")).count() == 0
+
+
+def test_corpus_sink_keeps_notes_and_refuses_losses(spark, tmp_path):
+    import pytest
+
+    path = str(tmp_path / "corpus")
+    rows = lambda *r: spark.createDataFrame(r, "id string, title string, category string")
+    dry = postings.write_corpus(spark, rows(("a", "x", "One"), ("b", "y", "Two")), path, "a file", dry_run=True)
+    assert dry["postings"] == 2 and not dry["written"] and not (tmp_path / "corpus").exists()
+    postings.write_corpus(spark, rows(("a", "x", "One"), ("b", "y", "Two")), path, "a file")
+    spark.createDataFrame([("1.0.0", "s", ["mine"])], "version string, source string, notes array<string>").write.mode("overwrite").json(f"{path}/envelope")
+    with pytest.raises(FileExistsError):
+        postings.write_corpus(spark, rows(("c", "z", "One")), path, "again")
+    with pytest.raises(ValueError, match="Two"):
+        postings.write_corpus(spark, rows(("c", "z", "One")), path, "again", mode="overwrite", dry_run=True)
+    done = postings.write_corpus(spark, rows(("a", "other", "One"), ("c", "z", "One")), path, "again", mode="append")
+    assert done["postings"] == 1 and done["notes"] == ["mine"]
+    assert {(r.id, r.title) for r in spark.read.json(f"{path}/jobs").collect()} == {("a", "x"), ("b", "y"), ("c", "z")}
+    postings.write_corpus(spark, rows(("c", "z", "One")), path, "again", mode="overwrite", force=True)
+    assert spark.read.json(f"{path}/jobs").count() == 1 and spark.read.json(f"{path}/envelope").first()["notes"] == ["mine"]
+
+
+def test_settings_are_checked(spark):
+    import pytest
+
+    from corpusloom import settings
+
+    assert settings.read(spark).max_upload_mb == 5
+    spark.conf.set("spark.corpusloom.max_upload_mb", "30")
+    with pytest.raises(ValueError):
+        settings.read(spark)
+    spark.conf.set("spark.corpusloom.max_upload_mb", "7")
+    spark.conf.set("spark.corpusloom.weight.fit", "0.5")
+    with pytest.raises(ValueError):
+        settings.read(spark)
+    spark.conf.unset("spark.corpusloom.weight.fit")
+    assert settings.read(spark).max_upload_mb == 7
+    spark.conf.unset("spark.corpusloom.max_upload_mb")
