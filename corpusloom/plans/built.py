@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import corpus, evaluate, facts, ir, matching, scorecard, store
+from corpusloom.operators import corpus, evaluate, facts, ir, matching, phrases, scorecard, store
 
 from .queries import BM25, BULLETS, CTOK, IMPORT, JUDGED, VERBS, _import, _judged, q6, query, t
 
@@ -333,3 +333,32 @@ def grey_contrast(spark, sf_dir):
 @query(f"WITH {IMPORT} SELECT CASE WHEN csv_line % 2 = 0 THEN 'level' ELSE 'number' END AS source, count(*) AS n FROM c WHERE reject_reason IS NULL GROUP BY 1")
 def experience_sources(spark, sf_dir):
     return corpus.experience_sources(_import(spark, sf_dir))
+
+
+# ---- the analysis plan end to end
+
+TERMS = [("Alphadb", "store", []), ("Betalang", "language", ["beta language"]), ("Gammatool", "tool", [])]
+SKILL_LINES = ["Alphadb and beta language", "Gammatool", "gamatool, nothing else"]  # the last one is misspelt
+
+
+@query(f"""SELECT c_custkey, 'Asha Van Dyke' AS name, 'user.' || c_custkey || '@mail.example.org' AS email, CASE c_custkey % 5 {" ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(LEVELS))} END AS degree_level, 10 + c_custkey % 3 AS experience_months,
+'EDUCATION,EXPERIENCE,SKILLS' AS sections, CASE c_custkey % 3 WHEN 0 THEN 'Alphadb,Betalang' ELSE 'Gammatool' END AS skills, CASE c_custkey % 3 WHEN 0 THEN 'keeper' ELSE 'smith' END AS role,
+CASE c_custkey % 3 WHEN 0 THEN 1.0::DOUBLE ELSE round(2.0::DOUBLE / 3, 6) END AS confidence FROM customer""")
+def analysed_resumes(spark, sf_dir):
+    from corpusloom.plans.analysis import Lexicons, analyse
+
+    k = F.col("c_custkey")
+    lines = [
+        F.lit("Asha Van Dyke"), F.concat(F.lit("user."), k.cast("string"), F.lit("@mail.example.org")), F.lit("STUDIES"), _pick(k % 5, [F.lit(x) for x in DEGREES]), F.lit("Skills:"),
+        _pick(k % 3, [F.lit(x) for x in SKILL_LINES]), F.lit("EXPERIENCE"), F.concat(F.lit("Jan 2001 - "), (10 + k % 3).cast("string"), F.lit("/2001 at a workshop.")),
+    ]
+    docs = t(spark, sf_dir, "customer").select("c_custkey", F.concat_ws("\n", *lines).alias("text"))
+    lex = Lexicons(
+        spark.createDataFrame([("EDUCATION", "studies"), ("SKILLS", "skill set"), ("EXPERIENCE", "work")], "canonical string, variant string"),
+        phrases.ontology(spark.createDataFrame(TERMS, "name string, category string, aliases array<string>")),
+        spark.createDataFrame([("keeper", "Alphadb", 1.0), ("keeper", "Betalang", 0.5), ("smith", "Gammatool", 1.0), ("smith", "Alphadb", 0.5)], "role string, name string, weight double"), VERBS,
+    )
+    got = analyse(docs, "c_custkey", lex, F.lit("2005-01-01").cast("date"))
+    return got.select(
+        "c_custkey", "name", "email", "degree_level", "experience_months", F.array_join(F.array_sort("sections"), ",").alias("sections"), F.array_join("skills", ",").alias("skills"), "role", q6("confidence"),
+    )

@@ -192,9 +192,9 @@ def chunk_counts(spark, sf_dir):
     return d.select("doc_id", F.size("c").alias("n_chunks"), F.aggregate(F.transform("c", F.length), F.lit(0).cast("long"), lambda s, x: s + x).alias("n_chars"))
 
 
-@query(r"""SELECT doc_id, nullif(regexp_extract(text, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}'), '') AS email FROM documents WHERE regexp_matches(text, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}')""")
+@query(f"SELECT doc_id, regexp_extract(text, '{facts.EMAIL}') AS email FROM documents WHERE regexp_matches(text, '{facts.EMAIL}')")
 def email_extract(spark, sf_dir):
-    return t(spark, sf_dir, "documents").select("doc_id", facts.first(F.col("text"), r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}").alias("email")).filter("email is not null")
+    return t(spark, sf_dir, "documents").select("doc_id", facts.first(F.col("text"), facts.EMAIL).alias("email")).filter("email is not null")
 
 
 @query(r"SELECT page_id, len(l) AS n_links, l[1] AS first_link FROM (SELECT page_id, regexp_extract_all(html, 'https?://[A-Za-z0-9.\-]+\.[A-Za-z]{2,}(?:/[^\s,;]*)?') AS l FROM pages)")
@@ -211,10 +211,9 @@ def year_mentions(spark, sf_dir):
 CLICHE_SQL = " + ".join(f"contains(lower(text), '{p}')::INT" for p in scorecard.CLICHES)
 
 
-@query(rf"SELECT conv_id, turn, CAST({CLICHE_SQL} AS INT) AS n_cliches, len(regexp_extract_all(text, '(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:me|my|mine|myself)(?:$|[^\p{{L}}\p{{N}}_])')) AS n_pronouns FROM conversations")
+@query(rf"SELECT conv_id, turn, CAST({CLICHE_SQL} AS INT) AS n_cliches, len(regexp_extract_all(text, '(?i)\b(?:me|my|mine|myself|i)\b')) - len(regexp_extract_all(text, '(?i)\bi[./]')) AS n_pronouns FROM conversations")
 def tone_count(spark, sf_dir):
-    n = F.size(F.regexp_extract_all("text", F.lit(r"(?i)(?:^|[^\p{L}\p{N}_])(?:me|my|mine|myself)(?:$|[^\p{L}\p{N}_])"), F.lit(0)))
-    return t(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(scorecard.cliches(F.col("text"))).alias("n_cliches"), n.alias("n_pronouns"))
+    return t(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(scorecard.cliches(F.col("text"))).alias("n_cliches"), scorecard.pronouns(F.col("text")).alias("n_pronouns"))
 
 
 @query(r"""SELECT doc_id, len(regexp_extract_all(text, '\d+\s*%')) AS n_percent, len(regexp_extract_all(text, '\d+')) AS n_numbers FROM documents""")
