@@ -136,16 +136,17 @@ def date_ranges(text: Column) -> Column:
     def year(x: Column) -> Column:
         return F.regexp_extract(x, r"((?:19|20)\d{2})", 1).try_cast("int")
 
-    def one(i: Column) -> Column:
-        s, e = F.get(a, i), F.get(b, i)
+    def one(m: Column) -> Column:
+        s, e = m["a"], m["b"]
         now = e.rlike("(?i)present|current|now|ongoing|till date")
         return F.struct(
-            T.strip(F.get(raw, i)).alias("raw"), year(s).alias("start_year"), month(s).alias("start_month"),
+            T.strip(m["raw"]).alias("raw"), year(s).alias("start_year"), month(s).alias("start_month"),
             F.when(~now, year(e)).alias("end_year"), F.when(~now, month(e)).alias("end_month"), now.alias("is_current"),
         )
 
-    all_ = F.transform(F.sequence(F.lit(0), F.greatest(F.size(raw) - 1, F.lit(0))), one)
-    return F.when(F.size(raw) == 0, F.slice(all_, 1, 0)).otherwise(F.filter(all_, lambda r: r["is_current"] | (r["end_year"] >= r["start_year"])))
+    # zipped: a lambda that refers to the arrays would search the whole text again for each match
+    all_ = F.transform(F.arrays_zip(raw.alias("raw"), a.alias("a"), b.alias("b")), one)
+    return F.filter(all_, lambda r: r["is_current"] | (r["end_year"] >= r["start_year"]))
 
 
 def month_span(r: Column, as_of: Column) -> tuple[Column, Column]:

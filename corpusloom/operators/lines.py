@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 
+from .store import cut, lexicon
+
 MAX_WORDS = 6
 
 
@@ -49,7 +51,7 @@ def mark_headings(lines: DataFrame, id_col: str, headings: DataFrame) -> DataFra
     A line of the lexicon is a heading. Any other heading-shaped line is one if a lexicon heading stands before it and neither the line before
     nor the one after it is heading-shaped (nor is it the last); this closed form equals the line-by-line state machine.
     """
-    keys = lexicon_keys(headings)
+    keys = lexicon(lexicon_keys(headings))
     marked = lines.withColumn("_key", T.normalise(F.rtrim(F.col("line"), F.lit(":")))).join(keys, F.col("_key") == F.col("key"), "left")
     w = W.partitionBy(id_col).orderBy("line_no")
     known = F.col("canonical").isNotNull()
@@ -79,6 +81,7 @@ def sections(docs: DataFrame, id_col: str, headings: DataFrame, text_col: str =
         F.min("line_no").alias("start_line"), (F.max("line_no") + 1).alias("end_line"),
         F.coalesce(F.min(F.when(inside, F.col("start"))), F.max("end")).alias("start"), F.max("end").alias("end"),
     )
+    got = cut(got)
     some = got.filter("ord > 0").select(id_col).distinct()
     none = docs.join(some, id_col, "left_anti").select(
         id_col, F.lit(1).cast("long").alias("ord"), F.lit("BODY").alias("name"), F.lit("").alias("heading"), F.coalesce(F.col(text_col), F.lit("")).alias("body"),

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.functions.python_udfs import indel_ratio
 
+from .store import cut, lexicon
+
 MAX_TOKENS = 5
 FUZZY_THRESHOLD, FUZZY_MIN = 88.0, 5
 # fixed values: names that are English words too, conjunctions, and the characters that delimit lists and end sentences
@@ -53,7 +55,7 @@ def candidates(docs: DataFrame, id_col: str, onto: DataFrame, text_col: str = "t
     base = docs.select(id_col, F.inline(F.array(F.struct(F.transform(toks, lambda t: F.rtrim(F.lower(t), F.lit("."))).alias("_n")))))
     rows = base.select(id_col, F.explode(F.transform("_n", lambda t, p: F.struct(p.alias("pos"), t.alias("_first"), F.slice("_n", p + 2, widths - 1).alias("_next")))).alias("r")).select(id_col, "r.*")
     keys = onto.filter(F.col("n_tokens") <= widths).select("key", "name", "category", F.split("key", " ").alias("_k")).filter("key <> ''")
-    keys = keys.select("key", "name", "category", F.size("_k").alias("width"), F.element_at("_k", 1).alias("_first"), F.slice("_k", 2, widths).alias("_rest"))
+    keys = lexicon(keys.select("key", "name", "category", F.size("_k").alias("width"), F.element_at("_k", 1).alias("_first"), F.slice("_k", 2, widths).alias("_rest")))
     hit = rows.filter("_first <> ''").join(keys, "_first").filter(F.slice("_next", 1, F.size("_rest")) == F.col("_rest")).select(id_col, "pos", "width", "key", "name", "category")
     by = hit.groupBy(id_col).agg(F.collect_list(F.struct("pos", "width", "key", "name", "category")).alias("_h"))
     met = docs.select(id_col, text.alias("_x")).join(by, id_col)
@@ -123,6 +125,7 @@ def fuzzy(docs: DataFrame, id_col: str, onto: DataFrame, exact: DataFrame, spans
     toks = toks.join(s, id_col).filter("start >= _s and end <= _e").drop("_s", "_e").join(onto.select(F.col("key").alias("norm")), "norm", "left_anti")
     e = exact.select(id_col, F.col("start").alias("_s"), F.col("end").alias("_e"))
     toks = toks.join(e, (toks[id_col] == e[id_col]) & (F.col("start") < F.col("_e")) & (F.col("_s") < F.col("end")), "left_anti")
+    toks = cut(toks)
     pairs_of = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, F.lit(2))))
     keys = onto.filter((F.col("n_tokens") == 1) & (F.length("key") >= FUZZY_MIN)).select("key", "name", "category").withColumn("g", F.explode(pairs_of(F.col("key"))))
     words = toks.select("norm").distinct().withColumn("g", F.explode(pairs_of(F.col("norm"))))
@@ -137,8 +140,11 @@ def fuzzy(docs: DataFrame, id_col: str, onto: DataFrame, exact: DataFrame, spans
 
 def find(docs: DataFrame, id_col: str, onto: DataFrame, text_col: str = "text", fuzzy_spans: DataFrame | None = None) -> DataFrame:
     """id, name, category, start, end, surface, method."""
-    exact = resolve(credible(candidates(docs, id_col, onto, text_col), docs, id_col, onto, text_col), id_col)
-    return exact if fuzzy_spans is None else exact.unionByName(fuzzy(docs, id_col, onto, exact, fuzzy_spans, text_col))
+    exact = resolve(credible(cut(candidates(docs, id_col, onto, text_col)), docs, id_col, onto, text_col), id_col)
+    if fuzzy_spans is None:
+        return exact
+    exact = cut(exact)
+    return exact.unionByName(fuzzy(docs, id_col, onto, exact, fuzzy_spans, text_col))
 
 
 def by_category(hits: DataFrame, id_col: str) -> DataFrame:

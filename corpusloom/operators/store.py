@@ -7,6 +7,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once: what uses it reads its rows instead of planning and computing it anew. Rows go to spark.checkpoint.dir if that is set, else to the executors' own storage."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.localCheckpoint()
+
+
+#: Rows up to which a lexicon goes to every task.
+LEXICON = 100_000
+
+
+def lexicon(df: DataFrame) -> DataFrame:
+    """df, computed once and, if it has at most LEXICON rows, sent to every task, so that what looks things up in it stays where it is; larger ones are shuffled."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= LEXICON else df
+
+
 def with_hash(files: DataFrame, content: str = "content") -> DataFrame:
     return files.withColumn("file_hash", F.sha2(F.col(content).cast("binary"), 256))
 
