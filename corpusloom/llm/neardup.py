@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .anchors import Kind, digests
 from .components import components
-from .scratch import materialise, shielded, sifted, skew_join
+from .scratch import drop, materialise, release, shielded, sifted, skew_join
 from .tokens import chunks, mix, shingles, span, prefix, words
 
 SHINGLE = 5
@@ -263,14 +263,14 @@ def _of_several_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
             yield b.filter(pa.array(keep))
 
 
-def _across(large: DataFrame, text: DataFrame, edges: DataFrame) -> DataFrame | None:
-    """Edges (a, b) that join the classes which `edges` leaves apart in large groups (root, rep, n); None if there are none apart.
+def _across(large: DataFrame, text: DataFrame, found: DataFrame) -> DataFrame | None:
+    """Edges (a, b) that join the classes (node, root) found so far in large groups (root, rep, n); None if there are none apart.
 
     An exact prefix-filter join: shingles are put in one order, rare ones first, and texts of similarity SIMILARITY share one of the first
     |x| - ceil(SIMILARITY |x|) + 1 at least. Any order is exact; counts by slot only keep common passages out of the prefixes. Lists of one
     class need no work. Longer lists meet in pairs of blocks, and so do the shingle sets of the pairs found.
     """
-    own = large.join(components(edges).select(F.col("node").alias("_n"), F.col("root").alias("_c")), F.col("rep") == F.col("_n"), "left").select("root", "rep", "n", F.coalesce("_c", "rep").alias("cls"))
+    own = large.join(found.select(F.col("node").alias("_n"), F.col("root").alias("_c")), F.col("rep") == F.col("_n"), "left").select("root", "rep", "n", F.coalesce("_c", "rep").alias("cls"))
     apart = own.groupBy(F.col("root").alias("_r")).agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo < hi").select("_r")
     own = materialise(own.join(apart, F.col("root") == F.col("_r"), "left_semi"))
     if own.isEmpty():
@@ -278,7 +278,7 @@ def _across(large: DataFrame, text: DataFrame, edges: DataFrame) -> DataFrame |
     text = text.join(own, "rep").select("root", "cls", "rep", "text")
     counts = text.mapInArrow(_slots, "page long, slot long, n long").groupBy("page", "slot").agg(F.sum("n").alias("n"))
     often = np.zeros(SLOTS, np.int64)
-    for r in counts.groupBy("page").agg(F.collect_list("slot").alias("slot"), F.collect_list("n").alias("n")).toLocalIterator():
+    for r in counts.groupBy("page").agg(F.collect_list("slot").alias("slot"), F.collect_list("n").alias("n")).coalesce(8).toLocalIterator():  # a job for each part
         often[r.page * 4096 + np.array(r.slot)] = r.n
     sent = text.sparkSession.sparkContext.broadcast(often)
 
@@ -357,10 +357,13 @@ def classified(docs: DataFrame) -> DataFrame:
     reps = materialise(reps.select("s0", "s1", F.monotonically_increasing_id().alias("rep"), *(F.col(f"lead.{x}").alias(x) for x in DOC), "bands", "c"))
     member = skew_join(sig.select(*DOC, "s0", "s1"), reps.select("s0", "s1", "rep", "c"), ["s0", "s1"], "c", sig.count(), how="left")
     member = materialise(member.select(*DOC, "rep").distinct())
-    band = materialise(reps.select("rep", F.explode(F.array_distinct("bands")).alias("band")))
+    drop(sig)
+    band = reps.select("rep", F.explode(F.array_distinct("bands")).alias("band"))
     bucket = materialise(band.groupBy("band").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).filter("n > 1"))
+    band = materialise(sifted(band, bucket, ["band"]).filter("_maybe").drop("_maybe"))  # most bands have one text
     star = skew_join(band, bucket, ["band"], "n", band.count()).filter("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b"))
     group = materialise(components(star))
+    drop(band, bucket)
     size = materialise(group.groupBy("root").agg(F.count("*").alias("n")))
     sized = materialise(skew_join(group, size, ["root"], "n", group.count()).select("root", F.col("node").alias("rep"), "n"))
     # rows (root, block, rep): small groups whole, large ones twice over blocks, their pivots in every block
@@ -369,16 +372,21 @@ def classified(docs: DataFrame) -> DataFrame:
     large = sized.filter(F.col("n") > BLOCK)
     dealt = large.select("root", F.explode(F.array(F.pmod(F.xxhash64("rep"), n_blocks).cast("int"), (n_blocks + F.pmod(F.xxhash64("rep", F.lit(1)), n_blocks)).cast("int"))).alias("block"), "rep")
     pivots = large.withColumn("_i", F.row_number().over(_by_hash())).filter(F.col("_i") <= PIVOTS).select("root", F.explode(F.sequence(F.lit(0), 2 * n_blocks - 1)).alias("block"), "rep")
-    blocks = small.unionByName(dealt).unionByName(pivots).distinct()
-    wanted = materialise(reps.select(*DOC, "rep").join(sized.select("rep"), "rep"))
-    text = sifted(docs, wanted, DOC).filter("_maybe").drop("_maybe").join(wanted, DOC).dropDuplicates(["rep"])
-    text = materialise(text.select("rep", "text"))
-    sets = text.mapInArrow(_shingle_sets, "rep long, sh binary")
-    ready = blocks.join(sets, "rep").select("root", "block", "rep", "sh").repartition("root", "block").sortWithinPartitions("root", "block", "rep")
+    blocks = small.unionByName(dealt).unionByName(pivots).groupBy("rep").agg(F.collect_set(F.struct("root", "block")).alias("blocks"))
+    # texts come with their blocks: they are shuffled once, and so are the sets made of them (DOC and rep are one to one, so the join's partitions serve the dropping too)
+    wanted = materialise(reps.select(*DOC, "rep").join(blocks, "rep"))
+    drop(reps)
+    release(docs.sparkSession)
+    text = sifted(docs, wanted, DOC).filter("_maybe").drop("_maybe").join(wanted, DOC).dropDuplicates(DOC)
+    text = materialise(text.select("rep", "blocks", "text"))
+    sets = text.mapInArrow(_shingle_sets, "rep long, blocks array<struct<root: long, block: int>>, sh binary")
+    ready = sets.select(F.explode("blocks").alias("_b"), "rep", "sh").select("_b.root", "_b.block", "rep", "sh").repartition("root", "block").sortWithinPartitions("root", "block", "rep")
     edges = materialise(ready.mapInArrow(_verify, "a long, b long"))
-    more = _across(large, text, edges)
-    edges = edges if more is None else edges.unionByName(more)
-    root = components(edges).withColumnRenamed("node", "rep")
+    root = materialise(components(edges))
+    more = _across(large, text.select("rep", "text"), root)
+    if more is not None:  # the classes found stand for their edges
+        root = components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    root = root.withColumnRenamed("node", "rep")
     per = member.filter("rep is not null").groupBy("rep").agg(F.count("*").alias("n_rep"), F.min(F.struct(*DOC)).alias("lead"))
     per = materialise(per.join(root, "rep", "left").select("rep", "n_rep", "lead", F.coalesce("root", "rep").alias("root")))
     whole = materialise(per.groupBy("root").agg(F.min("lead").alias("first"), F.sum("n_rep").alias("n_class"), F.count("*").alias("_m")))

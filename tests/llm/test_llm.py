@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -277,6 +278,28 @@ def test_neardup_edges(spark, edge_rows):
     assert neardup.classes(d.limit(0)).count() == 0
 
 
+def test_components_deal_small_rounds_out_to_few_tasks(spark, monkeypatch):
+    """Two chains whose rounds would have a task and a file for each of the session's partitions; no round follows once the edges are stars."""
+    written = []
+    module = sys.modules["corpusloom.llm.components"]
+    monkeypatch.setattr(module, "materialise", lambda d: written.append(scratch.materialise(d)) or written[-1])
+    monkeypatch.setattr(module, "drop", lambda *tables: None)
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        chain = spark.createDataFrame([(i, i + 2) for i in range(60)], "a long, b long")
+        assert {r.node: r.root for r in components(chain).collect()} == {i: i % 2 for i in range(62)}
+        assert len(written) > 4 and all(len(x.inputFiles()) <= 5 for x in written[1:])
+        written.clear()
+        star = spark.createDataFrame([(5, i) for i in range(6, 30)], "a long, b long")
+        assert {r.node: r.root for r in components(star).collect()} == dict.fromkeys(range(5, 30), 5)
+        assert len(written) == 1
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 330)]
