@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .scratch import bit_filter, in_filter, materialise
-from .tokens import CODES_LOWER, Chunk, chunks, words
+from .scratch import bit_filter, drop, in_filter, materialise, release
+from .tokens import CODES_LOWER, Chunk, chunks, mix, words
 
 #: Longest context in bytes; a context must hold this share of all symbols, so a depth has at most 1/MIN_SHARE contexts.
 DEPTH = 5
@@ -21,14 +22,16 @@ MIN_SHARE = 5e-5
 DIVERGENCE, PRIOR = 0.002, 4.0
 #: Words of known counts that every task holds (24 bytes each); the counts of all others come by a join.
 HEAD = 1 << 18
-#: One-word contexts: a word is one if it is held, occurs SUPPORT times and its next words diverge from the empty context by WORD_DIVERGENCE nats a token.
+#: One-word contexts: a word is one if it occurs SUPPORT times and its next words diverge from the empty context by WORD_DIVERGENCE nats a token.
 #: A next word is retained in it if it occurs twice there and its log-likelihood gain over the empty context, count * ln(ratio), is EVIDENCE nats; DISCOUNT is taken
-#: off its count for all others. The PAIRS most frequent ones are held by every task, all others come by a join behind a filter of FILTER bits.
+#: off its count for all others. The PAIRS most frequent ones of held words are held by every task, all others come by a join behind a filter of FILTER bits,
+#: and so do the contexts that are not held.
 SUPPORT, WORD_DIVERGENCE, EVIDENCE, DISCOUNT = 64, 0.01, 20.0, 0.5
 PAIRS, FILTER = 1 << 18, 1 << 25
 #: Distinct pairs that a task gathers before it hands them on.
 GATHER = 1 << 22
 SPACE = 32  # occurs in no word: it closes them
+SIGN = np.uint64(1 << 63)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -142,6 +145,7 @@ def train(vocab: DataFrame) -> Tree:
             floor = max(1.0, MIN_SHARE * total)
         frequent = pairs.groupBy(F.col("d").alias("_d"), F.col("ctx").alias("_c")).agg(F.sum("n").alias("_n")).filter((F.col("_n") >= floor) | (F.col("_d") == 0))
         got = pairs.join(frequent, (F.col("d") == F.col("_d")) & (F.col("ctx") == F.col("_c"))).select("d", "k", "n").toPandas()  # at most 256 rows for each of 1/MIN_SHARE contexts
+        drop(pairs)
         for d in depths:
             part = got[got.d == d]
             key, n = part.k.to_numpy(np.uint64), part.n.to_numpy(np.float64)
@@ -211,6 +215,7 @@ class WordTree:
         self.back = np.zeros(len(keys) + 2, np.float32)  # log10 of the weight that a context leaves to the empty one
         self.left, self.kept = np.ones(len(keys) + 2), np.zeros(len(keys) + 2, bool)
         self.more: np.ndarray | None = None  # filter of the retained pairs that are not held
+        self.far: np.ndarray | None = None  # filter of the contexts that are not held
 
     def index(self, h: np.ndarray) -> np.ndarray:
         """Numbers of the words, -1 for those that are not held."""
@@ -220,8 +225,13 @@ class WordTree:
         at[at == len(self.keys)] = 0
         return np.where(self.keys[at] == h, at, -1)
 
+    def codes(self, h: np.ndarray) -> np.ndarray:
+        """The words' numbers, and negative ones, made of their hashes, for those that are not held."""
+        at = self.index(h)
+        return np.where(at >= 0, at, (h | SIGN).view(np.int64))
+
     def steps(self, word: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(previous, current, document) for each token, ends included."""
+        """Codes (previous, current) and document for each token, ends included."""
         n = np.diff(bound)
         offs = np.concatenate([[0], np.cumsum(n + 2)])
         seq = np.full(offs[-1], self.start, np.int64)
@@ -234,10 +244,9 @@ class WordTree:
         place = np.flatnonzero(cur)
         return seq[place - 1], seq[place], doc[place]
 
-    def gain(self, key: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Log-likelihood gain in nats of pairs (previous << 32 | current) that occur n times."""
-        prev, cur = key >> 32, key & 0xFFFFFFFF
-        return n * (np.log(n / self.n[prev]) - self.lp[cur].astype(np.float64) * np.log(10.0))
+    def gain(self, prev: np.ndarray, cur: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """gain() of pairs of held words that occur n times."""
+        return gain(n, self.n[prev], self.lp[cur].astype(np.float64))
 
     def retain(self, prev: np.ndarray, total_gain: np.ndarray, held: np.ndarray, kinds: np.ndarray) -> None:
         """The contexts: their words, the gain of all of their pairs, and the count and number of their retained pairs."""
@@ -249,11 +258,21 @@ class WordTree:
         self.left[prev[ok]] = np.maximum((total - held + DISCOUNT * kinds)[ok] / total[ok], 1e-12)
         self.back = np.log10(self.left).astype(np.float32)
 
-    def scores(self, prev: np.ndarray, cur: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability of each token given its longest retained suffix, plain being that of the empty context; and the tokens whose pair is not held but may be retained."""
-        out = plain + np.where(prev >= 0, self.back[prev], 0.0)
-        both = np.flatnonzero((prev >= 0) & (cur >= 0) & self.kept[prev])
-        key = prev[both] << 32 | cur[both]
+    def scores(self, prev: np.ndarray, cur: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """log10 probability of each token given its longest retained suffix, plain being that of the empty context.
+
+        Then what is not held: the tokens whose pair may be retained and these pairs' keys, and the tokens whose previous word may be a context.
+        """
+        near, at = prev >= 0, np.maximum(prev, 0)
+        out = plain + np.where(near, self.back[at], 0.0)
+        may = near & self.kept[at]
+        far = np.zeros(0, np.int64)
+        if self.far is not None:
+            far = np.flatnonzero(~near)
+            far = far[in_filter(self.far, prev[far].view(np.uint64))]
+            may[far] = True
+        both = np.flatnonzero(may)
+        key = pair_key(prev[both], cur[both])
         hit = np.zeros(len(both), bool)
         if len(self.pair) and len(both):
             at = np.searchsorted(self.pair, key)
@@ -261,17 +280,41 @@ class WordTree:
             hit = self.pair[at] == key
             out[both[hit]] = self.pair_lp[at[hit]]
         if self.more is None:
-            return out, np.zeros(0, np.int64)
-        open_ = ~hit
-        return out, both[open_][in_filter(self.more, key[open_].view(np.uint64))]
+            return out, both[:0], key[:0], far
+        left = np.flatnonzero(~hit)
+        left = left[in_filter(self.more, key[left].view(np.uint64))]
+        return out, both[left], key[left], far
+
+
+def gain(n: np.ndarray, n_prev: np.ndarray, lp: np.ndarray) -> np.ndarray:
+    """Log-likelihood gain in nats of pairs that occur n times after words that occur n_prev times, lp being log10 of the next word's share in the empty context."""
+    return n * (np.log(n / n_prev) - lp * np.log(10.0))
+
+
+def pair_key(prev: np.ndarray, cur: np.ndarray) -> np.ndarray:
+    """One number for each pair of codes: (previous << 32 | current) if both words are held, a negative one, made of a hash of 63 bits, if not."""
+    key = prev << 32 | cur
+    far = np.flatnonzero((prev < 0) | (cur < 0))
+    key[far] = (mix(prev[far].view(np.uint64) ^ mix(cur[far].view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))) | SIGN).view(np.int64)
+    return key
+
 
+def _pairs(train_on: DataFrame, tree: WordTree, counts: DataFrame, least: int) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None]:
+    """Fills tree with its one-word contexts that are held and the most frequent of their pairs.
 
-def _pairs(train_on: DataFrame, tree: WordTree) -> DataFrame | None:
-    """Fills tree with its one-word contexts and the most frequent of their pairs; returns the others (k, over: what they add to the score of backing off), None if there are none."""
+    counts: h, n and lp of every word; those with n >= least are held. Returns the other pairs of held words and those of words that are not held (k, over: what
+    they add to the score of backing off) and the other contexts (a: their code, over: log10 of the weight they leave to the empty one); None where there are none.
+    """
     spark = train_on.sparkSession
     sent = spark.sparkContext.broadcast(tree)
+    others = counts.filter(F.col("n") < least).select(F.expr("h | shiftleft(1L, 63)").alias("code"), "n", "lp") if least > 1 else None
+    # a pair that occurs twice has words that do; the filters let some others through, which the joins drop
+    again_ = spark.sparkContext.broadcast(bit_filter(others.filter("n > 1").select("code"), FILTER) if others is not None else None)
+    contexts = others.filter(F.col("n") >= SUPPORT) if least > SUPPORT else None
+    often_ = spark.sparkContext.broadcast(bit_filter(contexts.select("code"), FILTER) if contexts is not None else None)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """a, b, n: a pair's codes, or its key and 0 if both words are held, which takes less room in the shuffle."""
         t = sent.value
         often = t.n >= SUPPORT
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -282,58 +325,120 @@ def _pairs(train_on: DataFrame, tree: WordTree) -> DataFrame | None:
             order = np.argsort(k, kind="stable")
             k, n = k[order], n[order]
             at = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
-            return k[at], np.add.reduceat(n, at) if len(at) else n
+            return k[at], np.zeros(len(at), np.int64), np.add.reduceat(n, at) if len(at) else n
+
+        def rows(a, b, n):
+            for lo in range(0, len(a), 200_000):
+                yield pa.record_batch([pa.array(a[lo : lo + 200_000]), pa.array(b[lo : lo + 200_000]), pa.array(n[lo : lo + 200_000].astype(np.int32))], names=["a", "b", "n"])
 
-        def rows(k, n):
-            for lo in range(0, len(k), 200_000):
-                yield pa.record_batch([pa.array(k[lo : lo + 200_000]), pa.array(n[lo : lo + 200_000].astype(np.int32))], names=["k", "n"])
+        def passing(code, ok, bits):
+            """ok, and for codes of words that are not held whether they are in bits."""
+            far = np.flatnonzero(code < 0)
+            ok[far] = in_filter(bits, code[far].view(np.uint64)) if bits is not None else False
+            return ok
 
         for b in batches:
             for c in chunks(b.column("text"), 4 << 20):
                 _, _, bound, h = words(c, CODES_LOWER)
-                prev, cur, _ = t.steps(t.index(h), bound)
-                ok = (prev >= 0) & (cur >= 0) & often[prev]
-                held.append(np.unique(prev[ok] << 32 | cur[ok], return_counts=True))
+                prev, cur, _ = t.steps(t.codes(h), bound)
+                ok = passing(prev, often[np.maximum(prev, 0)], often_.value) & passing(cur, np.ones(len(cur), bool), again_.value)
+                prev, cur = prev[ok], cur[ok]
+                near = (prev >= 0) & (cur >= 0)
+                held.append(np.unique(prev[near] << 32 | cur[near], return_counts=True))
+                if not near.all():
+                    prev, cur = prev[~near], cur[~near]
+                    _, first, n = np.unique(pair_key(prev, cur), return_index=True, return_counts=True)
+                    yield from rows(prev[first], cur[first], n)
                 if sum(len(k) for k, _ in held) > GATHER:
                     yield from rows(*merged())
                     held = []
         yield from rows(*merged())
 
-    got = train_on.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "k long, n int").groupBy("k").agg(F.sum("n").alias("n")).filter("n > 1")
+    got = train_on.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "a long, b long, n int").groupBy("a", "b").agg(F.sum("n").alias("n")).filter("n > 1")
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of held words; the others wait for their words' counts."""
         t = sent.value
         for b in batches:
-            k, n = b.column("k").to_numpy(), b.column("n").to_numpy()
-            g = t.gain(k, n)
-            yield pa.record_batch([b.column("k"), b.column("n"), pa.array(k >> 32), pa.array(g), pa.array(g >= EVIDENCE)], names=["k", "n", "prev", "gain", "ok"])
-
-    got = materialise(got.mapInArrow(judged, "k long, n long, prev long, gain double, ok boolean"))
-    by = got.groupBy("prev").agg(F.sum("gain").alias("gain"), F.sum(F.when(F.col("ok"), F.col("n")).otherwise(0)).alias("held"), F.sum(F.col("ok").cast("int")).alias("kinds")).toPandas()  # at most HEAD rows
-    tree.retain(*(by[x].to_numpy(t) for x, t in (("prev", np.int64), ("gain", np.float64), ("held", np.float64), ("kinds", np.float64))))
+            prev, cur, n = (b.column(x).to_numpy() for x in ("a", "b", "n"))
+            far = (prev < 0) | (cur < 0)
+            prev, cur = np.where(far, prev, prev >> 32), np.where(far, cur, prev & 0xFFFFFFFF)
+            g = t.gain(np.where(far, 0, prev), np.where(far, 0, cur), n)
+            yield pa.record_batch([pa.array(prev), pa.array(cur), b.column("n"), pa.array(g, mask=far), pa.array(g >= EVIDENCE, mask=far)], names=["a", "b", "n", "gain", "ok"])
+
+    got = materialise(got.mapInArrow(judged, "a long, b long, n long, gain double, ok boolean"))
+    release(spark)
+    near = got.filter("a >= 0 and b >= 0")
+    by = near.select("a", "n", "gain", "ok")
+    far = None
+    if others is not None:
+        none = F.lit(None).cast("double")
+        far = got.filter("b < 0").select("a", "b", "n").join(others.filter("n > 1").select(F.col("code").alias("b"), F.col("lp").alias("lp_b")), "b").select("a", "b", "n", "lp_b", none.alias("n_a"))
+        if contexts is not None:
+            far = far.unionByName(got.filter("a < 0 and b >= 0").select("a", "b", "n", none.alias("lp_b"), none.alias("n_a")))
+            after = far.filter("a < 0").drop("n_a").join(contexts.select(F.col("code").alias("a"), F.col("n").cast("double").alias("n_a")), "a")
+            far = far.filter("a >= 0").unionByName(after)
+
+        def judged_far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = sent.value
+            for b in batches:
+                prev, cur, n, lp, n_prev = (b.column(x).to_numpy(zero_copy_only=False) for x in ("a", "b", "n", "lp_b", "n_a"))
+                n_prev = np.where(prev >= 0, t.n[np.maximum(prev, 0)], n_prev.astype(np.float64))
+                lp = np.where(cur >= 0, t.lp[np.maximum(cur, 0)], lp.astype(np.float64))
+                g = gain(n, n_prev, lp)
+                yield pa.record_batch([*(b.column(x) for x in ("a", "b", "n")), *(pa.array(x) for x in (n_prev, lp, g, g >= EVIDENCE))], names=["a", "b", "n", "n_prev", "lp", "gain", "ok"])
+
+        far = materialise(far.mapInArrow(judged_far, "a long, b long, n long, n_prev double, lp double, gain double, ok boolean"))
+        by = by.unionByName(far.filter("a >= 0").select("a", "n", "gain", "ok"))
+    sums = [F.sum("gain").alias("gain"), F.sum(F.when(F.col("ok"), F.col("n")).otherwise(0)).alias("held"), F.sum(F.col("ok").cast("int")).alias("kinds")]
+    by = by.groupBy("a").agg(*sums).toPandas()  # at most HEAD rows
+    tree.retain(*(by[x].to_numpy(t) for x, t in (("a", np.int64), ("gain", np.float64), ("held", np.float64), ("kinds", np.float64))))
     again = spark.sparkContext.broadcast((tree.kept, tree.left, tree.n, tree.lp))
 
     def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, left, n_word, lp = again.value
         for b in batches:
-            k, n = b.column("k").to_numpy(), b.column("n").to_numpy()
-            ok = kept[k >> 32]
-            k, n = k[ok], n[ok]
-            prev, cur = k >> 32, k & 0xFFFFFFFF
+            prev, cur, n = (b.column(x).to_numpy() for x in ("a", "b", "n"))
+            ok = kept[prev]
+            prev, cur, n = prev[ok], cur[ok], n[ok]
             plain = lp[cur].astype(np.float64)
             pair = np.log10((n - DISCOUNT) / n_word[prev] + left[prev] * 10.0**plain)
-            yield pa.record_batch([pa.array(x) for x in (k, n, pair, pair - plain - np.log10(left[prev]))], names=["k", "n", "lp", "over"])
+            yield pa.record_batch([pa.array(x) for x in (prev << 32 | cur, n, pair, pair - plain - np.log10(left[prev]))], names=["k", "n", "lp", "over"])
 
-    pairs = materialise(got.filter("ok").select("k", "n").mapInArrow(weighed, "k long, n long, lp double, over double"))
-    least = _head_floor(pairs, PAIRS)
-    held = pairs.filter(F.col("n") >= least).select("k", "lp").toPandas()  # at most PAIRS rows
+    pairs = materialise(near.filter("ok").select("a", "b", "n").mapInArrow(weighed, "k long, n long, lp double, over double"))
+    floor = _head_floor(pairs, PAIRS)
+    held = pairs.filter(F.col("n") >= floor).select("k", "lp").toPandas()  # at most PAIRS rows
     order = np.argsort(held.k.to_numpy(np.int64))
     tree.pair, tree.pair_lp = held.k.to_numpy(np.int64)[order], held.lp.to_numpy(np.float64)[order].astype(np.float32)
-    if least <= 1:
-        return None
-    rest = pairs.filter(F.col("n") < least).select("k", "over")
-    tree.more = bit_filter(rest.select("k"), FILTER)
-    return rest
+    rest = pairs.filter(F.col("n") < floor).select("k", "over") if floor > 1 else None
+    drop(got)
+    kept_far = more = None
+    if others is not None:
+        some = far.filter("ok").select("a", "b", "n", "n_prev", "lp")
+        ready = some.filter("a >= 0").withColumn("left", F.lit(None).cast("double"))
+        if contexts is not None:
+            own = far.filter("a < 0").groupBy("a").agg(F.max("n_prev").alias("total"), *sums).filter(F.col("gain") / F.col("total") >= WORD_DIVERGENCE)
+            left = F.greatest((F.col("total") - F.col("held") + F.lit(DISCOUNT) * F.col("kinds")) / F.col("total"), F.lit(1e-12))
+            kept_far = materialise(own.select("a", left.alias("left")).withColumn("over", F.log10("left")))
+            tree.far = bit_filter(kept_far.select("a"), FILTER)
+            ready = ready.unionByName(some.filter("a < 0").join(kept_far.select("a", "left"), "a"))
+
+        def weighed_far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kept, left, _, _ = again.value
+            for b in batches:
+                prev, cur, n, n_prev, lp, own = (b.column(x).to_numpy(zero_copy_only=False) for x in ("a", "b", "n", "n_prev", "lp", "left"))
+                near = prev >= 0
+                weight = np.where(near, left[np.maximum(prev, 0)], own.astype(np.float64))
+                over = np.log10((n - DISCOUNT) / n_prev + weight * 10.0**lp) - lp - np.log10(weight)
+                ok = ~near | kept[np.maximum(prev, 0)]
+                yield pa.record_batch([pa.array(pair_key(prev, cur)[ok]), pa.array(over[ok])], names=["k", "over"])
+
+        more = materialise(ready.mapInArrow(weighed_far, "k long, over double"))
+        drop(far)
+    open_ = [x.select("k") for x in (rest, more) if x is not None]
+    if open_:
+        tree.more = bit_filter(reduce(DataFrame.unionByName, open_), FILTER)
+    return rest, more, kept_far.select("a", "over") if kept_far is not None else None
 
 
 def score(docs: DataFrame, train_on: DataFrame) -> DataFrame:
@@ -343,8 +448,8 @@ def score(docs: DataFrame, train_on: DataFrame) -> DataFrame:
     tree's log10 probabilities (WordTree over Tree). Whole texts are read; null reads as empty: its end only. Repeated rows each get a row; other columns
     are not read. With nothing to learn from, N and V are 0 and the byte tree is uniform.
 
-    Counts gather all of train_on. The HEAD most frequent words and the PAIRS most frequent retained pairs go to every task; occurrences of all other words and
-    pairs meet theirs in joins, so both scores are the same as if everything were held (beyond HEAD words, ties at the limit included, the rest are no contexts).
+    Counts gather all of train_on. The HEAD most frequent words and the PAIRS most frequent retained pairs of theirs go to every task; occurrences of all other
+    words, contexts and pairs meet theirs in joins, so both scores are the same as if everything were held. Words and these pairs are told apart by 64 and 63 bits of hash.
     """
     spark = docs.sparkSession
     vocab = materialise(word_counts(train_on))
@@ -369,10 +474,12 @@ def score(docs: DataFrame, train_on: DataFrame) -> DataFrame:
                 yield pa.record_batch([pa.array(words_hash(c).view(np.int64)), pa.array(many), pa.array(lp), pa.array(lp - (log_new + byte_lp - log_all))], names=["h", "n", "lp", "over"])
 
     counts = materialise(vocab.mapInArrow(scored, "h long, n long, lp double, over double"))
+    drop(vocab)
+    release(spark)
     head = counts.filter(F.col("n") >= least).select("h", "n", "lp").toPandas()  # at most HEAD rows
     order = np.argsort(head.h.to_numpy(np.int64).view(np.uint64), kind="stable")
     words_held = WordTree(head.h.to_numpy(np.int64).view(np.uint64)[order], head.n.to_numpy(np.int64)[order], head.lp.to_numpy(np.float64)[order], n_docs, float(np.log10(max(n_docs, 1)) - log_all))
-    rest = _pairs(train_on, words_held) if total else None
+    rest, far, contexts = _pairs(train_on, words_held, counts, least) if total else (None, None, None)
     sent = spark.sparkContext.broadcast(words_held)
     end_base = float(np.log10(n_docs + 1.0))
 
@@ -388,13 +495,13 @@ def score(docs: DataFrame, train_on: DataFrame) -> DataFrame:
                 lp[new] = log_new + tree.word_scores(c.buf, start[new], end[new]) - log_all
                 base = np.where(new, 0.0, np.log10(held.n[at] + 1.0)) if len(uniq) else np.zeros(0)
                 n = np.diff(bound)
-                prev, cur, doc = held.steps(at[inv], bound)
+                prev, cur, doc = held.steps(np.where(new, (uniq | SIGN).view(np.int64), at)[inv], bound)
                 alone = np.full(len(cur), held.lp[held.end])
                 alone[cur != held.end] = lp[inv]
-                each, open_ = held.scores(prev, cur, alone)
+                each, open_, open_key, far = held.scores(prev, cur, alone)
                 got = np.bincount(doc, each, minlength=c.n).astype(np.float64)
-                open_key = (prev << 32 | cur)[open_]
                 open_cut = np.searchsorted(doc[open_], np.arange(c.n + 1)).astype(np.int32)
+                far_cut = np.searchsorted(doc[far], np.arange(c.n + 1)).astype(np.int32)
                 wdoc = np.repeat(np.arange(c.n), n)
                 rare = np.flatnonzero(new[inv])
                 cut = np.searchsorted(wdoc[rare], np.arange(c.n + 1)).astype(np.int32)
@@ -407,17 +514,26 @@ def score(docs: DataFrame, train_on: DataFrame) -> DataFrame:
                     pa.array(got),
                     pa.ListArray.from_arrays(pa.array(cut), pa.array(uniq[inv[rare]].view(np.int64))),
                     pa.ListArray.from_arrays(pa.array(open_cut), pa.array(open_key)),
-                ], names=["doc_id", "row", "n_tokens", "known", "base", "score", "rare", "pairs"])
+                    pa.ListArray.from_arrays(pa.array(far_cut), pa.array(prev[far])),
+                ], names=["doc_id", "row", "n_tokens", "known", "base", "score", "rare", "pairs", "contexts"])
                 row += c.n
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    first = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, row long, n_tokens long, known long, base double, score double, rare array<long>, pairs array<long>")
+    first = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, row long, n_tokens long, known long, base double, score double, rare array<long>, pairs array<long>, contexts array<long>")
     first = materialise(first)
     asked = first.select("row", F.explode("rare").alias("h"))
     known = asked.join(counts.filter(F.col("n") < least).select("h", "n", "over"), "h").groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("gain"), F.sum("over").alias("over"))
-    out = first.drop("rare", "pairs").join(known.withColumnRenamed("row", "_row"), F.col("row") == F.col("_row"), "left").withColumn("pair_over", F.lit(0.0))
+    out = first.drop("rare", "pairs", "contexts").join(known.withColumnRenamed("row", "_row"), F.col("row") == F.col("_row"), "left").withColumn("pair_over", F.lit(0.0))
+    met = []
     if rest is not None:
-        met = first.select("row", F.explode("pairs").alias("k")).join(rest, "k").groupBy(F.col("row").alias("_r")).agg(F.sum("over").alias("_over"))
+        met.append(first.select("row", F.explode("pairs").alias("k")).filter("k >= 0").join(rest, "k"))
+    if far is not None:
+        met.append(first.select("row", F.explode("pairs").alias("f")).filter("f < 0").join(far.withColumnRenamed("k", "f"), "f"))
+    if contexts is not None:
+        met.append(first.select("row", F.explode("contexts").alias("a")).join(contexts, "a"))
+    met = [x.select("row", "over") for x in met]
+    if met:
+        met = reduce(DataFrame.unionByName, met).groupBy(F.col("row").alias("_r")).agg(F.sum("over").alias("_over"))
         out = out.join(met, F.col("row") == F.col("_r"), "left").withColumn("pair_over", F.coalesce("_over", F.lit(0.0)))
     return out.select(
         "doc_id",

@@ -667,6 +667,21 @@ def test_suffix_tree_pairs_equal_brute_force(spark, monkeypatch):
     assert suffixtree.score(d.limit(0), train).count() == 0
 
 
+@pytest.mark.parametrize("most", [12, 3, 0])
+def test_suffix_tree_scores_are_the_same_whatever_is_held(spark, monkeypatch, most):
+    """Words that are not held are contexts and next words like the others; with none held, every pair comes by the joins."""
+    monkeypatch.setattr(suffixtree, "SUPPORT", 4)
+    monkeypatch.setattr(suffixtree, "EVIDENCE", 3.0)
+    rng = random.Random(16)
+    d = make(spark, [(i, " ".join(w + " " + (w[::-1] if rng.random() < 0.7 else rng.choice(WORDS)) for w in rng.choices(WORDS, k=rng.randrange(0, 40))), "en", "a") for i in range(80)] + [(90, None, "en", "a"), (91, "never seen Words", "en", "a"), (91, "never seen Words", "en", "a")])
+    train = d.filter("doc_id < 70")
+    whole = sorted(tuple(r) for r in suffixtree.score(d, train).collect())
+    monkeypatch.setattr(suffixtree, "HEAD", most)
+    got = sorted(tuple(r) for r in suffixtree.score(d, train).collect())
+    assert [r[:4] for r in got] == [r[:4] for r in whole]
+    assert all(abs(a[5] - b[5]) < 1e-4 * max(1, abs(b[5])) for a, b in zip(got, whole, strict=True))
+
+
 def test_suffix_tree_without_training(spark):
     d = make(spark, [(1, "a b", "en", "a"), (2, None, "en", "a")])
     got = {r.doc_id: r for r in suffixtree.score(d, d.limit(0)).collect()}
