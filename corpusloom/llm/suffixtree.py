@@ -258,19 +258,17 @@ class WordTree:
         self.left[prev[ok]] = np.maximum((total - held + DISCOUNT * kinds)[ok] / total[ok], 1e-12)
         self.back = np.log10(self.left).astype(np.float32)
 
-    def scores(self, prev: np.ndarray, cur: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def scores(self, prev: np.ndarray, cur: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """log10 probability of each token given its longest retained suffix, plain being that of the empty context.
 
-        Then what is not held: the tokens whose pair may be retained and these pairs' keys, and the tokens whose previous word may be a context.
+        Then what is not held: the tokens whose pair may be retained and these pairs' keys. What a context that is not held leaves to the empty one is left out.
         """
         near, at = prev >= 0, np.maximum(prev, 0)
         out = plain + np.where(near, self.back[at], 0.0)
         may = near & self.kept[at]
-        far = np.zeros(0, np.int64)
         if self.far is not None:
             far = np.flatnonzero(~near)
-            far = far[in_filter(self.far, prev[far].view(np.uint64))]
-            may[far] = True
+            may[far[in_filter(self.far, prev[far].view(np.uint64))]] = True
         both = np.flatnonzero(may)
         key = pair_key(prev[both], cur[both])
         hit = np.zeros(len(both), bool)
@@ -280,10 +278,10 @@ class WordTree:
             hit = self.pair[at] == key
             out[both[hit]] = self.pair_lp[at[hit]]
         if self.more is None:
-            return out, both[:0], key[:0], far
+            return out, both[:0], key[:0]
         left = np.flatnonzero(~hit)
         left = left[in_filter(self.more, key[left].view(np.uint64))]
-        return out, both[left], key[left], far
+        return out, both[left], key[left]
 
 
 def gain(n: np.ndarray, n_prev: np.ndarray, lp: np.ndarray) -> np.ndarray:
@@ -302,8 +300,9 @@ def pair_key(prev: np.ndarray, cur: np.ndarray) -> np.ndarray:
 def _pairs(train_on: DataFrame, tree: WordTree, counts: DataFrame, least: int) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None]:
     """Fills tree with its one-word contexts that are held and the most frequent of their pairs.
 
-    counts: h, n and lp of every word; those with n >= least are held. Returns the other pairs of held words and those of words that are not held (k, over: what
-    they add to the score of backing off) and the other contexts (a: their code, over: log10 of the weight they leave to the empty one); None where there are none.
+    counts: h, n and lp of every word; those with n >= least are held. Returns the other pairs of held words (k, over: what they add to the score of backing off),
+    those of words that are not held (w: the code of such a word, the later one of two; k, over) and the other contexts (a: their code, back: log10 of the weight
+    they leave to the empty one); None where there are none.
     """
     spark = train_on.sparkSession
     sent = spark.sparkContext.broadcast(tree)
@@ -321,9 +320,11 @@ def _pairs(train_on: DataFrame, tree: WordTree, counts: DataFrame, least: int) -
 
         def merged():
             k = np.concatenate([np.zeros(0, np.int64), *(x for x, _ in held)])
-            n = np.concatenate([np.zeros(0, np.int64), *(x for _, x in held)])
-            order = np.argsort(k, kind="stable")
+            n = np.concatenate([np.zeros(0, np.int32), *(x for _, x in held)])
+            held.clear()
+            order = np.argsort(k)
             k, n = k[order], n[order]
+            del order
             at = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
             return k[at], np.zeros(len(at), np.int64), np.add.reduceat(n, at) if len(at) else n
 
@@ -344,14 +345,14 @@ def _pairs(train_on: DataFrame, tree: WordTree, counts: DataFrame, least: int) -
                 ok = passing(prev, often[np.maximum(prev, 0)], often_.value) & passing(cur, np.ones(len(cur), bool), again_.value)
                 prev, cur = prev[ok], cur[ok]
                 near = (prev >= 0) & (cur >= 0)
-                held.append(np.unique(prev[near] << 32 | cur[near], return_counts=True))
+                k, n = np.unique(prev[near] << 32 | cur[near], return_counts=True)
+                held.append((k, n.astype(np.int32)))
                 if not near.all():
                     prev, cur = prev[~near], cur[~near]
                     _, first, n = np.unique(pair_key(prev, cur), return_index=True, return_counts=True)
                     yield from rows(prev[first], cur[first], n)
                 if sum(len(k) for k, _ in held) > GATHER:
                     yield from rows(*merged())
-                    held = []
         yield from rows(*merged())
 
     got = train_on.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "a long, b long, n int").groupBy("a", "b").agg(F.sum("n").alias("n")).filter("n > 1")
@@ -419,7 +420,7 @@ def _pairs(train_on: DataFrame, tree: WordTree, counts: DataFrame, least: int) -
         if contexts is not None:
             own = far.filter("a < 0").groupBy("a").agg(F.max("n_prev").alias("total"), *sums).filter(F.col("gain") / F.col("total") >= WORD_DIVERGENCE)
             left = F.greatest((F.col("total") - F.col("held") + F.lit(DISCOUNT) * F.col("kinds")) / F.col("total"), F.lit(1e-12))
-            kept_far = materialise(own.select("a", left.alias("left")).withColumn("over", F.log10("left")))
+            kept_far = materialise(own.select("a", left.alias("left")).withColumn("back", F.log10("left")))
             tree.far = bit_filter(kept_far.select("a"), FILTER)
             ready = ready.unionByName(some.filter("a < 0").join(kept_far.select("a", "left"), "a"))
 
@@ -431,14 +432,14 @@ def _pairs(train_on: DataFrame, tree: WordTree, counts: DataFrame, least: int) -
                 weight = np.where(near, left[np.maximum(prev, 0)], own.astype(np.float64))
                 over = np.log10((n - DISCOUNT) / n_prev + weight * 10.0**lp) - lp - np.log10(weight)
                 ok = ~near | kept[np.maximum(prev, 0)]
-                yield pa.record_batch([pa.array(pair_key(prev, cur)[ok]), pa.array(over[ok])], names=["k", "over"])
+                yield pa.record_batch([pa.array(np.where(cur < 0, cur, prev)[ok]), pa.array(pair_key(prev, cur)[ok]), pa.array(over[ok])], names=["w", "k", "over"])
 
-        more = materialise(ready.mapInArrow(weighed_far, "k long, over double"))
+        more = materialise(ready.mapInArrow(weighed_far, "w long, k long, over double"))
         drop(far)
     open_ = [x.select("k") for x in (rest, more) if x is not None]
     if open_:
         tree.more = bit_filter(reduce(DataFrame.unionByName, open_), FILTER)
-    return rest, more, kept_far.select("a", "over") if kept_far is not None else None
+    return rest, more, kept_far.select("a", "back") if kept_far is not None else None
 
 
 def score(docs: DataFrame, train_on: DataFrame) -> DataFrame:
@@ -449,7 +450,7 @@ def score(docs: DataFrame, train_on: DataFrame) -> DataFrame:
     are not read. With nothing to learn from, N and V are 0 and the byte tree is uniform.
 
     Counts gather all of train_on. The HEAD most frequent words and the PAIRS most frequent retained pairs of theirs go to every task; occurrences of all other
-    words, contexts and pairs meet theirs in joins, so both scores are the same as if everything were held. Words and these pairs are told apart by 64 and 63 bits of hash.
+    words meet theirs in a join, together with their pairs and contexts, and other pairs of held words in another, so both scores are the same as if everything were held. Words and these pairs are told apart by 64 and 63 bits of hash.
     """
     spark = docs.sparkSession
     vocab = materialise(word_counts(train_on))
@@ -481,6 +482,8 @@ def score(docs: DataFrame, train_on: DataFrame) -> DataFrame:
     words_held = WordTree(head.h.to_numpy(np.int64).view(np.uint64)[order], head.n.to_numpy(np.int64)[order], head.lp.to_numpy(np.float64)[order], n_docs, float(np.log10(max(n_docs, 1)) - log_all))
     rest, far, contexts = _pairs(train_on, words_held, counts, least) if total else (None, None, None)
     sent = spark.sparkContext.broadcast(words_held)
+    contexts_there = contexts is not None
+    asks = ["h", "p", "q"] if contexts_there else ["h", "p"]  # a word, its pair with the word before it, that with the held word after it
     end_base = float(np.log10(n_docs + 1.0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -498,13 +501,20 @@ def score(docs: DataFrame, train_on: DataFrame) -> DataFrame:
                 prev, cur, doc = held.steps(np.where(new, (uniq | SIGN).view(np.int64), at)[inv], bound)
                 alone = np.full(len(cur), held.lp[held.end])
                 alone[cur != held.end] = lp[inv]
-                each, open_, open_key, far = held.scores(prev, cur, alone)
+                each, open_, open_key = held.scores(prev, cur, alone)
                 got = np.bincount(doc, each, minlength=c.n).astype(np.float64)
-                open_cut = np.searchsorted(doc[open_], np.arange(c.n + 1)).astype(np.int32)
-                far_cut = np.searchsorted(doc[far], np.arange(c.n + 1)).astype(np.int32)
+                # a pair of held words is asked for by itself, any other one with the word that is not held: the later one of two
+                own = open_key >= 0
+                open_cut = np.searchsorted(doc[open_[own]], np.arange(c.n + 1)).astype(np.int32)
+                ask, ask_key = np.zeros(len(cur), bool), np.zeros(len(cur), np.int64)
+                ask[open_[~own]], ask_key[open_[~own]] = True, open_key[~own]
                 wdoc = np.repeat(np.arange(c.n), n)
                 rare = np.flatnonzero(new[inv])
                 cut = np.searchsorted(wdoc[rare], np.arange(c.n + 1)).astype(np.int32)
+                place = np.flatnonzero(cur < 0)  # of the same words among the tokens; an end or a word follows each
+                cols = [pa.array(uniq[inv[rare]].view(np.int64)), pa.array(ask_key[place], mask=~ask[place])]
+                if contexts_there:
+                    cols.append(pa.array(ask_key[place + 1], mask=~(ask[place + 1] & (cur[place + 1] >= 0))))
                 yield pa.record_batch([
                     b.column("doc_id").slice(c.lo, c.n),
                     pa.array(row + np.arange(c.n)),
@@ -512,29 +522,32 @@ def score(docs: DataFrame, train_on: DataFrame) -> DataFrame:
                     pa.array(np.bincount(wdoc, ~new[inv], minlength=c.n).astype(np.int64)),
                     pa.array(np.bincount(wdoc, base[inv], minlength=c.n).astype(np.float64)),
                     pa.array(got),
-                    pa.ListArray.from_arrays(pa.array(cut), pa.array(uniq[inv[rare]].view(np.int64))),
-                    pa.ListArray.from_arrays(pa.array(open_cut), pa.array(open_key)),
-                    pa.ListArray.from_arrays(pa.array(far_cut), pa.array(prev[far])),
-                ], names=["doc_id", "row", "n_tokens", "known", "base", "score", "rare", "pairs", "contexts"])
+                    pa.ListArray.from_arrays(pa.array(cut), pa.StructArray.from_arrays(cols, names=asks)),
+                    pa.ListArray.from_arrays(pa.array(open_cut), pa.array(open_key[own])),
+                ], names=["doc_id", "row", "n_tokens", "known", "base", "score", "rare", "pairs"])
                 row += c.n
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    first = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, row long, n_tokens long, known long, base double, score double, rare array<long>, pairs array<long>, contexts array<long>")
+    rare = ", ".join(f"{x}: bigint" for x in asks)
+    first = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, row long, n_tokens long, known long, base double, score double, rare array<struct<{rare}>>, pairs array<long>")
     first = materialise(first)
-    asked = first.select("row", F.explode("rare").alias("h"))
-    known = asked.join(counts.filter(F.col("n") < least).select("h", "n", "over"), "h").groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("gain"), F.sum("over").alias("over"))
-    out = first.drop("rare", "pairs", "contexts").join(known.withColumnRenamed("row", "_row"), F.col("row") == F.col("_row"), "left").withColumn("pair_over", F.lit(0.0))
-    met = []
-    if rest is not None:
-        met.append(first.select("row", F.explode("pairs").alias("k")).filter("k >= 0").join(rest, "k"))
+    asked = first.select("row", F.explode("rare").alias("r")).select("row", *(f"r.{x}" for x in asks)).withColumn("_code", F.expr("h | shiftleft(1L, 63)"))
+    low = counts.filter(F.col("n") < least).select(F.expr("h | shiftleft(1L, 63)").alias("code"), F.col("h").alias("_h"), "n", "over")
+    met = F.lit(0.0)
     if far is not None:
-        met.append(first.select("row", F.explode("pairs").alias("f")).filter("f < 0").join(far.withColumnRenamed("k", "f"), "f"))
+        # a word that is not held brings its retained pairs along: half as many as its occurrences at most
+        lists = far.groupBy("w").agg(F.collect_list(F.struct("k", "over")).alias("met"))
+        low = low.join(lists.select("w", F.col("met.k").alias("keys"), F.col("met.over").alias("overs")), F.col("code") == F.col("w"), "left")
+        met = reduce(lambda x, y: x + y, (F.coalesce(F.get("overs", (F.array_position("keys", F.col(x)) - 1).cast("int")), F.lit(0.0)) for x in asks[1:]))
     if contexts is not None:
-        met.append(first.select("row", F.explode("contexts").alias("a")).join(contexts, "a"))
-    met = [x.select("row", "over") for x in met]
-    if met:
-        met = reduce(DataFrame.unionByName, met).groupBy(F.col("row").alias("_r")).agg(F.sum("over").alias("_over"))
-        out = out.join(met, F.col("row") == F.col("_r"), "left").withColumn("pair_over", F.coalesce("_over", F.lit(0.0)))
+        # every word is the one before another token, so its weight as a context counts once for each occurrence
+        low = low.join(contexts, F.col("code") == F.col("a"), "left").withColumn("over", F.col("over") + F.coalesce("back", F.lit(0.0)))
+    known = asked.join(low, (F.col("_code") == F.col("code")) & F.expr("(h ^ _h) = 0")).groupBy(F.col("row").alias("_row"))
+    known = known.agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("gain"), F.sum("over").alias("over"), F.sum(met).alias("met"))
+    out = first.drop("rare", "pairs").join(known, F.col("row") == F.col("_row"), "left").withColumn("pair_over", F.coalesce("met", F.lit(0.0)))
+    if rest is not None:
+        near = first.select("row", F.explode("pairs").alias("k")).join(rest, "k").groupBy(F.col("row").alias("_r")).agg(F.sum("over").alias("_over"))
+        out = out.join(near, F.col("row") == F.col("_r"), "left").withColumn("pair_over", F.col("pair_over") + F.coalesce("_over", F.lit(0.0)))
     return out.select(
         "doc_id",
         "n_tokens",

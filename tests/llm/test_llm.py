@@ -682,6 +682,18 @@ def test_suffix_tree_scores_are_the_same_whatever_is_held(spark, monkeypatch, mo
     assert all(abs(a[5] - b[5]) < 1e-4 * max(1, abs(b[5])) for a, b in zip(got, whole, strict=True))
 
 
+def test_suffix_tree_asks_for_each_word_that_is_not_held_once(spark, monkeypatch):
+    """Its pairs and its weight as a context come with it: no row for each of its pairs is made besides."""
+    for name, v in (("SUPPORT", 4), ("EVIDENCE", 3.0), ("HEAD", 3)):
+        monkeypatch.setattr(suffixtree, name, v)
+    rng = random.Random(11)
+    d = make(spark, [(i, prose(rng, 60, WORDS[:12]), "en", "a") for i in range(60)])
+    out = suffixtree.score(d, d.filter("doc_id % 5 != 0"))
+    out.collect()
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1
+
+
 def test_suffix_tree_without_training(spark):
     d = make(spark, [(1, "a b", "en", "a"), (2, None, "en", "a")])
     got = {r.doc_id: r for r in suffixtree.score(d, d.limit(0)).collect()}
