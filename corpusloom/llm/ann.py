@@ -99,10 +99,12 @@ class Router:
         return np.tanh((x - self.mean) / self.scale @ w1 + b1) @ w2 + b2
 
     def fit(self, x: np.ndarray, goal: np.ndarray, rounds: int = 250, hidden: int = 96, seed: int = 5) -> Router:
+        """Full-batch Adam, in single precision: the weights only choose leaves, no distance comes from them."""
         rng = np.random.default_rng(seed)
         self.mean, self.scale = x.mean(0), float(x.std() + 1e-9)
-        z = (x - self.mean) / self.scale
+        z, goal = ((x - self.mean) / self.scale).astype(np.float32), goal.astype(np.float32)
         p = [rng.normal(0, 1 / np.sqrt(self.dim), (self.dim, hidden)), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), (hidden, self.parts)), np.zeros(self.parts)]
+        p = [a.astype(np.float32) for a in p]
         m, v = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
         for t in range(1, rounds + 1):
             hid = np.tanh(z @ p[0] + p[1])
@@ -133,6 +135,31 @@ def train(x: np.ndarray, parts: int, known: int) -> Router:
     return router.fit(x[use], own[use])
 
 
+def rerank(x: np.ndarray, ids: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of y, ids and distances of the k rows of x nearest to each row of y (all, if fewer), ties to the smaller id.
+
+    Squared distances by one matrix product, whose rounding errors `slack` bounds, leave out what can't be among them; the exact measure decides on the rest.
+    """
+    n = min(k, len(x))
+    if not n or not len(y):
+        return np.zeros(0, np.int64), ids[:0], np.zeros(0)
+    out = []
+    with np.errstate(over="ignore", invalid="ignore"):
+        sq, own = (x * x).sum(1), (y * y).sum(1)
+        for lo in range(0, len(y), 256):
+            q = y[lo : lo + 256]
+            rough = sq[None, :] - 2 * (q @ x.T) + own[lo : lo + 256, None]
+            slack = 4e-15 * (x.shape[1] + 8) * (sq.max() + own[lo : lo + 256, None]) + 1e-300
+            row, col = np.nonzero(~(rough > np.partition(rough, n - 1, 1)[:, n - 1 : n] + slack))  # what overflows stays
+            d = np.concatenate([np.sqrt(((x[col[i : i + 65536]] - q[row[i : i + 65536]]) ** 2).sum(1)) for i in range(0, len(row), 65536)])
+            order = np.lexsort((ids[col], d, row))
+            row, col, d = row[order], col[order], d[order]
+            first = np.searchsorted(row, np.arange(len(q)))
+            use = np.arange(len(row)) - first[row] < n
+            out.append((row[use] + lo, ids[col[use]], d[use]))
+    return tuple(np.concatenate(z) for z in zip(*out, strict=True))
+
+
 class Index:
     """A router to branches and one for each branch to its leaves: at most PARTS * PARTS leaves, a few megabytes whatever the table's size."""
 
@@ -261,16 +288,10 @@ def search(vectors: DataFrame, query: str = "vec_id % 100 = 0", k: int = 10) ->
     routed = routed.join(cells, "part").select("qid", "q", "part", F.explode(F.sequence(F.lit(0), F.col("_na") - 1)).alias("a"), F.pmod(F.xxhash64("qid"), "_nb").cast("int").alias("b"))
 
     def nearest(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(c) and len(q):
-            x, ids = np.stack(c.v.to_list()), c.vec_id.to_numpy()
-            n = min(k + 1, len(ids))
-            for qid, v in zip(q.qid, q.q, strict=True):
-                d = np.sqrt(((x - v) ** 2).sum(1))
-                near = np.flatnonzero(d <= np.partition(d, n - 1)[n - 1])
-                near = near[np.lexsort((ids[near], d[near]))][:n]
-                out.append(pd.DataFrame({"qid": qid, "vec_id": ids[near], "score": d[near]}))
-        return pd.concat(out) if out else pd.DataFrame({"qid": [], "vec_id": [], "score": []})
+        if not len(c) or not len(q):
+            return pd.DataFrame({"qid": [], "vec_id": [], "score": []})
+        row, near, d = rerank(np.stack(c.v.to_list()), c.vec_id.to_numpy(), np.stack(q.q.to_list()), k + 1)
+        return pd.DataFrame({"qid": q.qid.to_numpy()[row], "vec_id": near, "score": d})
 
     local = cands.groupBy("part", "a", "b").cogroup(routed.groupBy("part", "a", "b")).applyInPandas(nearest, f"qid {kind}, vec_id {kind}, score double")
     best = local.withColumn("_i", F.row_number().over(W.partitionBy("qid").orderBy("score", "vec_id"))).filter(F.col("_i") <= k + 1)

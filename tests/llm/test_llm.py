@@ -736,6 +736,27 @@ def test_ann(spark, n):
     assert set(got) == set(range(0, n, 10))
 
 
+def test_ann_rerank_is_exact():
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(700, 8)), rng.integers(0, 2, (300, 8)).astype(float), 1e8 + rng.normal(size=(50, 8)), rng.normal(size=(20, 8)) * 1e-170])
+    y, ids = np.concatenate([x[::3], np.zeros((1, 8))]), rng.permutation(len(x)) * 3
+    for a, b in ((x, y), (np.concatenate([x, np.full((3, 8), 1e200)]), y), (x[:4], y)):
+        names = np.concatenate([ids, [-1, -2, -3]])[: len(a)]
+        row, near, d = ann.rerank(a, names, b, 11)
+        for i in range(len(b)):
+            with np.errstate(over="ignore"):
+                own = np.sqrt(((a - b[i]) ** 2).sum(1))
+            want = np.lexsort((names, own))[:11]
+            assert near[row == i].tolist() == names[want].tolist() and d[row == i].tolist() == own[want].tolist()
+    assert [len(z) for z in ann.rerank(x[:0], ids[:0], y, 11)] == [0, 0, 0]
+
+
+def test_ann_router_learns_in_single_precision():
+    x = np.random.default_rng(2).normal(size=(400, 8))
+    r = ann.train(x, 4, 0)
+    assert all(a.dtype == np.float32 for a in r.net) and (r.logits(x).argmax(1) == ann.partition(x, ann.knn(x, 16), 4)).mean() > 0.9
+
+
 def test_ann_small_tables(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r.rank, r.vec_id) for r in ann.search(df).collect()] == [(0, 1, 1)]
